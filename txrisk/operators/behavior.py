@@ -14,7 +14,7 @@ Two plans give identical results:
     task holds a whole account, so a hot account (a third of all rows) runs
     serially in one task.
 
-``mode="blocked"`` (default, skew-safe)
+``mode="blocked"`` (skew-safe)
     rows are windowed inside blocks ``(account, step, row_id div block_rows)``,
     which hold at most ``block_rows`` rows however hot the account is and hash
     over all tasks. Each block's count and sum are then prefix-summed per
@@ -22,6 +22,11 @@ Two plans give identical results:
     joined back on the block key. Count, sum and last step are decomposable,
     so this is exact.
 
+``mode="auto"`` (default)
+    one sampled probe job estimates the largest account on each side; a side
+    whose estimate exceeds ``hot_key_rows`` uses the blocked plan, the other
+    the single window. The probe only routes: both plans are exact.
+
 Running sums use exact decimals, so neither plan nor partitioning changes a
 bit of the result.
 """
@@ -36,6 +41,8 @@ from .. import schema as S
 from ..functions.columns import flag, money, prior_mean
 
 DEFAULT_BLOCK_ROWS = 1 << 16
+DEFAULT_HOT_KEY_ROWS = 1 << 20
+DEFAULT_PROBE_FRACTION = 0.01
 
 _SIDES = {
     "sender": S.NAME_ORIG,
@@ -58,6 +65,23 @@ def _finish(df: DataFrame, side: str, count_c, prior_count_c, prior_sum_c, gap_c
     ]
 
 
+def hot_sides(df: DataFrame, hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
+              fraction: float = DEFAULT_PROBE_FRACTION, seed: int = S.RANDOM_STATE) -> dict[str, bool]:
+    """Estimate, per side, whether some account holds more than ``hot_key_rows`` rows.
+
+    One job over a Bernoulli sample of the two key columns; only two numbers
+    come back. A routing hint only (see module doc), never a result.
+    """
+    sample = df.select(S.NAME_ORIG, S.NAME_DEST).sample(fraction=fraction, seed=seed)
+    keyed = sample.select(F.explode(F.array(
+        F.struct(F.lit("sender").alias("side"), F.col(S.NAME_ORIG).alias("k")),
+        F.struct(F.lit("receiver").alias("side"), F.col(S.NAME_DEST).alias("k")),
+    )).alias("e")).select("e.side", "e.k")
+    top = keyed.groupBy("side", "k").count().groupBy("side").agg(F.max("count").alias("m")).collect()
+    est = {r["side"]: r["m"] / fraction for r in top}
+    return {side: est.get(side, 0) > hot_key_rows for side in _SIDES}
+
+
 def _side_window(df: DataFrame, side: str) -> DataFrame:
     key = _SIDES[side]
     w = Window.partitionBy(key).orderBy(S.STEP, S.ROW_ID)
@@ -126,13 +150,19 @@ class BehaviorFeatures:
     outputs = S.BEHAVIOR_FEATURES
     required = (S.STEP, S.AMOUNT, S.NAME_ORIG, S.NAME_DEST)
 
-    def __init__(self, mode: str = "blocked", block_rows: int = DEFAULT_BLOCK_ROWS):
-        if mode not in ("blocked", "window"):
-            raise ValueError("mode must be 'blocked' or 'window'")
+    def __init__(self, mode: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS,
+                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float = DEFAULT_PROBE_FRACTION):
+        if mode not in ("auto", "blocked", "window"):
+            raise ValueError("mode must be 'auto', 'blocked' or 'window'")
         if block_rows < 1:
             raise ValueError("block_rows must be >= 1")
+        if not 0 < probe_fraction <= 1:
+            raise ValueError("probe_fraction must be in (0, 1]")
         self.mode = mode
         self.block_rows = block_rows
+        self.hot_key_rows = hot_key_rows
+        self.probe_fraction = probe_fraction
+        self.last_plan: dict[str, str] = {}
 
     def check(self, df: DataFrame) -> None:
         missing = [c for c in self.required if c not in df.columns]
@@ -147,8 +177,14 @@ class BehaviorFeatures:
         self.check(df)
         base = df.drop(*[c for c in self.outputs if c in df.columns])
         out = base
+        if self.mode == "auto":
+            hot = hot_sides(base, self.hot_key_rows, self.probe_fraction)
+            plan = {side: "blocked" if hot[side] else "window" for side in _SIDES}
+        else:
+            plan = {side: self.mode for side in _SIDES}
+        self.last_plan = plan
         for side in ("sender", "receiver"):
-            if self.mode == "window":
+            if plan[side] == "window":
                 out = _side_window(out, side)
             else:
                 out = _side_blocked(out, side, self.block_rows)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,15 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
-def _order_stats(values: DataFrame, ranks: Sequence[int], n: int, buckets: int, max_rows: int) -> dict[int, float]:
+def _order_stats(values: DataFrame, ranks: Sequence[int], n: int, buckets: int, max_rows: int,
+                 root_bounds: list | None = None) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of column ``v`` (non-null, non-NaN)."""
     out: dict[int, float] = {}
     # work items: (lower bound incl. or None, upper bound excl. or None, rows before, rows inside, ranks)
     work = [(None, None, 0, n, sorted(set(ranks)))]
     while work:
         lo, hi, base, cnt, want = work.pop()
+        known = root_bounds if (lo is None and hi is None) else None
         sub = values
         if lo is not None:
             sub = sub.where(F.col("v") >= F.lit(lo))
@@ -50,8 +53,10 @@ def _order_stats(values: DataFrame, ranks: Sequence[int], n: int, buckets: int,
             for r in want:
                 out[r] = float(row[f"r{r}"])
             continue
-        grid = [i / buckets for i in range(1, buckets)]
-        bounds = sub.agg(F.percentile_approx("v", grid, 10 * buckets).alias("b")).first()["b"]
+        if known is not None:
+            bounds = known
+        else:
+            bounds = sub.agg(F.percentile_approx("v", _grid(buckets), 10 * buckets).alias("b")).first()["b"]
         inner = sorted({float(b) for b in bounds
                         if (lo is None or b > lo) and (hi is None or b < hi)})
         splits = [-math.inf] + inner + [math.inf]
@@ -87,6 +92,10 @@ def _order_stats(values: DataFrame, ranks: Sequence[int], n: int, buckets: int,
     return out
 
 
+def _grid(buckets: int) -> list[float]:
+    return [i / buckets for i in range(1, buckets)]
+
+
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
                     buckets: int = DEFAULT_BUCKETS, max_rows: int = DEFAULT_MAX_ROWS) -> list[float]:
     """pandas-equal quantiles (linear interpolation) of ``column``; nulls/NaN skipped."""
@@ -95,7 +104,20 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
             raise ValueError("quantiles must be in [0, 1]")
     x = F.col(column).cast("double")
     values = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = values.count()
+    # the few refinement jobs re-read one column; keep it (spills to disk, and
+    # lost blocks are recomputed from lineage)
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(values, qs, buckets, max_rows)
+    finally:
+        values.unpersist()
+
+
+def _quantiles(values: DataFrame, qs: Sequence[float], buckets: int, max_rows: int) -> list[float]:
+    # one pass gives the size and the first split bounds
+    first = values.agg(F.count(F.lit(1)).alias("n"),
+                       F.percentile_approx("v", _grid(buckets), 10 * buckets).alias("b")).first()
+    n = int(first["n"])
     if n == 0:
         return [math.nan for _ in qs]
     plan = []
@@ -107,5 +129,5 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
         hi = min(lo + 1, n - 1)
         plan.append((lo, hi, vi - lo))
         ranks.update((lo, hi))
-    stats = _order_stats(values, sorted(ranks), n, buckets, max_rows)
+    stats = _order_stats(values, sorted(ranks), n, buckets, max_rows, root_bounds=first["b"])
     return [_lerp(stats[lo], stats[hi], g) for lo, hi, g in plan]

@@ -42,7 +42,7 @@ class FeatureChain:
     def __init__(self, risk_large_txn_threshold: float | None = None,
                  amount_high_value_threshold: float | None = None,
                  amount_high_value_percentile: float = S.DEFAULT_QUANTILE,
-                 behavior_mode: str = "blocked", behavior_block_rows: int | None = None,
+                 behavior_mode: str = "auto", behavior_block_rows: int | None = None,
                  balance_precision: str = "float"):
         self.amount = AmountFeatures(amount_high_value_percentile, amount_high_value_threshold)
         self.risk = RiskFeatures(risk_large_txn_threshold)

@@ -120,6 +120,208 @@ def high_risk_top_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.orderBy(F.desc("total_risk_score"), F.desc("n_txn"), S.NAME_ORIG).limit(20)
 
 
+# ------------------------------------------------- cleaning and checks ---
+# Stand-in inputs derived from tx: every row once more under a new row id
+# (exact duplicates), with nulls / rule violations planted by category.
+DUP_OFFSET = 1_000_000_000_000
+
+DIRTY_SQL = f"""
+SELECT * FROM tx
+UNION ALL
+SELECT row_id + {DUP_OFFSET} AS row_id, step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest,
+  CASE WHEN type = 'CASH_IN' THEN CAST(NULL AS DOUBLE) ELSE oldbalanceDest END AS oldbalanceDest,
+  newbalanceDest, isFraud, isFlaggedFraud
+FROM tx
+"""
+
+VIOLATIONS_SQL = f"""
+SELECT * FROM tx
+UNION ALL
+SELECT row_id + {DUP_OFFSET} AS row_id,
+  CASE WHEN type = 'DEBIT' THEN -step ELSE step END AS step,
+  CASE WHEN type = 'PAYMENT' THEN 'REFUND' ELSE type END AS type,
+  CASE WHEN type = 'CASH_OUT' THEN -amount ELSE amount END AS amount,
+  nameOrig,
+  CASE WHEN type = 'TRANSFER' THEN -oldbalanceOrg ELSE oldbalanceOrg END AS oldbalanceOrg,
+  newbalanceOrig, nameDest,
+  CASE WHEN type = 'CASH_IN' THEN CAST(NULL AS DOUBLE) ELSE oldbalanceDest END AS oldbalanceDest,
+  newbalanceDest,
+  CASE WHEN isFlaggedFraud = 1 THEN 2 ELSE isFraud END AS isFraud,
+  isFlaggedFraud
+FROM tx
+"""
+
+PII_SALT = "txrisk-salt"
+_TX_COLS = [S.ROW_ID, *S.REQUIRED_COLUMNS]
+
+
+def _dirty(spark: SparkSession, sf_dir: str, sql: str = DIRTY_SQL) -> DataFrame:
+    transactions(spark, sf_dir)
+    return spark.sql(sql)
+
+
+def _oracle_tx(body: str) -> str:
+    from ..sources.adapter import oracle_with_tx
+
+    return oracle_with_tx(body)
+
+
+def _dirty_cte(sql: str = DIRTY_SQL) -> str:
+    return f", dirty AS ({sql})"
+
+
+_PSEUDO = lambda c, salt: f"substr(sha256('{salt}' || CAST({c} AS VARCHAR)), 1, 16) AS {c}"
+_SRC_NO_ID = [c for c in S.REQUIRED_COLUMNS]
+
+
+@query("preprocess_clean", _oracle_tx(_dirty_cte() + f"""
+, kept AS (
+  SELECT min(row_id) AS row_id, {", ".join(_SRC_NO_ID)}
+  FROM dirty WHERE {" AND ".join(c + " IS NOT NULL" for c in _TX_COLS)}
+  GROUP BY {", ".join(_SRC_NO_ID)})
+SELECT row_id, step,
+  CAST(CASE type WHEN 'PAYMENT' THEN 0 WHEN 'TRANSFER' THEN 1 WHEN 'CASH_OUT' THEN 2
+       WHEN 'DEBIT' THEN 3 WHEN 'CASH_IN' THEN 4 END AS TINYINT) AS type,
+  amount, {_PSEUDO("nameOrig", PII_SALT)}, oldbalanceOrg, newbalanceOrig, {_PSEUDO("nameDest", PII_SALT)},
+  oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud
+FROM kept
+"""))
+def preprocess_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, P2, P4-P8 on tx plus planted duplicates and nulls: drop nulls, check, dedup, encode, pseudonymize."""
+    from ..operators.preprocess import Preprocessor
+
+    return Preprocessor(salt=PII_SALT).process(_dirty(spark, sf_dir))
+
+
+@query("pseudonymize", _oracle_tx(
+    f"SELECT row_id, {_PSEUDO('nameOrig', '')}, {_PSEUDO('nameDest', '')} FROM tx"))
+def pseudonymize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 with the unsalted default: 16-hex SHA-256 pseudonyms of both id columns."""
+    from ..operators.preprocess import pseudonymize
+
+    tx = transactions(spark, sf_dir)
+    return pseudonymize(tx, "").select(S.ROW_ID, S.NAME_ORIG, S.NAME_DEST)
+
+
+def _check_oracle() -> str:
+    parts = []
+    for c in S.NON_NEGATIVE_COLUMNS:
+        parts.append(f"SELECT 'negative_{c}' AS rule, '{c}' AS \"column\", count(*) FILTER (WHERE {c} < 0) AS violations FROM v")
+    types = ", ".join(f"'{t}'" for t in S.TRANSACTION_TYPES)
+    parts.append(f"SELECT 'unknown_type', 'type', count(*) FILTER (WHERE type IS NOT NULL AND type NOT IN ({types})) FROM v")
+    parts.append("SELECT 'bad_label', 'isFraud', count(*) FILTER (WHERE isFraud IS NOT NULL AND isFraud NOT IN (0, 1)) FROM v")
+    parts.append("SELECT 'negative_step', 'step', count(*) FILTER (WHERE step < 0) FROM v")
+    for c in _TX_COLS:
+        parts.append(f"SELECT 'null', '{c}', count(*) FILTER (WHERE {c} IS NULL) FROM v")
+    for c in S.MONEY_COLUMNS:
+        parts.append(f"SELECT 'non_finite', '{c}', count(*) FILTER (WHERE {c} IS NULL OR isnan({c}) OR isinf({c})) FROM v")
+    return _oracle_tx(_dirty_cte(VIOLATIONS_SQL).replace("dirty AS", "v AS") + "\n" + "\nUNION ALL\n".join(parts))
+
+
+@query("check_report", _check_oracle())
+def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V0 fused check (P2, P5, V5, V6, V8, V12, nulls) on tx plus planted violations: one aggregate job."""
+    from ..operators import validate as V
+
+    df = _dirty(spark, sf_dir, VIOLATIONS_SQL)
+    return V.violation_table(df, V.check_rules(df))
+
+
+@query("dataset_summary", _oracle_tx("""
+SELECT count(*) AS n_rows, CAST(12 AS BIGINT) AS n_columns, sum(isFraud)::BIGINT AS fraud_cases,
+  round(CAST(sum(isFraud) AS DOUBLE) * 100.0 / count(*), 6) AS fraud_rate_pct FROM tx
+"""))
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: rows, columns, fraud count and rate (%)."""
+    from ..operators.profile import dataset_summary as summ
+
+    return summ(transactions(spark, sf_dir)).withColumn("fraud_rate_pct", F.round("fraud_rate_pct", 6))
+
+
+def _missing_oracle(filtered: bool) -> str:
+    parts = [f"SELECT '{c}' AS \"column\", {i} AS position, count(*) FILTER (WHERE {c} IS NULL"
+             + (f" OR isnan({c})" if c in S.MONEY_COLUMNS else "") + ") AS null_count, count(*) AS n_rows FROM dirty"
+             for i, c in enumerate(_TX_COLS)]
+    body = "\nUNION ALL\n".join(parts)
+    if not filtered:
+        return _oracle_tx(_dirty_cte() + ", m AS (" + body + ") SELECT \"column\", CAST(position AS INTEGER) AS position, "
+                          "null_count, n_rows FROM m")
+    return _oracle_tx(_dirty_cte() + ", m AS (" + body + ") SELECT \"column\", null_count AS missing_count, "
+                      "round(null_count * 100.0 / n_rows, 2) AS missing_percent FROM m WHERE null_count > 0")
+
+
+@query("profile_nulls", _missing_oracle(False))
+def profile_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: null count of every column of tx plus planted nulls (one job)."""
+    from ..operators.profile import null_counts
+
+    return null_counts(_dirty(spark, sf_dir))
+
+
+@query("profile_missing", _missing_oracle(True))
+def profile_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing-value table (count, percent 2 dp, only > 0, worst first)."""
+    from ..operators.profile import missing_value_summary
+
+    return missing_value_summary(_dirty(spark, sf_dir))
+
+
+@query("profile_duplicates", _oracle_tx(_dirty_cte() + f"""
+SELECT 'all_columns' AS subset, CAST(sum(c - 1) AS BIGINT) AS duplicates
+FROM (SELECT count(*) AS c FROM dirty GROUP BY {", ".join(_SRC_NO_ID)}) a
+UNION ALL
+SELECT 'nameOrig,step', CAST(sum(c - 1) AS BIGINT)
+FROM (SELECT count(*) AS c FROM dirty GROUP BY nameOrig, step) b
+"""))
+def profile_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate-row counts over all source columns and over (nameOrig, step)."""
+    from ..operators.profile import duplicate_count
+
+    df = _dirty(spark, sf_dir)
+    full = duplicate_count(df).select(F.lit("all_columns").alias("subset"), "duplicates")
+    sub = duplicate_count(df, [S.NAME_ORIG, S.STEP]).select(F.lit("nameOrig,step").alias("subset"), "duplicates")
+    return full.unionByName(sub)
+
+
+@query("class_counts", _oracle_tx("SELECT isFraud, count(*) AS n FROM tx GROUP BY isFraud"))
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per class."""
+    from ..operators.profile import class_counts as cc
+
+    return cc(transactions(spark, sf_dir))
+
+
+@query("safe_divide_clip", _oracle_tx("""
+SELECT row_id,
+  amount / CASE WHEN abs(newbalanceOrig) < 1e-6 THEN 1e-6 ELSE newbalanceOrig END AS safe_ratio,
+  greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), newbalanceOrig / (oldbalanceOrg + 1))) AS clipped_share
+FROM tx
+"""))
+def safe_divide_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 guarded division and K4 probability clipping, per row."""
+    from ..functions.columns import clip_probability, safe_divide
+
+    tx = transactions(spark, sf_dir)
+    return tx.select(
+        S.ROW_ID,
+        safe_divide(S.AMOUNT, S.NEW_ORIG).alias("safe_ratio"),
+        clip_probability(F.col(S.NEW_ORIG) / (F.col(S.OLD_ORIG) + 1)).alias("clipped_share"),
+    )
+
+
+@query("amount_thresholds", _oracle_tx("\nUNION ALL\n".join(
+    f"SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(amount, {q}), 6) AS threshold FROM tx"
+    for q in (0.5, 0.9, 0.95, 0.99))))
+def amount_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1/A2: exact (pandas-equal) amount quantiles by distributed refinement, rounded to 6 dp."""
+    from ..operators.quantile import exact_quantiles
+
+    tx = transactions(spark, sf_dir)
+    qs = [0.5, 0.9, 0.95, 0.99]
+    vals = exact_quantiles(tx, S.AMOUNT, qs)
+    return spark.createDataFrame([(q, round(v, 6)) for q, v in zip(qs, vals)], "q double, threshold double")
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
