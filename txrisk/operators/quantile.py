@@ -19,10 +19,11 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import bucketize
+
 DEFAULT_BUCKETS = 1024
 DEFAULT_MAX_ROWS = 100_000
 
@@ -60,8 +61,7 @@ def _order_stats(values: DataFrame, ranks: Sequence[int], n: int, buckets: int,
         inner = sorted({float(b) for b in bounds
                         if (lo is None or b > lo) and (hi is None or b < hi)})
         splits = [-math.inf] + inner + [math.inf]
-        bz = Bucketizer(splits=splits, inputCol="v", outputCol="bk")
-        stats = (bz.transform(sub).groupBy("bk")
+        stats = (bucketize(sub, "v", splits, "bk").groupBy("bk")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                  .collect())
         stats = sorted((int(r["bk"]), int(r["c"]), float(r["mn"]), float(r["mx"])) for r in stats)

@@ -322,6 +322,211 @@ def amount_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(q, round(v, 6)) for q, v in zip(qs, vals)], "q double, threshold double")
 
 
+
+# ---------------------------------------------------------------- split ---
+_SPLIT_SQL = """
+, c AS (SELECT isFraud, count(*) AS cnt FROM tx GROUP BY isFraud)
+, tot AS (SELECT sum(cnt) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(cnt)) AS BIGINT) AS n_test FROM c)
+, q AS (SELECT isFraud, cnt, (cnt * (n - n_test)) // n AS fl, (cnt * (n - n_test)) % n AS rem, n, n_test FROM c, tot)
+, q2 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, isFraud) AS rk,
+                (n - n_test) - sum(fl) OVER () AS need FROM q)
+, quota AS (SELECT isFraud, cnt - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END) AS n_test_c FROM q2)
+, ranked AS (SELECT row_id, isFraud,
+    row_number() OVER (PARTITION BY isFraud ORDER BY md5(CAST(row_id AS VARCHAR) || '|42')) AS r FROM tx)
+, assigned AS (SELECT row_id, ranked.isFraud,
+    CASE WHEN r <= n_test_c THEN 'test' ELSE 'train' END AS split
+  FROM ranked JOIN quota ON ranked.isFraud = quota.isFraud)
+"""
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.split import StratifiedSplitter
+
+    return StratifiedSplitter(test_size=0.2, random_state=42).assign(transactions(spark, sf_dir))
+
+
+@query("stratified_split_counts", _oracle_tx(_SPLIT_SQL + """
+SELECT split, isFraud, count(*) AS n FROM assigned GROUP BY split, isFraud
+"""))
+def stratified_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 + A8/A9: exact per-class test quotas (largest remainder of ceil(0.2 n)), rows per split and class."""
+    a = _assigned(spark, sf_dir)
+    return a.groupBy("split", S.LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stratified_split_rows", _oracle_tx(_SPLIT_SQL + "SELECT row_id, split FROM assigned"))
+def stratified_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: split membership of every row (md5(row_id|seed) order inside each class)."""
+    return _assigned(spark, sf_dir).select(S.ROW_ID, "split")
+
+
+@query("unstratified_split_counts", _oracle_tx("""
+, tot AS (SELECT CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_test FROM tx)
+, ranked AS (SELECT row_id, isFraud, row_number() OVER (ORDER BY md5(CAST(row_id AS VARCHAR) || '|7')) AS r FROM tx)
+SELECT CASE WHEN r <= (SELECT n_test FROM tot) THEN 'test' ELSE 'train' END AS split, isFraud, count(*) AS n
+FROM ranked GROUP BY ALL
+"""))
+def unstratified_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: seeded split without strata (exact ceil(0.2 n) test rows)."""
+    from ..operators.split import StratifiedSplitter
+
+    a = StratifiedSplitter(test_size=0.2, random_state=7, stratify=False).assign(transactions(spark, sf_dir))
+    return a.groupBy("split", S.LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -------------------------------------------------------------- metrics ---
+# Rule-based stand-in score in [0, 1): the risk score, refined by the amount's
+# cents so there are many distinct scores and ties. Exact in both engines.
+_SCORE_SQL = ("CAST(CAST(risk_score AS BIGINT) * 100000 + CAST(round(amount * 100) AS BIGINT) % 100000 AS DOUBLE)"
+              " / CAST(800000 AS DOUBLE)")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metrics import PRED, SCORE, predict_at
+
+    df = engineered(spark, sf_dir)
+    score = ((F.col("risk_score").cast("bigint") * 100000
+              + F.round(F.col(S.AMOUNT) * 100).cast("bigint") % 100000).cast("double") / F.lit(800000.0))
+    return df.select(S.ROW_ID, S.LABEL, score.alias(SCORE)).withColumn(PRED, predict_at(SCORE, 0.5))
+
+
+_SCORED_SQL = f"""
+, sc AS (SELECT row_id, isFraud, {_SCORE_SQL} AS score FROM scored)
+, pr AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS prediction FROM sc)
+, cm AS (SELECT count(*) FILTER (WHERE isFraud = 1 AND prediction = 1) AS tp,
+                count(*) FILTER (WHERE isFraud = 0 AND prediction = 1) AS fp,
+                count(*) FILTER (WHERE isFraud = 1 AND prediction = 0) AS fn,
+                count(*) FILTER (WHERE isFraud = 0 AND prediction = 0) AS tn FROM pr)
+"""
+
+
+def _r9_all(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("confusion", with_features(_SCORED_SQL + """
+SELECT 0 AS true_label, 0 AS predicted_label, tn AS value FROM cm UNION ALL
+SELECT 0, 1, fp FROM cm UNION ALL SELECT 1, 0, fn FROM cm UNION ALL SELECT 1, 1, tp FROM cm
+"""))
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 + P9: 2x2 confusion counts at threshold 0.5 of the rule-based score."""
+    from ..operators.metrics import confusion_matrix
+
+    return confusion_matrix(_scored(spark, sf_dir))
+
+
+@query("confusion_normalized", with_features(_SCORED_SQL + """
+, d AS (SELECT *, CAST(tn + fp AS DOUBLE) AS t0, CAST(fn + tp AS DOUBLE) AS t1 FROM cm)
+SELECT 0 AS true_label, 0 AS predicted_label, round(CASE WHEN t0 = 0 THEN 0 ELSE tn / t0 END, 9) AS value FROM d
+UNION ALL SELECT 0, 1, round(CASE WHEN t0 = 0 THEN 0 ELSE fp / t0 END, 9) FROM d
+UNION ALL SELECT 1, 0, round(CASE WHEN t1 = 0 THEN 0 ELSE fn / t1 END, 9) FROM d
+UNION ALL SELECT 1, 1, round(CASE WHEN t1 = 0 THEN 0 ELSE tp / t1 END, 9) FROM d
+"""))
+def confusion_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 normalized over the true class (rows sum to 1; 0/0 -> 0)."""
+    from ..operators.metrics import confusion_matrix
+
+    return _r9_all(confusion_matrix(_scored(spark, sf_dir), normalize="true"))
+
+
+@query("binary_metrics", with_features(_SCORED_SQL + """
+, d AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn,
+               CAST(tn AS DOUBLE) AS tn FROM cm)
+SELECT round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy,
+  round((CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END + CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END)
+        / ((CASE WHEN tp + fn = 0 THEN 0 ELSE 1 END) + (CASE WHEN tn + fp = 0 THEN 0 ELSE 1 END)), 9) AS balanced_accuracy,
+  round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 9) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) AS f1_score,
+  round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0
+        ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END, 9) AS mcc
+FROM d
+"""))
+def binary_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1-E4 from one aggregate of the confusion counts (0/0 -> 0), rounded to 9 dp."""
+    from ..operators.metrics import binary_metrics
+
+    return _r9_all(binary_metrics(_scored(spark, sf_dir)))
+
+
+def _report_sql() -> str:
+    cls = lambda name, a, b, d: (
+        f"SELECT '{name}' AS label, CASE WHEN {a} + {b} = 0 THEN 0 ELSE {a} / ({a} + {b}) END AS precision, "
+        f"CASE WHEN {a} + {d} = 0 THEN 0 ELSE {a} / ({a} + {d}) END AS recall, "
+        f"CASE WHEN 2 * {a} + {b} + {d} = 0 THEN 0 ELSE 2 * {a} / (2 * {a} + {b} + {d}) END AS f1_score, "
+        f"CAST({a} + {d} AS BIGINT) AS support FROM d WHERE {a} + {b} + {d} > 0")
+    return _SCORED_SQL + f"""
+, d AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn,
+               CAST(tn AS DOUBLE) AS tn FROM cm)
+, per AS ({cls('0', 'tn', 'fn', 'fp')} UNION ALL {cls('1', 'tp', 'fp', 'fn')})
+, rep AS (
+  SELECT * FROM per
+  UNION ALL SELECT 'accuracy', NULL, NULL, (tp + tn) / (tp + fp + fn + tn), CAST(tp + fp + fn + tn AS BIGINT) FROM d
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM per
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per)
+SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1_score, 9) AS f1_score, support
+FROM rep
+"""
+
+
+@query("classification_report", with_features(_report_sql()))
+def classification_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: per-class precision/recall/F1/support plus accuracy, macro and weighted averages."""
+    from ..operators.metrics import classification_report
+
+    return _r9_all(classification_report(_scored(spark, sf_dir)))
+
+
+_TABLE_SQL = _SCORED_SQL + """
+, t AS (SELECT score, sum(isFraud) AS pos, count(*) - sum(isFraud) AS neg FROM sc GROUP BY score)
+, tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM t)
+"""
+
+
+@query("roc_auc", with_features(_TABLE_SQL + """
+, r AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM t)
+SELECT round(CAST(sum(CAST(pos AS HUGEINT) * (2 * (cum_neg - neg) + neg)) AS DOUBLE)
+             / (CAST(2 AS DOUBLE) * (SELECT P FROM tot) * (SELECT N FROM tot)), 9) AS roc_auc FROM r
+"""))
+def roc_auc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ROC AUC (ties half) via range-bucketed running sums, rounded to 9 dp."""
+    from ..operators.metrics import roc_auc
+
+    v = roc_auc(_scored(spark, sf_dir))
+    return spark.createDataFrame([(None if v is None else round(v, 9),)], "roc_auc double")
+
+
+@query("pr_auc", with_features(_TABLE_SQL + """
+, r AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos,
+                  sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM t)
+, x AS (SELECT pos, CAST(cum_pos AS DOUBLE) AS tp, CAST(cum_neg AS DOUBLE) AS fp,
+               CAST(cum_pos - pos AS DOUBLE) AS tp0, CAST(cum_neg - neg AS DOUBLE) AS fp0 FROM r)
+SELECT round(CAST(sum(CAST(CAST(pos AS DOUBLE) * (tp / (tp + fp)
+         + CASE WHEN tp0 + fp0 = 0 THEN CAST(1 AS DOUBLE) ELSE tp0 / (tp0 + fp0) END)
+         / (CAST(2 AS DOUBLE) * (SELECT P FROM tot)) AS DECIMAL(38,18))) AS DOUBLE), 9) AS pr_auc FROM x
+"""))
+def pr_auc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trapezoid PR AUC from (recall 0, precision 1), distributed running sums, 9 dp."""
+    from ..operators.metrics import pr_auc
+
+    v = pr_auc(_scored(spark, sf_dir))
+    return spark.createDataFrame([(None if v is None else round(v, 9),)], "pr_auc double")
+
+
+@query("class_weights", _oracle_tx("""
+SELECT isFraud, count(*) AS n,
+  round((SELECT count(*) FROM tx) / (CAST(2 AS DOUBLE) * count(*)), 9) AS weight
+FROM tx GROUP BY isFraud
+"""))
+def class_weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: 'balanced' class weights n / (2 n_c) from one grouped count."""
+    from ..operators.models import class_weights
+
+    w = class_weights(transactions(spark, sf_dir), S.LABEL)
+    return w.select(S.LABEL, "n", F.round("weight", 9).alias("weight"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
