@@ -527,6 +527,109 @@ def class_weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(S.LABEL, "n", F.round("weight", 9).alias("weight"))
 
 
+
+# --------------------------------------------------------- end to end ---
+@query("pipeline_split_balance", _oracle_tx(_SPLIT_SQL + """
+SELECT split, isFraud, count(*) AS n FROM assigned GROUP BY split, isFraud
+"""))
+def pipeline_split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 end to end (clean -> write -> fit + features -> write -> split -> write), then
+    S7: the class balance read back from the written, split-partitioned table."""
+    from .jobs import run_data_pipeline, scratch_dir
+
+    out = run_data_pipeline(spark, transactions(spark, sf_dir), scratch_dir(spark, "pipeline"))
+    written = spark.read.parquet(out["split"])
+    return written.groupBy("split", S.LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------- models ---
+# Model queries train on the train side of the cleaned, engineered tx and
+# score the test side. Tree scores depend on Spark's learners, so these are
+# row-count checked only (no SQL oracle).
+_MODEL_CACHE: dict = {}
+
+
+def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned (type-encoded, ids pseudonymized) tx + 58 features + split column."""
+    from ..operators.preprocess import Preprocessor
+    from ..operators.split import StratifiedSplitter
+
+    clean = Preprocessor(salt="").process(transactions(spark, sf_dir))
+    eng = FeatureChain().fit(clean).transform(clean)
+    return StratifiedSplitter().assign(eng)
+
+
+def trained(spark: SparkSession, sf_dir: str, name: str):
+    """(model, frame) for a small fixed configuration; memoized per session."""
+    from ..operators.models import ModelFactory, ModelTrainer, feature_columns
+
+    key = (id(spark), sf_dir, name)
+    if key not in _MODEL_CACHE:
+        df = model_frame(spark, sf_dir)
+        kw = (dict(n_estimators=20, max_depth=4, learning_rate=0.1) if name == "xgboost"
+              else dict(n_estimators=20, max_depth=6))
+        train = df.where(F.col("split") == "train")
+        model = ModelTrainer(ModelFactory.create(name, **kw)).train(train, feature_columns(train))
+        _MODEL_CACHE[key] = (model, df)
+    return _MODEL_CACHE[key]
+
+
+def _scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from ..operators.models import score
+
+    model, df = trained(spark, sf_dir, name)
+    return score(model, df.where(F.col("split") == "test")).select(S.ROW_ID, S.LABEL, "score", "prediction")
+
+
+@query("gbt_scores", None)
+def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees (20 rounds, depth 4) trained on the train side; test scores."""
+    return _scores(spark, sf_dir, "xgboost")
+
+
+@query("rf_scores", None)
+def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M4, M5, M7: balanced random forest (20 trees, depth 6); test scores."""
+    return _scores(spark, sf_dir, "random_forest")
+
+
+@query("feature_importance", None)
+def feature_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of the 66 model inputs of the boosted trees, descending."""
+    from ..operators.models import feature_importance
+
+    model, _ = trained(spark, sf_dir, "xgboost")
+    return feature_importance(model)
+
+
+@query("top_features", None)
+def top_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the 20 most important inputs (a top-k report)."""
+    from ..operators.models import feature_importance, top_features
+
+    model, _ = trained(spark, sf_dir, "xgboost")
+    return top_features(feature_importance(model), 20)
+
+
+@query("attributions", None)
+def attributions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact TreeSHAP attributions of every test row (mapInPandas over the rows)."""
+    from ..operators.explain import TreeExplainer
+
+    model, df = trained(spark, sf_dir, "xgboost")
+    return TreeExplainer(model).attributions(df.where(F.col("split") == "test"))
+
+
+@query("attribution_summary", None)
+def attribution_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean |attribution| per input over all test rows, descending."""
+    from ..operators.explain import TreeExplainer, summarize
+
+    model, df = trained(spark, sf_dir, "xgboost")
+    ex = TreeExplainer(model)
+    return summarize(ex.attributions(df.where(F.col("split") == "test")), ex.features)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
