@@ -16,12 +16,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors as E
 from .. import schema as S
+from ..session import persist_adaptive
 from .prefix import running_sums
 
 PRED = "prediction"
@@ -174,7 +174,7 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str = S.LABEL, score: str = SCORE, buckets: int | None = None) -> float | None:
     """Exact ROC AUC with ties counted half; None for one class."""
-    t = score_table(df, label, score).persist(StorageLevel.MEMORY_AND_DISK)
+    t = persist_adaptive(score_table(df, label, score))
     try:
         tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
         P, N = int(tot["P"] or 0), int(tot["N"] or 0)
@@ -203,7 +203,7 @@ def pr_curve_terms(t: DataFrame, P: int, buckets: int | None = None) -> DataFram
 
 def pr_auc(df: DataFrame, label: str = S.LABEL, score: str = SCORE, buckets: int | None = None) -> float | None:
     """Trapezoid area under the PR curve from (0, 1); None for one class."""
-    t = score_table(df, label, score).persist(StorageLevel.MEMORY_AND_DISK)
+    t = persist_adaptive(score_table(df, label, score))
     try:
         tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
         P, N = int(tot["P"] or 0), int(tot["N"] or 0)

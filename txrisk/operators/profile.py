@@ -18,7 +18,7 @@ def dataset_summary(df: DataFrame, label: str = S.LABEL) -> DataFrame:
         n.alias("n_rows"),
         F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
         F.coalesce(F.sum(label), F.lit(0)).cast("bigint").alias("fraud_cases"),
-        (F.sum(label).cast("double") * 100.0 / n).alias("fraud_rate_pct"),
+        F.try_divide(F.sum(label).cast("double") * 100.0, n).alias("fraud_rate_pct"),
     )
 
 

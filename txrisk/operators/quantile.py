@@ -18,10 +18,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_adaptive
 from .prefix import bucketize
 
 DEFAULT_BUCKETS = 1024
@@ -106,7 +106,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
     values = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     # the few refinement jobs re-read one column; keep it (spills to disk, and
     # lost blocks are recomputed from lineage)
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    values = persist_adaptive(values)
     try:
         return _quantiles(values, qs, buckets, max_rows)
     finally:

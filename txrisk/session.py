@@ -50,3 +50,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def persist_adaptive(df, level=None):
+    """Persist ``df`` letting AQE size the cached output by the measured data.
+
+    By default AQE may not change a cached plan's output partitioning, so a
+    small frame keeps every shuffle partition (200+) and each pass over the
+    cache (e.g. every boosting round) pays for all those tasks. Allowing it
+    while the cache is defined makes AQE coalesce to its advisory partition
+    size (64 MB): few partitions for small data, many for large data.
+    """
+    from pyspark import StorageLevel
+
+    conf = df.sparkSession.conf
+    key = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    old = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return df.persist(level or StorageLevel.MEMORY_AND_DISK)
+    finally:
+        conf.set(key, old)
