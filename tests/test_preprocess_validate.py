@@ -121,3 +121,12 @@ def test_profiles(spark):
     prof = {r["column"]: r for r in A.schema_profile(spark, df).collect()}
     assert prof["type"]["is_string"] == 1 and prof["amount"]["is_numeric"] == 1
     assert [r["row_id"] for r in A.preview(df, 3).collect()] == [0, 1, 2]
+
+
+def test_strict_mode_checks_labels(spark):
+    rows = [BASE[0][:10] + (3, 0)] + BASE[1:]
+    assert P.Preprocessor(salt="").process(frame(spark, rows)).count() == 5
+    with pytest.raises(E.DataValidationError, match=r"\[3\]"):
+        P.Preprocessor(salt="").process(frame(spark, rows), strict=True)
+    with pytest.raises(E.SchemaValidationError):
+        P.Preprocessor().process(frame(spark))  # pseudonymizing needs an explicit salt

@@ -71,17 +71,25 @@ class Preprocessor:
         V.validate_required_columns(df)
         V.validate_numeric_columns(df, PREPROCESS_NUMERIC)
 
-    def process(self, df: DataFrame, pseudonymize_pii: bool = True, report: bool = False) -> DataFrame:
+    def process(self, df: DataFrame, pseudonymize_pii: bool = True, report: bool = False,
+                strict: bool = False) -> DataFrame:
+        """``strict=True`` adds the full schema validation (V7: duplicate names,
+        ``step`` numeric, labels in {0, 1}) -- label checks ride in the same job."""
         self.checks(df)
+        if strict:
+            V.validate_duplicate_columns(df)
+            V.validate_numeric_columns(df)
         clean = drop_missing(df)
-        rules = [*V.negative_rules(), V.categorical_rule()]
-        counts = V.count_violations(clean, rules)
+        integrity = [*V.negative_rules(), V.categorical_rule()]
+        labels = [V.target_rule()] if strict else []
+        counts = V.count_violations(clean, integrity + labels)  # one job for all rules
         if counts["rows"] == 0:
             raise E.SchemaValidationError("Input dataframe is empty (after dropping missing values).")
         try:
-            V.enforce(clean, rules, counts)
+            V.enforce(clean, integrity, counts)
         except E.DataValidationError as exc:  # unknown types are an integrity error here
             raise E.DataIntegrityError(f"Unknown transaction type(s): {exc}") from exc
+        V.enforce(clean, labels, counts)
         out = encode_transaction_type(remove_duplicates(clean))
         if pseudonymize_pii:
             if self._salt is None:
