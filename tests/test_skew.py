@@ -37,3 +37,15 @@ def test_blocked_equals_window_on_hot_key(spark, block_rows):
         assert a[k].asDict() == w[k].asDict()
     hot = [r for r in w.values() if r[S.NAME_DEST] == "M_HOT"]
     assert max(r["receiver_txn_count"] for r in hot) == 1000
+
+
+def test_sparse_ids_resequenced(spark):
+    from pyspark.sql import functions as F
+
+    df = skewed(spark).withColumn(S.ROW_ID, F.col(S.ROW_ID) * 1_000_003 + 17)  # sparse, same order
+    w = {r[S.ROW_ID]: r for r in BehaviorFeatures("window").transform(df).collect()}
+    b = BehaviorFeatures("blocked", block_rows=64, resequence=True)
+    got = {r[S.ROW_ID]: r for r in b.transform(df).collect()}
+    assert got.keys() == w.keys()
+    for k in got:
+        assert got[k].asDict() == w[k].asDict()

@@ -22,6 +22,10 @@ Two plans give identical results:
     joined back on the block key. Count, sum and last step are decomposable,
     so this is exact.
 
+Blocks bound their size by ``row_id`` density: ids assigned at ingest are
+dense. For sparse ids, ``resequence=True`` first assigns a dense ``_seq`` in
+``(step, row_id)`` order (one range-partitioned sort, checkpointed).
+
 ``mode="auto"`` (default)
     one sampled probe job estimates the largest account on each side; a side
     whose estimate exceeds ``hot_key_rows`` uses the blocked plan, the other
@@ -65,6 +69,27 @@ def _finish(df: DataFrame, side: str, count_c, prior_count_c, prior_sum_c, gap_c
     ]
 
 
+SEQ = "_seq"
+
+
+def resequenced(df: DataFrame) -> DataFrame:
+    """Add a dense ``_seq`` increasing in ``(step, row_id)`` order.
+
+    For sparse row ids (e.g. hashed natural keys), blocks of ``row_id div
+    block_rows`` would hold one row each, leaving a hot account's block table
+    as long as the account. A range-partitioned sort (it splits a hot step by
+    ``row_id``) followed by ``monotonically_increasing_id`` gives ids dense
+    within every range. The result is checkpointed to the shared checkpoint
+    folder so every branch of the plan reads the same ids (sampled range
+    bounds are never re-drawn).
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = df.repartitionByRange(S.STEP, S.ROW_ID).sortWithinPartitions(S.STEP, S.ROW_ID)
+    return ordered.withColumn(SEQ, F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
 def hot_sides(df: DataFrame, hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
               fraction: float = DEFAULT_PROBE_FRACTION, seed: int = S.RANDOM_STATE) -> dict[str, bool]:
     """Estimate, per side, whether some account holds more than ``hot_key_rows`` rows.
@@ -82,9 +107,9 @@ def hot_sides(df: DataFrame, hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
     return {side: est.get(side, 0) > hot_key_rows for side in _SIDES}
 
 
-def _side_window(df: DataFrame, side: str) -> DataFrame:
+def _side_window(df: DataFrame, side: str, order: str = S.ROW_ID) -> DataFrame:
     key = _SIDES[side]
-    w = Window.partitionBy(key).orderBy(S.STEP, S.ROW_ID)
+    w = Window.partitionBy(key).orderBy(S.STEP, order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     n = F.row_number().over(w)
     prior_sum = F.coalesce(F.sum(money(S.AMOUNT)).over(before), F.lit(0).cast("decimal(38,6)"))
@@ -93,14 +118,14 @@ def _side_window(df: DataFrame, side: str) -> DataFrame:
     return df.select("*", *_finish(df, side, n, n - 1, prior_sum, gap))
 
 
-def _side_blocked(df: DataFrame, side: str, block_rows: int) -> DataFrame:
+def _side_blocked(df: DataFrame, side: str, block_rows: int, order: str = S.ROW_ID) -> DataFrame:
     key = _SIDES[side]
     blk = f"_{side}_blk"
     bkeys = [key, S.STEP, blk]
-    rows = df.withColumn(blk, F.expr(f"{S.ROW_ID} div {int(block_rows)}"))
+    rows = df.withColumn(blk, F.expr(f"`{order}` div {int(block_rows)}"))
 
     # 1) inside each block (bounded size, spread over all tasks)
-    wb = Window.partitionBy(*bkeys).orderBy(S.ROW_ID)
+    wb = Window.partitionBy(*bkeys).orderBy(order)
     wb_all = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wb_before = wb.rowsBetween(Window.unboundedPreceding, -1)
     amt = money(S.AMOUNT)
@@ -151,7 +176,8 @@ class BehaviorFeatures:
     required = (S.STEP, S.AMOUNT, S.NAME_ORIG, S.NAME_DEST)
 
     def __init__(self, mode: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS,
-                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float = DEFAULT_PROBE_FRACTION):
+                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float = DEFAULT_PROBE_FRACTION,
+                 resequence: bool = False):
         if mode not in ("auto", "blocked", "window"):
             raise ValueError("mode must be 'auto', 'blocked' or 'window'")
         if block_rows < 1:
@@ -162,6 +188,7 @@ class BehaviorFeatures:
         self.block_rows = block_rows
         self.hot_key_rows = hot_key_rows
         self.probe_fraction = probe_fraction
+        self.resequence = resequence
         self.last_plan: dict[str, str] = {}
 
     def check(self, df: DataFrame) -> None:
@@ -183,10 +210,13 @@ class BehaviorFeatures:
         else:
             plan = {side: self.mode for side in _SIDES}
         self.last_plan = plan
+        order = S.ROW_ID
+        if self.resequence and "blocked" in plan.values():
+            out, order = resequenced(base), SEQ
         for side in ("sender", "receiver"):
             if plan[side] == "window":
-                out = _side_window(out, side)
+                out = _side_window(out, side, order)
             else:
-                out = _side_blocked(out, side, self.block_rows)
+                out = _side_blocked(out, side, self.block_rows, order)
         # reference column order: sender/receiver interleaved per feature
         return out.select(*base.columns, *S.BEHAVIOR_FEATURES)

@@ -43,10 +43,12 @@ class FeatureChain:
                  amount_high_value_threshold: float | None = None,
                  amount_high_value_percentile: float = S.DEFAULT_QUANTILE,
                  behavior_mode: str = "auto", behavior_block_rows: int | None = None,
-                 balance_precision: str = "float"):
+                 balance_precision: str = "float", behavior_resequence: bool = False):
         self.amount = AmountFeatures(amount_high_value_percentile, amount_high_value_threshold)
         self.risk = RiskFeatures(risk_large_txn_threshold)
-        kw = {} if behavior_block_rows is None else {"block_rows": behavior_block_rows}
+        kw = {"resequence": behavior_resequence}
+        if behavior_block_rows is not None:
+            kw["block_rows"] = behavior_block_rows
         self.stages: list = [
             self.amount,
             BalanceFeatures(balance_precision),

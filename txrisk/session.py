@@ -71,3 +71,24 @@ def persist_adaptive(df, level=None):
         return df.persist(level or StorageLevel.MEMORY_AND_DISK)
     finally:
         conf.set(key, old)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Suggested settings for a large run (pass to ``SparkSession.builder.config``).
+
+    Shuffle partitions follow the data (about ``target_partition_bytes`` of
+    shuffle input each, at least 3 per core) so a task's share fits in
+    executor memory; AQE then coalesces small ones and splits skewed join
+    partitions at runtime.
+    """
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
