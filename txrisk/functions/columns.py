@@ -36,11 +36,12 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num, den), F.lit(0.0))
 
 
-def f32_ratio_or_zero(num: Column, den: Column) -> Column:
-    """float32 num / den; NaN (den 0) and +-inf map to 0, as nan_to_num does."""
-    q = F.try_divide(num, den).cast("float")
+def f32_ratio_or_zero(num: Column, den: Column, dtype: str = "float") -> Column:
+    """num / den in ``dtype``; NaN (den 0) and +-inf map to 0, as nan_to_num does."""
+    q = F.try_divide(num, den).cast(dtype)
+    zero = F.lit(0.0).cast(dtype)
     return (
-        F.when(q.isNull() | F.isnan(q) | (F.abs(q) == F.lit(float("inf")).cast("float")), lit_f32(0.0))
+        F.when(q.isNull() | F.isnan(q) | (F.abs(q) == F.lit(float("inf")).cast(dtype)), zero)
         .otherwise(q)
     )
 

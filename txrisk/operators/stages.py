@@ -126,10 +126,10 @@ class BalanceFeatures(Stage):
         return [
             s_delta.cast(out_t).alias("sender_balance_delta"),
             r_delta.cast(out_t).alias("receiver_balance_delta"),
-            f32_ratio_or_zero(s_delta, s_old).cast(out_t).alias("sender_balance_pct_change"),
-            f32_ratio_or_zero(r_delta, r_old).cast(out_t).alias("receiver_balance_pct_change"),
-            f32_ratio_or_zero(s_new, s_old).cast(out_t).alias("remaining_sender_ratio"),
-            f32_ratio_or_zero(r_new, r_old).cast(out_t).alias("receiver_growth_ratio"),
+            f32_ratio_or_zero(s_delta, s_old, out_t).alias("sender_balance_pct_change"),
+            f32_ratio_or_zero(r_delta, r_old, out_t).alias("receiver_balance_pct_change"),
+            f32_ratio_or_zero(s_new, s_old, out_t).alias("remaining_sender_ratio"),
+            f32_ratio_or_zero(r_new, r_old, out_t).alias("receiver_growth_ratio"),
             flag(s_old == zero).alias("sender_zero_before"),
             flag(s_zero_after).alias("sender_zero_after"),
             flag(r_zero_before).alias("receiver_zero_before"),

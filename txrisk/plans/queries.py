@@ -630,6 +630,60 @@ def attribution_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize(ex.attributions(df.where(F.col("split") == "test")), ex.features)
 
 
+
+# ------------------------------------------------------- plan variants ---
+@query("behavior_blocked", with_features("SELECT row_id, " + ", ".join(S.BEHAVIOR_FEATURES) + " FROM scored"))
+def behavior_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1-W12 through the skew-safe blocked plan on both sides (64-row blocks), which the
+    automatic probe picks for hot accounts; must equal the plain windows."""
+    df = engineered(spark, sf_dir, behavior_mode="blocked", behavior_block_rows=64)
+    return df.select(S.ROW_ID, *S.BEHAVIOR_FEATURES)
+
+
+_B_DOUBLE_SQL = """
+, d AS (SELECT row_id, amount AS a, oldbalanceOrg AS so, newbalanceOrig AS sn, oldbalanceDest AS ro,
+               newbalanceDest AS rn FROM tx)
+SELECT row_id, so - sn AS sender_balance_delta, rn - ro AS receiver_balance_delta,
+  CASE WHEN so = 0 THEN CAST(0 AS DOUBLE) ELSE (so - sn) / so END AS sender_balance_pct_change,
+  CASE WHEN ro = 0 THEN CAST(0 AS DOUBLE) ELSE (rn - ro) / ro END AS receiver_balance_pct_change,
+  CASE WHEN so = 0 THEN CAST(0 AS DOUBLE) ELSE sn / so END AS remaining_sender_ratio,
+  CASE WHEN ro = 0 THEN CAST(0 AS DOUBLE) ELSE rn / ro END AS receiver_growth_ratio,
+  CAST(so = 0 AS TINYINT) AS sender_zero_before, CAST(sn = 0 AS TINYINT) AS sender_zero_after,
+  CAST(ro = 0 AS TINYINT) AS receiver_zero_before, CAST(rn = 0 AS TINYINT) AS receiver_zero_after,
+  CAST(sn < 0 OR rn < 0 AS TINYINT) AS negative_balance_flag,
+  CAST(so > 0 AND sn = 0 AS TINYINT) AS sender_balance_exhausted,
+  CAST(abs(sn - (so - a)) > 0.01 AS TINYINT) AS sender_balance_mismatch,
+  CAST(abs(rn - (ro + a)) > 0.01 AS TINYINT) AS receiver_balance_mismatch,
+  CAST(ro = 0 AND rn = 0 AND a > 0 AS TINYINT) AS receiver_zero_balance_anomaly
+FROM d
+"""
+
+
+@query("balance_features_double", _oracle_tx(_B_DOUBLE_SQL))
+def balance_features_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1-B15 with precision="double" (the intended tolerance semantics, SURVEY T3)."""
+    from ..operators.stages import BalanceFeatures
+
+    tx = transactions(spark, sf_dir)
+    return BalanceFeatures(precision="double").transform(tx).select(S.ROW_ID, *S.BALANCE_FEATURES)
+
+
+_MODEL_INPUTS = [S.STEP, S.AMOUNT, S.OLD_ORIG, S.NEW_ORIG, S.OLD_DEST, S.NEW_DEST, S.FLAGGED,
+                 *S.ALL_FEATURES]
+
+
+@query("feature_finite_check", with_features("\nUNION ALL\n".join(
+    f"SELECT 'non_finite' AS rule, '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL "
+    f"OR isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE))) AS violations FROM scored"
+    for c in _MODEL_INPUTS)))
+def feature_finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8 over the engineered table: null / NaN / inf count of every numeric model input (one job)."""
+    from ..operators import validate as V
+
+    df = engineered(spark, sf_dir).select(*_MODEL_INPUTS)
+    return V.violation_table(df, V.non_finite_rules(df))
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
