@@ -22,14 +22,6 @@ def dataset_summary(df: DataFrame, label: str = S.LABEL) -> DataFrame:
     )
 
 
-def _stack(wide: DataFrame, names: list[str], value_cols: dict[str, str]) -> DataFrame:
-    """Turn one wide row into one row per column (a small, fixed-size explode)."""
-    structs = [F.struct(F.lit(c).alias("column"),
-                        *[F.col(f"{p}{i}").alias(k) for k, p in value_cols.items()])
-               for i, c in enumerate(names)]
-    return wide.select(F.explode(F.array(*structs)).alias("e")).select("e.*")
-
-
 def null_counts(df: DataFrame) -> DataFrame:
     """A5: rows and null count per column (one job): (column, position, null_count, n_rows)."""
     names = df.columns

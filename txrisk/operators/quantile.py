@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_adaptive
+from ..session import is_plain_scan, persist_adaptive
 from .prefix import bucketize
 
 DEFAULT_BUCKETS = 1024
@@ -104,8 +104,11 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
             raise ValueError("quantiles must be in [0, 1]")
     x = F.col(column).cast("double")
     values = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    # the few refinement jobs re-read one column; keep it (spills to disk, and
-    # lost blocks are recomputed from lineage)
+    # The few refinement jobs re-read one column. Re-reading a file column is
+    # cheap; an expensive upstream plan (joins, windows) is cached instead
+    # (spills to disk; lost blocks are recomputed from lineage).
+    if is_plain_scan(values):
+        return _quantiles(values, qs, buckets, max_rows)
     values = persist_adaptive(values)
     try:
         return _quantiles(values, qs, buckets, max_rows)

@@ -92,3 +92,13 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+_HEAVY_NODES = ("Join", "Window", "Aggregate", "Union", "Generate", "Expand", "Sort", "Sample",
+                "MapInPandas", "LocalRelation", "LogicalRDD")
+
+
+def is_plain_scan(df) -> bool:
+    """True when ``df`` only projects/filters files (re-reading it is cheap)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(n in plan for n in _HEAVY_NODES)
