@@ -108,3 +108,13 @@ def test_chain_params_roundtrip_and_registry(spark, tmp_path):
     assert "amount_x2" in out.columns and out.columns[-1] == "high_risk_transaction"
     with pytest.raises(E.FeatureRegistryError):
         FeatureChain().transform(tx)
+
+
+def test_cli_profile(tmp_path, capsys):
+    from txrisk.__main__ import main
+
+    p = tmp_path / "t.csv"
+    p.write_text("step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,"
+                 "newbalanceDest,isFraud,isFlaggedFraud\n1,PAYMENT,1.5,C1,10,8.5,M1,0,0,0,0\n")
+    main(["profile", "--source", str(p)])
+    assert "nameOrig" in capsys.readouterr().out

@@ -157,3 +157,11 @@ def test_exact_quantiles_equal_pandas(spark, max_rows, buckets):
 def test_quantile_golden_fixture(spark):
     df = spark.createDataFrame([(100.0,), (5000.0,), (2500.0,), (300.0,), (10000.0,)], "amount double")
     assert exact_quantiles(df, "amount", [0.95]) == [9000.0]
+
+
+def test_compute_with_and_without_probabilities(spark):
+    df = spark.createDataFrame(FIX, "score double, isFraud int").withColumn("prediction", M.predict_at("score"))
+    m = M.compute(df)
+    assert m["roc_auc"] is None and m["accuracy"] == pytest.approx(2 / 3)
+    m = M.compute(df, prob="score")
+    assert m["roc_auc"] == pytest.approx(5.5 / 9) and m["pr_auc"] == pytest.approx(0.627778, abs=1e-6)

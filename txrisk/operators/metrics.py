@@ -217,6 +217,23 @@ def pr_auc(df: DataFrame, label: str = S.LABEL, score: str = SCORE, buckets: int
 
 
 # ------------------------------------------------------------ consolidated ---
+def compute(df: DataFrame, label: str = S.LABEL, pred: str = PRED, prob: str | None = None) -> dict:
+    """E1-E7 for given predicted labels and, optionally, class-1 probabilities.
+
+    ``roc_auc`` / ``pr_auc`` are None without probabilities or with one class.
+    """
+    validate_inputs(df, label, pred, prob)
+    out = binary_metrics(df, label, pred).first().asDict()
+    out["classification_report"] = [r.asDict() for r in classification_report(df, label, pred).collect()]
+    if prob is None:
+        out["roc_auc"] = out["pr_auc"] = None
+    else:
+        out["roc_auc"] = roc_auc(df, label, prob)
+        out["pr_auc"] = pr_auc(df, label, prob)
+    return out
+
+
+
 def evaluate_scores(df: DataFrame, label: str = S.LABEL, score: str = SCORE,
                     threshold: float = S.DEFAULT_THRESHOLD) -> dict:
     """E9 core: all metrics of a scored frame (label + positive-class score)."""
