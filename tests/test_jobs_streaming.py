@@ -118,3 +118,21 @@ def test_cli_profile(tmp_path, capsys):
                  "newbalanceDest,isFraud,isFlaggedFraud\n1,PAYMENT,1.5,C1,10,8.5,M1,0,0,0,0\n")
     main(["profile", "--source", str(p)])
     assert "nameOrig" in capsys.readouterr().out
+
+
+def test_parquet_ingest_types(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    tx = transactions(spark, SF)
+    good = str(tmp_path / "good.parquet")
+    tx.drop("row_id").write.parquet(good)
+    df = io.load_transactions(spark, good)
+    assert df.count() == tx.count() and "row_id" in df.columns
+    keyed = io.load_transactions(spark, good, row_id="step")  # any existing unique column may serve
+    assert keyed.columns[0] == "row_id"
+    bad = str(tmp_path / "bad.parquet")
+    tx.withColumn("amount", F.col("amount").cast("string")).write.parquet(bad)
+    with pytest.raises(E.InvalidDataTypeError):
+        io.load_transactions(spark, bad)
+    with pytest.raises(E.DataLoadError):
+        io.load_transactions(spark, str(tmp_path / "x.json"), fmt="json")

@@ -58,7 +58,14 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
     if f".{kind}" not in S.SUPPORTED_DATA_FILES:
         raise E.DataLoadError(f"Unsupported data file '{path}'; expected one of {S.SUPPORTED_DATA_FILES}")
     if kind == "parquet":
+        from pyspark.sql import types as T
+
         df = spark.read.parquet(path)
+        types = {f.name: f.dataType for f in df.schema.fields}
+        wrong = [c for c in S.NUMERIC_COLUMNS + (S.LABEL, S.FLAGGED)
+                 if c in types and not isinstance(types[c], T.NumericType)]
+        if check_types and wrong:
+            raise E.InvalidDataTypeError(f"Columns must be numeric: {wrong}")
         df = df.select(*[F.col(c).cast(S.RAW_SCHEMA[c].dataType).alias(c) if c in S.RAW_SCHEMA.fieldNames()
                          else F.col(c) for c in df.columns])
     else:
