@@ -44,8 +44,7 @@ def test_training_pipeline_and_batch_scoring(spark, pipeline, tmp_path):
     assert spark.read.parquet(str(tmp_path / "attribution_summary")).count() == 66
     imp = spark.read.option("header", True).csv(str(tmp_path / "feature_importance"))
     assert imp.count() == 66
-    params = str(tmp_path / "params")
-    jobs._save_json(spark, res["feature_params"], params)
+    params = f"{out}/feature_params"  # written by the data pipeline
     clean = spark.read.parquet(res["cleaned"])
     scored = jobs.score_batch(spark, clean, params, str(tmp_path / "model"))
     assert scored.count() == clean.count()

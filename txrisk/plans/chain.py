@@ -149,14 +149,21 @@ class FeatureChain:
     def from_params(cls, params: dict, **kwargs) -> "FeatureChain":
         return cls(**params, **kwargs)
 
-    def save_params(self, path: str) -> None:
-        with open(path, "w") as fh:
-            json.dump(self.get_params(), fh)
+    def save_params(self, path: str, spark=None) -> None:
+        """Write both thresholds as JSON (through Spark for cluster storage)."""
+        text = json.dumps(self.get_params())
+        if spark is None:
+            with open(path, "w") as fh:
+                fh.write(text)
+            return
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
-    def load_params(cls, path: str, **kwargs) -> "FeatureChain":
-        with open(path) as fh:
-            return cls.from_params(json.load(fh), **kwargs)
+    def load_params(cls, path: str, spark=None, **kwargs) -> "FeatureChain":
+        if spark is None:
+            with open(path) as fh:
+                return cls.from_params(json.load(fh), **kwargs)
+        return cls.from_params(json.loads(spark.read.text(path).first()["value"]), **kwargs)
 
 
 def _apply(df: DataFrame, stages: list) -> DataFrame:

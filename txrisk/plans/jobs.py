@@ -7,7 +7,6 @@ source) and pins the ``row_id`` assigned at ingest.
 
 from __future__ import annotations
 
-import json
 import logging
 import uuid
 
@@ -32,14 +31,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _save_json(spark: SparkSession, obj: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(obj),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def _load_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(path).first()["value"])
-
-
 def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
                       test_size: float = S.TEST_SIZE, seed: int = S.RANDOM_STATE,
                       fit_scope: str = "all", quantile: float = S.DEFAULT_QUANTILE,
@@ -66,7 +57,7 @@ def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
         chain.fit(clean, quantile)
         eng = chain.transform(clean)
     write_table(eng, f"{out_dir}/engineered")
-    _save_json(spark, chain.get_params(), f"{out_dir}/feature_params")
+    chain.save_params(f"{out_dir}/feature_params", spark)
     eng = spark.read.parquet(f"{out_dir}/engineered")
     assigned = eng if SPLIT_COL in eng.columns else splitter.assign(eng)
     write_split(assigned, f"{out_dir}/split")
@@ -111,7 +102,7 @@ def score_batch(spark: SparkSession, df: DataFrame, params_path: str, model_path
     """M6: batch inference with reloaded thresholds (S11) and model."""
     from ..operators.models import load_model
 
-    chain = FeatureChain.from_params(_load_json(spark, params_path))
+    chain = FeatureChain.load_params(params_path, spark)
     model = load_model(model_path)
     return score(model, chain.transform(df))
 
