@@ -684,6 +684,29 @@ def feature_finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.violation_table(df, V.non_finite_rules(df))
 
 
+
+def _train_fit_sql() -> str:
+    from .oracle_sql import FEATURE_CTES
+
+    all_rows = "thr AS (SELECT quantile_cont(amount, 0.95) AS t FROM tx)"
+    train_rows = ("thr AS (SELECT quantile_cont(tx.amount, 0.95) AS t FROM tx "
+                  "JOIN assigned a ON a.row_id = tx.row_id WHERE a.split = 'train')")
+    assert all_rows in FEATURE_CTES
+    body = "SELECT row_id, is_high_value, " + ", ".join(S.RISK_FEATURES) + " FROM scored"
+    return _oracle_tx(_SPLIT_SQL + FEATURE_CTES.replace(all_rows, train_rows) + "\n" + body)
+
+
+@query("risk_features_train_fit", _train_fit_sql())
+def risk_features_train_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T9 option fit_scope="train": thresholds fitted on the train side of the stratified split
+    only, then F3 and R1-R9 computed for every row."""
+    from ..operators.split import SPLIT_COL, StratifiedSplitter
+
+    assigned = StratifiedSplitter(test_size=0.2, random_state=42).assign(transactions(spark, sf_dir))
+    chain = FeatureChain().fit(assigned.where(F.col(SPLIT_COL) == "train"))
+    return chain.transform(assigned).select(S.ROW_ID, "is_high_value", *S.RISK_FEATURES)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
