@@ -49,3 +49,10 @@ def test_sparse_ids_resequenced(spark):
     assert got.keys() == w.keys()
     for k in got:
         assert got[k].asDict() == w[k].asDict()
+
+
+def test_probe_default_fraction_follows_threshold(spark):
+    from txrisk.operators.behavior import probe_fraction
+
+    assert probe_fraction(1 << 20) < 0.001 and probe_fraction(100) == 1.0
+    assert hot_sides(skewed(spark), hot_key_rows=500) == {"sender": False, "receiver": True}

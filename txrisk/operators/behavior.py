@@ -46,7 +46,7 @@ from ..functions.columns import flag, money, prior_mean
 
 DEFAULT_BLOCK_ROWS = 1 << 16
 DEFAULT_HOT_KEY_ROWS = 1 << 20
-DEFAULT_PROBE_FRACTION = 0.01
+PROBE_HITS = 200  # expected sampled rows of an account right at the hot threshold
 
 _SIDES = {
     "sender": S.NAME_ORIG,
@@ -90,13 +90,23 @@ def resequenced(df: DataFrame) -> DataFrame:
     return ordered.withColumn(SEQ, F.monotonically_increasing_id()).checkpoint(eager=True)
 
 
+def probe_fraction(hot_key_rows: int) -> float:
+    """Sample fraction giving ~200 expected hits for an account at the threshold.
+
+    It depends on the threshold, not the data size, so the probe's shuffle
+    stays small on any input (about 0.02 % of rows for a 2^20-row threshold).
+    """
+    return min(1.0, PROBE_HITS / max(1, hot_key_rows))
+
+
 def hot_sides(df: DataFrame, hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
-              fraction: float = DEFAULT_PROBE_FRACTION, seed: int = S.RANDOM_STATE) -> dict[str, bool]:
+              fraction: float | None = None, seed: int = S.RANDOM_STATE) -> dict[str, bool]:
     """Estimate, per side, whether some account holds more than ``hot_key_rows`` rows.
 
     One job over a Bernoulli sample of the two key columns; only two numbers
     come back. A routing hint only (see module doc), never a result.
     """
+    fraction = probe_fraction(hot_key_rows) if fraction is None else fraction
     sample = df.select(S.NAME_ORIG, S.NAME_DEST).sample(fraction=fraction, seed=seed)
     keyed = sample.select(F.explode(F.array(
         F.struct(F.lit("sender").alias("side"), F.col(S.NAME_ORIG).alias("k")),
@@ -176,13 +186,13 @@ class BehaviorFeatures:
     required = (S.STEP, S.AMOUNT, S.NAME_ORIG, S.NAME_DEST)
 
     def __init__(self, mode: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS,
-                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float = DEFAULT_PROBE_FRACTION,
+                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float | None = None,
                  resequence: bool = False):
         if mode not in ("auto", "blocked", "window"):
             raise ValueError("mode must be 'auto', 'blocked' or 'window'")
         if block_rows < 1:
             raise ValueError("block_rows must be >= 1")
-        if not 0 < probe_fraction <= 1:
+        if probe_fraction is not None and not 0 < probe_fraction <= 1:
             raise ValueError("probe_fraction must be in (0, 1]")
         self.mode = mode
         self.block_rows = block_rows

@@ -38,7 +38,7 @@ def running_sums(df: DataFrame, key: str, cols: list[str], descending: bool = Fa
     base = df.withColumn(ok, (-F.col(key) if descending else F.col(key)).cast("double"))
     if p > 1:
         grid = [i / p for i in range(1, p)]
-        bounds = base.agg(F.percentile_approx(ok, grid, 100 * p).alias("b")).first()["b"] or []
+        bounds = base.agg(F.percentile_approx(ok, grid, 10 * p).alias("b")).first()["b"] or []
         inner = sorted({float(b) for b in bounds if b is not None and math.isfinite(b)})
     else:
         inner = []
