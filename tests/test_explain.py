@@ -96,3 +96,20 @@ def test_rejects_nan_and_non_tree(spark):
         ex.attributions(bad)
     with pytest.raises(E.ExplainerError):
         TreeExplainer(None)
+
+
+def test_tables_equal_recursion_and_deep_fallback(spark, monkeypatch):
+    from txrisk.operators import explain as X
+
+    df = _frame(spark)
+    model = ModelTrainer(ModelFactory.create("random_forest", n_estimators=4, max_depth=6,
+                                             class_weight=None)).train(df, FEATS)
+    ex = TreeExplainer(model)
+    x = np.asfortranarray(df.orderBy("row_id").toPandas()[FEATS].to_numpy())
+    a, b = np.zeros(x.shape, order="F"), np.zeros(x.shape, order="F")
+    for t, s in zip(ex.trees, ex.scales):
+        X.tree_shap(x, t, a, s)
+        X.table_shap(x, X.compile_tree(t), b, s)
+    assert np.allclose(a, b, atol=1e-12)
+    monkeypatch.setattr(X, "MAX_TABLE_DEPTH", 1)  # every tree takes the recursive path
+    assert all(X.compile_tree(t) is None for t in ex.trees if (t["left"] >= 0).sum() > 1)
