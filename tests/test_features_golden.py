@@ -174,3 +174,9 @@ def test_no_nan_and_finite(spark):
         for k, v in r.asDict().items():
             if isinstance(v, float):
                 assert math.isfinite(v), k
+
+
+def test_sorted_output_follows_step_then_input_order(spark):
+    chain, _ = _run(spark, 1)
+    rows = chain.transform(edge_frame(spark, 4), sort=True).collect()
+    assert [r[S.ROW_ID] for r in rows] == [1, 2, 0, 3, 4, 5, 6, 7]
