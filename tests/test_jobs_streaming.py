@@ -29,6 +29,11 @@ def test_data_pipeline_outputs(spark, pipeline):
     train = io.read_split(spark, res["split"], "train")
     test = io.read_split(spark, res["split"], "test")
     assert train.count() + test.count() == n
+    plan = test.select("amount")._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert re.search(r"PartitionFilters: \[isnotnull\(split#\d+\), \(split#\d+ = test\)\]", plan)
+    assert "ReadSchema: struct<amount:double>" in plan                                 # column pruning
     x, y = io.features_and_label(test)
     assert "isFraud" not in x.columns and "nameOrig" not in x.columns
     assert y.count() == test.count()
