@@ -120,7 +120,8 @@ def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray, scale: float) -> None:
 # which of its d (merged) path features the row satisfies, so the algorithm
 # above, run once with the 2^d patterns as its "rows", gives a (2^d x d)
 # table; a row then costs d interval tests and one gather per leaf.
-MAX_TABLE_DEPTH = 10
+MAX_TABLE_DEPTH = 8
+TABLE_BUDGET_BYTES = 256 << 20  # per Python worker, all trees of a model together
 
 
 def leaf_paths(tree: dict) -> list:
@@ -163,14 +164,21 @@ def leaf_table(value: float, z: np.ndarray) -> np.ndarray:
     return np.stack([value * _unwound_sum(m, k + 1) * (o[:, k] - z[k]) for k in range(d)], axis=1)
 
 
-def compile_tree(tree: dict):
-    """Pattern tables for every leaf, or None when a path is too long for tables."""
+def compile_tree(tree: dict, budget: int | None = None):
+    """Pattern tables for every leaf, or None when a path is too long or the
+    tables would exceed ``budget`` bytes (that tree then uses the recursion)."""
     paths = leaf_paths(tree)
     if max((len(p[1]) for p in paths), default=0) > MAX_TABLE_DEPTH:
         return None
+    if budget is not None and table_bytes(paths) > budget:
+        return None
     return [(feats, lo, hi, leaf_table(v, z)) for v, feats, lo, hi, z in paths if len(feats)]
 
 
+def table_bytes(paths: list) -> int:
+    return sum((1 << len(p[1])) * len(p[1]) * 8 for p in paths)
+
+
 def table_shap(x: np.ndarray, compiled, phi: np.ndarray, scale: float) -> None:
     """Same result as ``tree_shap`` from precompiled pattern tables."""
     n = x.shape[0]
@@ -186,10 +194,18 @@ _COMPILED: dict = {}
 
 
 def _compiled(key: str, trees: list) -> list:
-    """Pattern tables per Python worker, built once per model and reused by later tasks."""
+    """Pattern tables per Python worker, built once per model and reused by later
+    tasks; trees past the memory budget keep the (equal) recursive algorithm."""
     if key not in _COMPILED:
         _COMPILED.clear()
-        _COMPILED[key] = [compile_tree(t) for t in trees]
+        left = TABLE_BUDGET_BYTES
+        out = []
+        for t in trees:
+            c = compile_tree(t, budget=left)
+            if c is not None:
+                left -= sum(tab.nbytes for *_, tab in c)
+            out.append(c)
+        _COMPILED[key] = out
     return _COMPILED[key]
 
 
