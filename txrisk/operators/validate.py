@@ -186,6 +186,20 @@ def validate_feature_matrix(df: DataFrame, exclude=(S.LABEL, S.ROW_ID)) -> None:
     enforce(df, rules, counts)
 
 
+def validate_training_frame(df: DataFrame, label: str = S.LABEL) -> None:
+    """V8 on the features and V9 on the label, in ONE aggregate job."""
+    cols = [c for c in df.columns if c != label]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    non_num = [c for c in cols if not isinstance(types[c], T.NumericType)]
+    if non_num:
+        raise E.InvalidDataTypeError(f"Feature matrix must be fully numeric (non-numeric: {non_num}).")
+    rules = non_finite_rules(df, cols) + [target_rule(label)]
+    counts = count_violations(df, rules)
+    if counts["rows"] == 0:
+        raise E.EmptyDatasetError("Feature matrix is empty.")
+    enforce(df, rules, counts)
+
+
 def validate_target_vector(df: DataFrame, label: str = S.LABEL) -> None:
     """V9."""
     rule = target_rule(label)
