@@ -56,3 +56,19 @@ def test_probe_default_fraction_follows_threshold(spark):
 
     assert probe_fraction(1 << 20) < 0.001 and probe_fraction(100) == 1.0
     assert hot_sides(skewed(spark), hot_key_rows=500) == {"sender": False, "receiver": True}
+
+
+def test_chain_skips_probe_for_small_fitted_frame(spark, monkeypatch):
+    from txrisk.operators import behavior as B
+    from txrisk.plans.chain import FeatureChain
+
+    calls = []
+    real = B.hot_sides
+    monkeypatch.setattr(B, "hot_sides", lambda *a, **k: calls.append(1) or real(*a, **k))
+    df = skewed(spark, 300)
+    chain = FeatureChain().fit(df)
+    chain.transform(df).count()
+    assert calls == []                                  # 300 rows <= hot_key_rows: no account can be hot
+    other = df.where("step >= 0")                       # a different frame: the probe runs
+    chain.transform(other).count()
+    assert calls == [1]

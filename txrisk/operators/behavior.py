@@ -210,11 +210,15 @@ class BehaviorFeatures:
                 f"'{S.ROW_ID}' is required: it is the stable tiebreak inside a step "
                 "(assign it once at ingest, see sources.io.with_row_id)")
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, rows_hint: int | None = None) -> DataFrame:
+        """``rows_hint``: the frame's known row count; when it is at most
+        ``hot_key_rows`` no account can be hot, so ``auto`` skips the probe."""
         self.check(df)
         base = df.drop(*[c for c in self.outputs if c in df.columns])
         out = base
-        if self.mode == "auto":
+        if self.mode == "auto" and rows_hint is not None and rows_hint <= self.hot_key_rows:
+            plan = {side: "window" for side in _SIDES}
+        elif self.mode == "auto":
             hot = hot_sides(base, self.hot_key_rows, self.probe_fraction)
             plan = {side: "blocked" if hot[side] else "window" for side in _SIDES}
         else:

@@ -97,29 +97,39 @@ def _grid(buckets: int) -> list[float]:
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float],
-                    buckets: int = DEFAULT_BUCKETS, max_rows: int = DEFAULT_MAX_ROWS) -> list[float]:
-    """pandas-equal quantiles (linear interpolation) of ``column``; nulls/NaN skipped."""
+                    buckets: int = DEFAULT_BUCKETS, max_rows: int = DEFAULT_MAX_ROWS,
+                    stats: dict | None = None) -> list[float]:
+    """pandas-equal quantiles (linear interpolation) of ``column``; nulls/NaN skipped.
+
+    ``stats``, when given, receives ``rows``: the frame's total row count,
+    learned in the same first job.
+    """
     for q in qs:
         if not 0.0 <= q <= 1.0:
             raise ValueError("quantiles must be in [0, 1]")
-    x = F.col(column).cast("double")
-    values = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    col = df.select(F.col(column).cast("double").alias("v"))
     # The few refinement jobs re-read one column. Re-reading a file column is
     # cheap; an expensive upstream plan (joins, windows) is cached instead
     # (spills to disk; lost blocks are recomputed from lineage).
-    if is_plain_scan(values):
-        return _quantiles(values, qs, buckets, max_rows)
-    values = persist_adaptive(values)
+    if is_plain_scan(col):
+        return _quantiles(col, qs, buckets, max_rows, stats)
+    col = persist_adaptive(col)
     try:
-        return _quantiles(values, qs, buckets, max_rows)
+        return _quantiles(col, qs, buckets, max_rows, stats)
     finally:
-        values.unpersist()
-
-
-def _quantiles(values: DataFrame, qs: Sequence[float], buckets: int, max_rows: int) -> list[float]:
-    # one pass gives the size and the first split bounds
-    first = values.agg(F.count(F.lit(1)).alias("n"),
-                       F.percentile_approx("v", _grid(buckets), 10 * buckets).alias("b")).first()
+        col.unpersist()
+
+
+def _quantiles(col: DataFrame, qs: Sequence[float], buckets: int, max_rows: int,
+               stats: dict | None) -> list[float]:
+    valid = F.col("v").isNotNull() & ~F.isnan("v")
+    values = col.where(valid)
+    # one pass gives the sizes and the first split bounds
+    first = col.agg(F.count(F.lit(1)).alias("rows"), F.count_if(valid).alias("n"),
+                    F.percentile_approx(F.when(valid, F.col("v")), _grid(buckets), 10 * buckets)
+                    .alias("b")).first()
+    if stats is not None:
+        stats["rows"] = int(first["rows"])
     n = int(first["n"])
     if n == 0:
         return [math.nan for _ in qs]

@@ -62,7 +62,11 @@ class FeatureChain:
         """Both thresholds from one exact-quantile job (amount stays at its own percentile)."""
         self.risk.check(reference)
         qs = [self.amount.high_value_percentile, quantile]
-        amount_t, risk_t = exact_quantiles(reference, S.AMOUNT, qs)
+        stats: dict = {}
+        amount_t, risk_t = exact_quantiles(reference, S.AMOUNT, qs, stats=stats)
+        # a frame of at most hot_key_rows rows cannot hold a hot account; remember
+        # its size so transforming this same frame needs no skew probe
+        self._fitted_on, self._fitted_rows = reference, stats.get("rows")
         self.amount.high_value_threshold = amount_t
         self.risk.large_txn_threshold = risk_t
         return self
@@ -108,6 +112,8 @@ class FeatureChain:
                     if stage is not self.risk:
                         stage.check(out)
                     deferred.append(stage)
+                elif isinstance(stage, BehaviorFeatures) and out is getattr(self, "_fitted_on", None):
+                    out = stage.transform(out, rows_hint=self._fitted_rows)
                 else:
                     out = stage.transform(out)
             except Exception as exc:  # analysis errors included: name the stage
