@@ -180,3 +180,12 @@ def test_sorted_output_follows_step_then_input_order(spark):
     chain, _ = _run(spark, 1)
     rows = chain.transform(edge_frame(spark, 4), sort=True).collect()
     assert [r[S.ROW_ID] for r in rows] == [1, 2, 0, 3, 4, 5, 6, 7]
+
+
+def test_negative_step_fails_time_stage(spark):
+    from txrisk.operators.stages import TimeFeatures
+
+    df = spark.createDataFrame([(0, 5), (1, -3)], "row_id bigint, step int")
+    with pytest.raises(Exception, match="negative"):
+        TimeFeatures().transform(df).collect()
+    assert TimeFeatures().transform(df.where("step >= 0")).count() == 1

@@ -153,7 +153,10 @@ class TimeFeatures(Stage):
 
     def columns(self, df: DataFrame) -> list[Column]:
         step = F.col(S.STEP).cast("int")
-        hour = step % S.HOURS_PER_DAY
+        # V12 inside the projection: a negative step fails the job (no extra pass)
+        hour = F.when(step < 0, F.raise_error(F.lit(
+            "'step' contains negative values; expected non-negative simulation steps."))
+        ).otherwise(step % S.HOURS_PER_DAY)
         # step >= 0 (checked), so integer division equals floor division
         day = F.expr(f"CAST({S.STEP} AS INT) div {S.HOURS_PER_DAY}").cast("int")
         dow = day % S.DAYS_PER_WEEK
