@@ -81,13 +81,14 @@ _RECEIVER = [c for c in S.BEHAVIOR_FEATURES if "receiver" in c]
 
 @query("behavior_sender", with_features("SELECT row_id, " + ", ".join(_SENDER) + " FROM scored"))
 def behavior_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sender running history (skew-safe blocked windows)."""
+    """Sender running history (auto plan: one window per side
+    unless an account may be hot, then the blocked plan; see behavior_blocked)."""
     return engineered(spark, sf_dir).select(S.ROW_ID, *_SENDER)
 
 
 @query("behavior_receiver", with_features("SELECT row_id, " + ", ".join(_RECEIVER) + " FROM scored"))
 def behavior_receiver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receiver running history (skew-safe blocked windows)."""
+    """Receiver running history (auto plan, as behavior_sender)."""
     return engineered(spark, sf_dir).select(S.ROW_ID, *_RECEIVER)
 
 
