@@ -224,6 +224,8 @@ class RiskFeatures(Stage):
     def columns(self, df: DataFrame) -> list[Column]:
         thr = self._threshold(df)
         amount = F.col(S.AMOUNT)
+        # R7 keeps the original's meaning: despite the name "usage", it fires when
+        # at least 90 % of the sender's balance REMAINS (remaining ratio >= 0.9).
         if "remaining_sender_ratio" in df.columns:
             usage = flag(F.col("remaining_sender_ratio") >= lit_f32(S.HIGH_BALANCE_USAGE))
         else:
