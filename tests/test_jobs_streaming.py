@@ -140,3 +140,26 @@ def test_parquet_ingest_types(spark, tmp_path):
         io.load_transactions(spark, bad)
     with pytest.raises(E.DataLoadError):
         io.load_transactions(spark, str(tmp_path / "x.json"), fmt="json")
+
+
+def test_row_local_features_on_a_stream(spark, pipeline, tmp_path):
+    from txrisk import schema as S
+    from txrisk.streaming import row_local_features
+
+    out, res = pipeline
+    clean = spark.read.parquet(res["cleaned"])
+    src = str(tmp_path / "stream_in")
+    clean.write.parquet(src)
+    stream = spark.readStream.schema(clean.schema).parquet(src)
+    feats = row_local_features(stream, res["feature_params"])
+    assert feats.isStreaming
+    q = (feats.writeStream.format("memory").queryName("txrisk_rowlocal")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.table("txrisk_rowlocal")
+    assert got.count() == clean.count()
+    for c in (*S.AMOUNT_FEATURES, *S.BALANCE_FEATURES, *S.TIME_FEATURES):
+        assert c in got.columns
+    batch = row_local_features(clean, res["feature_params"])
+    diff = got.select(*batch.columns).exceptAll(batch)
+    assert diff.count() == 0
