@@ -163,3 +163,12 @@ def test_row_local_features_on_a_stream(spark, pipeline, tmp_path):
     batch = row_local_features(clean, res["feature_params"])
     diff = got.select(*batch.columns).exceptAll(batch)
     assert diff.count() == 0
+
+
+def test_data_pipeline_rejects_bad_rows_inside_the_write(spark, tmp_path):
+    tx = transactions(spark, SF)
+    bad = tx.withColumn("amount", F.when(F.col("row_id") == 3, F.lit(-1.0)).otherwise(F.col("amount")))
+    with pytest.raises(E.DataIntegrityError, match="amount"):
+        jobs.run_data_pipeline(spark, bad, str(tmp_path / "bad"), salt="")
+    with pytest.raises(E.SchemaValidationError, match="empty"):
+        jobs.run_data_pipeline(spark, tx.where("false"), str(tmp_path / "empty"), salt="")

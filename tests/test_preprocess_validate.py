@@ -130,3 +130,37 @@ def test_strict_mode_checks_labels(spark):
         P.Preprocessor(salt="").process(frame(spark, rows), strict=True)
     with pytest.raises(E.SchemaValidationError):
         P.Preprocessor().process(frame(spark))  # pseudonymizing needs an explicit salt
+
+
+def _inline(spark, rows, path):
+    """Consume an inline-checked result the way the data job does: one write."""
+    pre = P.Preprocessor(salt="")
+    try:
+        pre.process(frame(spark, rows), checks="inline").write.mode("overwrite").parquet(path)
+    except Exception as exc:  # noqa: BLE001
+        pre.raise_inline_failure(exc)
+    return spark.read.parquet(path)
+
+
+def test_inline_checks_equal_eager_result(spark, tmp_path):
+    dup = (9,) + BASE[1][1:]
+    null = (7, 5, "PAYMENT", None, "C9", 1.0, 1.0, "M9", 0.0, 0.0, 0, 0)
+    rows = BASE + [dup, null, (8, 1, None, -1.0, "C1", 1.0, 1.0, "M1", 0.0, 0.0, 0, 0)]
+    eager = P.Preprocessor(salt="").process(frame(spark, rows))
+    inline = _inline(spark, rows, str(tmp_path / "ok"))
+    assert sorted(inline.collect()) == sorted(eager.collect())
+
+
+def test_inline_checks_fail_the_write(spark, tmp_path):
+    neg = [BASE[0][:5] + (-1.0,) + BASE[0][6:]] + BASE[1:]
+    with pytest.raises(E.DataIntegrityError, match="oldbalanceOrg"):
+        _inline(spark, neg, str(tmp_path / "neg"))
+    unknown = [BASE[0][:2] + ("REFUND",) + BASE[0][3:]] + BASE[1:]
+    with pytest.raises(E.DataIntegrityError, match="type"):
+        _inline(spark, unknown, str(tmp_path / "unknown"))
+
+
+def test_inline_guard_survives_in_the_plan(spark):
+    plan = P.Preprocessor(salt="").process(frame(spark), checks="inline")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    assert "raise_error" in plan

@@ -71,10 +71,26 @@ class Preprocessor:
         V.validate_required_columns(df)
         V.validate_numeric_columns(df, PREPROCESS_NUMERIC)
 
+    @staticmethod
+    def inline_rules() -> list:
+        """The row rules :meth:`process` guards inline with ``checks="inline"``."""
+        return [*V.negative_rules(), V.categorical_rule()]
+
     def process(self, df: DataFrame, pseudonymize_pii: bool = True, report: bool = False,
-                strict: bool = False) -> DataFrame:
+                strict: bool = False, checks: str = "eager") -> DataFrame:
         """``strict=True`` adds the full schema validation (V7: duplicate names,
-        ``step`` numeric, labels in {0, 1}) -- label checks ride in the same job."""
+        ``step`` numeric, labels in {0, 1}) -- label checks ride in the same job.
+
+        ``checks="inline"`` runs no check job: P2/P5 become ``raise_error``
+        guards inside the columns the deduplication groups on, so the job
+        that consumes the result (a table write) fails on the first bad row
+        and the input is scanned once instead of twice. The caller maps that
+        failure with :func:`validate.raise_from_guard` and checks emptiness
+        on the written table. Error messages then name the column but not the
+        offending values.
+        """
+        if checks not in ("eager", "inline"):
+            raise ValueError("checks must be 'eager' or 'inline'")
         self.checks(df)
         if strict:
             V.validate_duplicate_columns(df)
@@ -82,6 +98,9 @@ class Preprocessor:
         clean = drop_missing(df)
         integrity = [*V.negative_rules(), V.categorical_rule()]
         labels = [V.target_rule()] if strict else []
+        if checks == "inline":
+            out = encode_transaction_type(remove_duplicates(V.guard_columns(clean, integrity + labels)))
+            return self._finish(out, pseudonymize_pii, report)
         counts = V.count_violations(clean, integrity + labels)  # one job for all rules
         if counts["rows"] == 0:
             raise E.SchemaValidationError("Input dataframe is empty (after dropping missing values).")
@@ -90,7 +109,20 @@ class Preprocessor:
         except E.DataValidationError as exc:  # unknown types are an integrity error here
             raise E.DataIntegrityError(f"Unknown transaction type(s): {exc}") from exc
         V.enforce(clean, labels, counts)
-        out = encode_transaction_type(remove_duplicates(clean))
+        return self._finish(encode_transaction_type(remove_duplicates(clean)), pseudonymize_pii, report)
+
+    @staticmethod
+    def raise_inline_failure(exc: Exception, strict: bool = False) -> None:
+        """Map a job failure from ``checks="inline"`` to the eager mode's errors."""
+        rules = [*V.negative_rules(), V.categorical_rule()] + ([V.target_rule()] if strict else [])
+        try:
+            V.raise_from_guard(exc, rules)
+        except E.DataValidationError as err:
+            if V.categorical_rule().message in str(err):
+                raise E.DataIntegrityError(f"Unknown transaction type(s): {err}") from exc
+            raise
+
+    def _finish(self, out: DataFrame, pseudonymize_pii: bool, report: bool) -> DataFrame:
         if pseudonymize_pii:
             if self._salt is None:
                 raise E.SchemaValidationError("pseudonymize_pii=True needs an explicit salt (may be '')")

@@ -152,6 +152,38 @@ def enforce(df: DataFrame, rules: list[Rule], counts: dict) -> None:
         raise r.error(f"{r.message}: {cols}")
 
 
+GUARD_TAG = "txrisk-guard"
+
+
+def guard_columns(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rules as ``raise_error`` guards inside the columns they test.
+
+    No job runs here: the first task that meets a violating row fails the job
+    that consumes the frame (a write then commits nothing). The guarded
+    columns must reach that job's output or a grouping key, or the optimizer
+    prunes the check with the column.
+    """
+    by_col: dict[str, list[Rule]] = {}
+    for r in rules:
+        by_col.setdefault(r.column, []).append(r)
+    cols = []
+    for c in df.columns:
+        e = F.col(c)
+        for r in by_col.get(c, []):
+            e = F.when(r.bad, F.raise_error(F.lit(f"[{GUARD_TAG}:{r.name}:{c}]"))).otherwise(e)
+        cols.append(e.alias(c) if c in by_col else e)
+    return df.select(*cols)
+
+
+def raise_from_guard(exc: Exception, rules: list[Rule]) -> None:
+    """Re-raise a job failure caused by :func:`guard_columns` as the rule's error."""
+    text = str(exc)
+    for r in rules:
+        if f"[{GUARD_TAG}:{r.name}:{r.column}]" in text:
+            raise r.error(f"{r.message}: ['{r.column}']") from exc
+    raise exc
+
+
 # --------------------------------------------------------------- composites ---
 def validate_not_empty(df: DataFrame) -> None:
     """V1."""

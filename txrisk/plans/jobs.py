@@ -44,9 +44,15 @@ def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
     raw = load_transactions(spark, source) if isinstance(source, str) else source
-    clean = Preprocessor(salt=salt).process(raw)
-    write_table(clean, f"{out_dir}/cleaned")
+    # Checks ride inside the write (one scan of the source, not two).
+    pre = Preprocessor(salt=salt)
+    try:
+        write_table(pre.process(raw, checks="inline"), f"{out_dir}/cleaned")
+    except Exception as exc:  # noqa: BLE001  (re-raised, mapped when it is a guard)
+        pre.raise_inline_failure(exc)
     clean = spark.read.parquet(f"{out_dir}/cleaned")
+    if clean.isEmpty():
+        raise E.SchemaValidationError("Input dataframe is empty (after dropping missing values).")
     splitter = StratifiedSplitter(test_size=test_size, random_state=seed)
     chain = FeatureChain(**(chain_kwargs or {}))
     if fit_scope == "train":
