@@ -172,3 +172,18 @@ def test_data_pipeline_rejects_bad_rows_inside_the_write(spark, tmp_path):
         jobs.run_data_pipeline(spark, bad, str(tmp_path / "bad"), salt="")
     with pytest.raises(E.SchemaValidationError, match="empty"):
         jobs.run_data_pipeline(spark, tx.where("false"), str(tmp_path / "empty"), salt="")
+
+
+def test_csv_inline_type_check_fails_the_data_job(spark, tmp_path):
+    header = ("step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,"
+              "newbalanceDest,isFraud,isFlaggedFraud\n")
+    good = "1,PAYMENT,100.5,C1,1000,899.5,M1,0,0,0,0\n2,TRANSFER,NA,C2,10,0,C3,0,0,1,0\n"
+    p = tmp_path / "t.csv"
+    p.write_text(header + good)
+    lazy = io.load_transactions(spark, str(p), check_types="inline")
+    assert sorted(lazy.collect()) == sorted(io.load_transactions(spark, str(p)).collect())
+    bad = tmp_path / "b.csv"
+    bad.write_text(header + good.replace("899.5", "x"))
+    io.load_transactions(spark, str(bad), check_types="inline")          # no job: no error yet
+    with pytest.raises(E.InvalidDataTypeError, match="newbalanceOrig"):
+        jobs.run_data_pipeline(spark, str(bad), str(tmp_path / "out"), salt="")

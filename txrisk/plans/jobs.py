@@ -20,7 +20,7 @@ from ..operators.preprocess import Preprocessor
 from ..operators.profile import null_counts, preview
 from ..operators.split import SPLIT_COL, StratifiedSplitter
 from ..session import ensure_checkpoint_dir
-from ..sources.io import load_transactions, read_split, write_importance_csv, write_split, write_table
+from ..sources.io import load_transactions, raise_if_type_failure, read_split, write_importance_csv, write_split, write_table
 from .chain import FeatureChain
 
 log = logging.getLogger(__name__)
@@ -43,12 +43,13 @@ def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
     """
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
-    raw = load_transactions(spark, source) if isinstance(source, str) else source
-    # Checks ride inside the write (one scan of the source, not two).
+    # Type and row checks ride inside the write (one scan of the source, not two or three).
+    raw = load_transactions(spark, source, check_types="inline") if isinstance(source, str) else source
     pre = Preprocessor(salt=salt)
     try:
         write_table(pre.process(raw, checks="inline"), f"{out_dir}/cleaned")
     except Exception as exc:  # noqa: BLE001  (re-raised, mapped when it is a guard)
+        raise_if_type_failure(exc)
         pre.raise_inline_failure(exc)
     clean = spark.read.parquet(f"{out_dir}/cleaned")
     if clean.isEmpty():

@@ -25,6 +25,7 @@ PANDAS_NA_STRINGS = (
 )
 
 SPLIT_COL = "split"
+TYPE_GUARD_TAG = "txrisk-type"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,12 +47,20 @@ def with_row_id(df: DataFrame, column: str = S.ROW_ID) -> DataFrame:
 
 
 def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
-                      row_id: str | None = None, check_types: bool = True) -> DataFrame:
+                      row_id: str | None = None, check_types: bool | str = True) -> DataFrame:
     """Read a transaction table (CSV with header, or Parquet) by suffix.
 
     ``row_id`` names an existing unique column to use as the row id;
     otherwise one is assigned.
+
+    For CSV, ``check_types=True`` runs one counting job over the file before
+    returning. ``check_types="inline"`` runs none: an unparsable value raises
+    inside the first job that reads the column (a table write then commits
+    nothing), so a load-and-write job reads the file once. Map that failure
+    with :func:`raise_if_type_failure`.
     """
+    if check_types not in (True, False, "inline"):
+        raise ValueError("check_types must be True, False or 'inline'")
     if not _exists(spark, path):
         raise E.DataLoadError(f"Dataset does not exist: {path}")
     kind = fmt or os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
@@ -79,9 +88,14 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
                 typed.append(s.alias(c))
             else:
                 t = field.dataType.simpleString()
-                typed.append(s.try_cast(t).alias(c))
-                bad.append((c, F.count_if(s.isNotNull() & s.try_cast(t).isNull())))
-        if check_types and bad:
+                unparsable = s.isNotNull() & s.try_cast(t).isNull()
+                if check_types == "inline":
+                    typed.append(F.when(unparsable, F.raise_error(F.lit(f"[{TYPE_GUARD_TAG}:{c}]")))
+                                 .otherwise(s.try_cast(t)).alias(c))
+                else:
+                    typed.append(s.try_cast(t).alias(c))
+                bad.append((c, F.count_if(unparsable)))
+        if check_types is True and bad:
             counts = raw.agg(*[b.alias(c) for c, b in bad]).first().asDict()
             wrong = [c for c, n in counts.items() if n]
             if wrong:
@@ -95,6 +109,15 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
     return with_row_id(df)
 
 
+def raise_if_type_failure(exc: Exception) -> None:
+    """Raise InvalidDataTypeError if ``exc`` is a job failure from ``check_types="inline"``."""
+    import re
+
+    cols = sorted(set(re.findall(rf"\[{TYPE_GUARD_TAG}:([^\]]+)\]", str(exc))))
+    if cols:
+        raise E.InvalidDataTypeError(f"Columns must be numeric: {cols}") from exc
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Write a table (Parquet by default; CSV with header as an option)."""
     try:
