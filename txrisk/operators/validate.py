@@ -111,14 +111,22 @@ def non_finite_rules(df: DataFrame, columns=None) -> list[Rule]:
     return out
 
 
-def count_violations(df: DataFrame, rules: list[Rule], with_rows: bool = True) -> dict:
-    """V0: one aggregate job; returns {'rows': n, (rule, column): count}."""
+def count_violations(df: DataFrame, rules: list[Rule], with_rows: bool = True,
+                     extra: dict | None = None) -> dict:
+    """V0: one aggregate job; returns {'rows': n, (rule, column): count}.
+
+    ``extra`` maps names to further aggregate columns computed in the same job.
+    """
     aggs = [F.count(F.lit(1)).alias("__rows")] if with_rows else []
     aggs += [F.count_if(r.bad).alias(f"__r{i}") for i, r in enumerate(rules)]
+    extra = extra or {}
+    aggs += [a.alias(f"__x{i}") for i, a in enumerate(extra.values())]
     row = df.agg(*aggs).first()
     out = {"rows": row["__rows"]} if with_rows else {}
     for i, r in enumerate(rules):
         out[(r.name, r.column)] = int(row[f"__r{i}"])
+    for i, name in enumerate(extra):
+        out[name] = row[f"__x{i}"]
     return out
 
 
@@ -218,18 +226,24 @@ def validate_feature_matrix(df: DataFrame, exclude=(S.LABEL, S.ROW_ID)) -> None:
     enforce(df, rules, counts)
 
 
-def validate_training_frame(df: DataFrame, label: str = S.LABEL) -> None:
-    """V8 on the features and V9 on the label, in ONE aggregate job."""
+def validate_training_frame(df: DataFrame, label: str = S.LABEL) -> dict:
+    """V8 on the features and V9 on the label, in ONE aggregate job.
+
+    Returns the row count per label value present ({0: n0, 1: n1}), counted
+    in the same job (class weights and leaf sizes need no further pass).
+    """
     cols = [c for c in df.columns if c != label]
     types = {f.name: f.dataType for f in df.schema.fields}
     non_num = [c for c in cols if not isinstance(types[c], T.NumericType)]
     if non_num:
         raise E.InvalidDataTypeError(f"Feature matrix must be fully numeric (non-numeric: {non_num}).")
     rules = non_finite_rules(df, cols) + [target_rule(label)]
-    counts = count_violations(df, rules)
+    per_class = {v: F.count_if(F.col(label) == F.lit(v)) for v in S.LABEL_VALUES}
+    counts = count_violations(df, rules, extra=per_class)
     if counts["rows"] == 0:
         raise E.EmptyDatasetError("Feature matrix is empty.")
     enforce(df, rules, counts)
+    return {v: int(counts[v]) for v in S.LABEL_VALUES if counts[v]}
 
 
 def validate_target_vector(df: DataFrame, label: str = S.LABEL) -> None:
