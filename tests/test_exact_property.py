@@ -36,6 +36,7 @@ def test_aucs_equal_brute_force(spark, rows, buckets):
     pos, neg = s[y == 1], s[y == 0]
     if len(pos) == 0 or len(neg) == 0:
         assert M.roc_auc(df, buckets=buckets) is None and M.pr_auc(df, buckets=buckets) is None
+        assert M.score_aucs(df, buckets=buckets) == (None, None)
         return
     roc = sum(((p > neg).sum() + 0.5 * (p == neg).sum()) for p in pos) / (len(pos) * len(neg))
     th = np.unique(s)[::-1]
@@ -45,6 +46,8 @@ def test_aucs_equal_brute_force(spark, rows, buckets):
     pr = float(np.sum(np.diff(rec) * (prec[1:] + prec[:-1]) / 2))
     assert math.isclose(M.roc_auc(df, buckets=buckets), roc, abs_tol=1e-12)
     assert math.isclose(M.pr_auc(df, buckets=buckets), pr, abs_tol=1e-12)
+    # the shared single pass equals the two separate ones exactly
+    assert M.score_aucs(df, buckets=buckets) == (M.roc_auc(df, buckets=buckets), M.pr_auc(df, buckets=buckets))
 
 
 @SETTINGS

@@ -45,13 +45,19 @@ def positive_probability(col: str = "probability") -> Column:
 
 # ------------------------------------------------------------ validation ---
 def validate_inputs(df: DataFrame, label: str, pred: str, score: str | None = None) -> dict:
-    """Non-empty, finite, at most two classes in truth and prediction (one job)."""
+    """Non-empty, finite, at most two classes in truth and prediction (one job).
+
+    The returned dict also holds the confusion counts ``tp, fp, fn, tn``.
+    """
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(F.col(label)).alias("k_true"),
         F.count_distinct(F.col(pred)).alias("k_pred"),
         F.count_if(F.col(label).isNull() | F.col(pred).isNull()).alias("nulls"),
     ]
+    y, p = F.col(label), F.col(pred)  # confusion counts ride in the same job
+    aggs += [F.count_if((y == a) & (p == b)).alias(k)
+             for k, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
     if score is not None:
         s = F.col(score)
         aggs.append(F.count_if(s.isNull() | F.isnan(s) | (F.abs(s) == F.lit(float("inf")))).alias("bad_score"))
@@ -85,9 +91,19 @@ def _div0(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def binary_metrics(df: DataFrame, label: str = S.LABEL, pred: str = PRED) -> DataFrame:
-    """Accuracy, balanced accuracy, precision, recall, F1, MCC (0/0 -> 0)."""
-    c = confusion_counts(df, label, pred)
+def counts_frame(spark, counts: dict) -> DataFrame:
+    """The one-row (tp, fp, fn, tn) frame from counts already collected."""
+    return spark.createDataFrame([tuple(int(counts[k]) for k in ("tp", "fp", "fn", "tn"))],
+                                 "tp bigint, fp bigint, fn bigint, tn bigint")
+
+
+def binary_metrics(df: DataFrame, label: str = S.LABEL, pred: str = PRED,
+                   counts: DataFrame | None = None) -> DataFrame:
+    """Accuracy, balanced accuracy, precision, recall, F1, MCC (0/0 -> 0).
+
+    ``counts`` (a :func:`confusion_counts` row) skips the pass over ``df``.
+    """
+    c = confusion_counts(df, label, pred) if counts is None else counts
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     rec1 = F.try_divide(tp, tp + fn)
@@ -106,9 +122,10 @@ def binary_metrics(df: DataFrame, label: str = S.LABEL, pred: str = PRED) -> Dat
     )
 
 
-def classification_report(df: DataFrame, label: str = S.LABEL, pred: str = PRED) -> DataFrame:
+def classification_report(df: DataFrame, label: str = S.LABEL, pred: str = PRED,
+                          counts: DataFrame | None = None) -> DataFrame:
     """E5: per class precision/recall/F1/support, accuracy, macro and weighted averages."""
-    c = confusion_counts(df, label, pred)
+    c = confusion_counts(df, label, pred) if counts is None else counts
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     # class 1: (tp, fp, fn); class 0 mirrors it: (tn, fn, fp)
     def cls(name, a, b, d):
@@ -140,11 +157,11 @@ def classification_report(df: DataFrame, label: str = S.LABEL, pred: str = PRED)
 
 
 def confusion_matrix(df: DataFrame, label: str = S.LABEL, pred: str = PRED,
-                     normalize: str | None = None) -> DataFrame:
+                     normalize: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Always 2x2 in order (0, 1): rows (true_label, predicted_label, value)."""
     if normalize not in (None, "true", "pred", "all"):
         raise E.ConfusionMatrixError("normalize must be one of None, 'true', 'pred', 'all'")
-    c = confusion_counts(df, label, pred)
+    c = confusion_counts(df, label, pred) if counts is None else counts
     cells = [(0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp")]
     t0 = F.col("tn") + F.col("fp")
     t1 = F.col("fn") + F.col("tp")
@@ -216,20 +233,48 @@ def pr_auc(df: DataFrame, label: str = S.LABEL, score: str = SCORE, buckets: int
         t.unpersist()
 
 
+def score_aucs(df: DataFrame, label: str = S.LABEL, score: str = SCORE,
+               buckets: int | None = None) -> tuple[float | None, float | None]:
+    """(E6, E7) from ONE score table and ONE ascending running-sum pass.
+
+    Descending sums come from the ascending ones: ``P - cum_pos + pos`` and
+    ``N - cum_neg + neg``, so both areas equal :func:`roc_auc` and
+    :func:`pr_auc` exactly (same integer counts, same exact decimal sums).
+    """
+    t = persist_adaptive(score_table(df, label, score))
+    try:
+        tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+        P, N = int(tot["P"] or 0), int(tot["N"] or 0)
+        if P == 0 or N == 0:
+            return None, None
+        r = running_sums(t, SCORE, ["pos", "neg"], buckets=buckets)
+        roc = (F.col("pos").cast("decimal(38,0)")
+               * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")).cast("decimal(38,0)"))
+        tp = (F.lit(P) - F.col("cum_pos") + F.col("pos")).cast("double")
+        fp = (F.lit(N) - F.col("cum_neg") + F.col("neg")).cast("double")
+        tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+        prec = tp / (tp + fp)
+        prev = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
+        pr = F.col("pos").cast("double") * (prec + prev) / F.lit(2.0 * P)
+        row = r.agg(F.sum(roc).alias("roc"), F.sum(pr.cast("decimal(38,18)")).alias("pr")).first()
+        return int(row["roc"]) / (2 * P * N), float(row["pr"])
+    finally:
+        t.unpersist()
+
+
 # ------------------------------------------------------------ consolidated ---
 def compute(df: DataFrame, label: str = S.LABEL, pred: str = PRED, prob: str | None = None) -> dict:
     """E1-E7 for given predicted labels and, optionally, class-1 probabilities.
 
     ``roc_auc`` / ``pr_auc`` are None without probabilities or with one class.
     """
-    validate_inputs(df, label, pred, prob)
-    out = binary_metrics(df, label, pred).first().asDict()
-    out["classification_report"] = [r.asDict() for r in classification_report(df, label, pred).collect()]
+    counts = counts_frame(df.sparkSession, validate_inputs(df, label, pred, prob))
+    out = binary_metrics(df, label, pred, counts).first().asDict()
+    out["classification_report"] = [r.asDict() for r in classification_report(df, label, pred, counts).collect()]
     if prob is None:
         out["roc_auc"] = out["pr_auc"] = None
     else:
-        out["roc_auc"] = roc_auc(df, label, prob)
-        out["pr_auc"] = pr_auc(df, label, prob)
+        out["roc_auc"], out["pr_auc"] = score_aucs(df, label, prob)
     return out
 
 
@@ -239,11 +284,11 @@ def evaluate_scores(df: DataFrame, label: str = S.LABEL, score: str = SCORE,
     """E9 core: all metrics of a scored frame (label + positive-class score)."""
     scored = df.select(F.col(label).alias(label), F.col(score).alias(SCORE),
                        predict_at(score, threshold).alias(PRED))
-    validate_inputs(scored, label, PRED, SCORE)
-    m = binary_metrics(scored, label, PRED).first().asDict()
-    m["classification_report"] = [r.asDict() for r in classification_report(scored, label, PRED).collect()]
-    m["confusion_matrix"] = [[r["value"] for r in confusion_matrix(scored, label, PRED).orderBy(
+    # three passes over the scored rows: checks + confusion counts, score table, running sums
+    counts = counts_frame(df.sparkSession, validate_inputs(scored, label, PRED, SCORE))
+    m = binary_metrics(scored, label, PRED, counts).first().asDict()
+    m["classification_report"] = [r.asDict() for r in classification_report(scored, label, PRED, counts).collect()]
+    m["confusion_matrix"] = [[r["value"] for r in confusion_matrix(scored, label, PRED, counts=counts).orderBy(
         "true_label", "predicted_label").collect()][i:i + 2] for i in (0, 2)]
-    m["roc_auc"] = roc_auc(scored, label, SCORE)
-    m["pr_auc"] = pr_auc(scored, label, SCORE)
+    m["roc_auc"], m["pr_auc"] = score_aucs(scored, label, SCORE)
     return m
