@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +49,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per application), wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_txrisk_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="txrisk-zip-")  # read by the driver only, which serves it to executors
+    path = os.path.join(folder, "txrisk.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for base, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    out.write(full, os.path.join("txrisk", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._txrisk_shipped = True
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
