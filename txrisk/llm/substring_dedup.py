@@ -333,3 +333,18 @@ def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> lis
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(len(words) - 19)) AS i, words FROM d WHERE len(words) >= 20),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i + 1 : i + 20], ' ')) AS g FROM w),
+copies AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM h) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM copies)),
+per AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id),
+flat AS (SELECT d.doc_id, unnest(words) AS word, unnest(range(len(words))) AS j FROM d JOIN per USING (doc_id)),
+left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM flat ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(per.n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN per.n IS NULL THEN array_to_string(words, ' ') ELSE coalesce(left_.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""
