@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .repeats import repeated
-from .tables import column, read
+from .tables import read
 
 #: Words of a repeated window.
 WINDOW = 20
@@ -93,22 +93,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, _ids(part)[row], spot)], names=["key", "doc", "spot"])
 
 
-def _suffix_rows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def _named(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose text is the table's column number ``at``, named ``text`` as a last column."""
+    named = batch.append_column("text", batch.column(f"c{at}"))
+    return W.slices(named)
+
+
+def _suffix_rows(batches: Iterator[pa.RecordBatch], at: int, window: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """One row for each repeated anchor of a text: the words of the windows it stands for."""
     names = ["key", "part", "split", "doc", "spot", "context"]
     for b in batches:
-        for part in W.slices(b):
+        for part in _named(b, at):
             words = W.tokenize(part.column("text"))
             anchor, key, first, last = _anchors(words, window, prefix)
             row = words.row[anchor]
             sums = _checksums(part)
             spot = (sums[row] << 31) | (first - words.first[row])
             wanted = part.column("anchors")
-            at = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+            of = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
             flat = wanted.flatten()
             w_spot, w_part, w_split = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             # (row, spot) is unique among the anchors of this slice and ascending by row
-            rank_have, rank_want = _pair_keys(row, spot, at, w_spot)
+            rank_have, rank_want = _pair_keys(row, spot, of, w_spot)
             order = np.argsort(rank_have, kind="stable")
             near = np.searchsorted(rank_have[order], rank_want)
             ok = near < len(order)
@@ -116,7 +122,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) ->
             pick, hit = order[near[ok]], np.flatnonzero(ok)
             context = [words.text(i, j + window) for i, j in zip(first[pick].tolist(), last[pick].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[pick]), pa.array(w_part[hit]), pa.array(w_split[hit].astype(bool)), pa.array(_ids(part)[row[pick]]),
+                [pa.array(key[pick]), pa.array(w_part[hit]), pa.array(w_split[hit].astype(bool)), pa.array(part.column("doc").to_numpy()[row[pick]]),
                  pa.array(spot[pick]), pa.array(context, pa.binary())], names=names)
 
 
@@ -188,16 +194,33 @@ def _repeats(table: pa.Table, window: int, size: int) -> Iterator[pa.RecordBatch
 
 
 def _tree(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Copies in one generalised suffix tree, as spans of words; of cut prefixes also the earliest leaves."""
-    words = W.tokenize(table.column("context"))
+    """Copies in one generalised suffix tree, as spans of words; of cut prefixes also the earliest leaves.
+
+    Of equal contexts of one part the earliest goes into the tree; all windows of the others are copies.
+    """
+    key, part, doc, spot, split = (table.column(c).to_numpy() for c in ("key", "part", "doc", "spot", "split"))
+    cells = table.column("context").combine_chunks()
+    data, offsets = W.buffer_of(cells)
+    same = W.hash_ranges(data, offsets[:-1], offsets[1:])
+    part_no = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])][: len(key)])
+    order = np.lexsort((spot, doc, same, part_no))
+    head = np.r_[True, (part_no[order][1:] != part_no[order][:-1]) | (same[order][1:] != same[order][:-1])][: len(order)]
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[head][np.cumsum(head) - 1]
+    distinct = np.sort(order[head])
+    words = W.tokenize(cells.take(pa.array(distinct)))
+    windows = np.zeros(len(order), np.int64)
+    windows[distinct] = np.diff(words.first) - window + 1
+    other = np.flatnonzero((leader != np.arange(len(leader))) & ((doc != doc[leader]) | (spot != spot[leader])))
+    mask = (1 << 31) - 1
+    whole = [doc[other], spot[other] >> 31, spot[other] & mask, (spot[other] & mask) + windows[leader[other]] - 1 + window]
+    key, part, doc, spot, split, group_no = (x[distinct] for x in (key, part, doc, spot, split, part_no))
     starts = W.within_row(words, window)
     row = words.row[starts]
-    doc, spot, split = (table.column(c).to_numpy() for c in ("doc", "spot", "split"))
     place = spot[row] + (starts - words.first[row])
-    key, part = (table.column(c).to_numpy() for c in ("key", "part"))
     leaf = _tree_leaves(words.hash, starts, window)
     # equal windows share their prefix; parts of one prefix stay apart
-    group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])[row] if len(table) else row
+    group = group_no[row]
     order = np.lexsort((place, doc[row], leaf, group))
     g, n, d, p = group[order], leaf[order], doc[row][order], place[order]
     head = np.r_[True, (g[1:] != g[:-1]) | (n[1:] != n[:-1])][: len(order)]
@@ -209,9 +232,9 @@ def _tree(table: pa.Table, window: int) -> pa.RecordBatch:
     new = np.r_[True, (cr[1:] != cr[:-1]) | (np.diff(cp) != 1)][: len(c)]
     s = np.flatnonzero(new)
     e = np.r_[s[1:], len(c)] - 1 if len(s) else s
-    mask = (1 << 31) - 1
     spans = [doc[cr[s]], cp[s] >> 31, cp[s] & mask, (cp[e] & mask) + window] if len(s) else [np.zeros(0, np.int64)] * 4
-    nothing = [np.zeros(len(s), np.int64)] * 2
+    spans = [np.concatenate(x) for x in zip(whole, spans, strict=True)]
+    nothing = [np.zeros(len(spans[0]), np.int64)] * 2
     # the earliest leaf of each repeat of a cut prefix
     o = order[head & split[row][order]] if len(order) else order
     if len(o):
@@ -219,9 +242,9 @@ def _tree(table: pa.Table, window: int) -> pa.RecordBatch:
         other = W.grams(W.mix(words.hash ^ np.uint64(0x5851F42D4C957F2D)), window)[starts[o]]
         more = [doc[row[o]], place[o] >> 31, place[o] & mask, (place[o] & mask) + window, W.signed(again), W.signed(other)]
         cols = [np.concatenate(x) for x in zip([*spans, *nothing], more, strict=True)]
-        open_ = np.r_[np.zeros(len(s), bool), np.ones(len(o), bool)]
+        open_ = np.r_[np.zeros(len(spans[0]), bool), np.ones(len(o), bool)]
     else:
-        cols, open_ = [*spans, *nothing], np.zeros(len(s), bool)
+        cols, open_ = [*spans, *nothing], np.zeros(len(spans[0]), bool)
     return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(open_)],
                                       names=["doc", "sum", "lo", "hi", "node", "node2", "open"])
 
@@ -247,10 +270,10 @@ def _between_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         last = (key[:, -1], firsts[:, -1])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Apply the spans: words, words removed, and the kept words joined by one space."""
     for b in batches:
-        for part in W.slices(b):
+        for part in _named(b, at):
             n = part.num_rows
             texts, spans = part.column("text"), part.column("spans")
             total, removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), []
@@ -268,9 +291,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     removed[i] = int(gone.sum())
                     own = [own[j] for j in np.flatnonzero(~gone).tolist()]
                 kept.append(b" ".join(own))
-            out = [part.column(j) for j in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(total), pa.array(removed), pa.array([k.decode() for k in kept], pa.string())],
-                                             names=[*part.schema.names[:-1], "n_words", "n_removed", "kept_text"])
+            out = [part.column(f"c{j}") for j in range(len(names) - 3)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(total), pa.array(removed), pa.array([k.decode() for k in kept], pa.string())], names=names)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
@@ -283,32 +305,37 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """
     if not 1 <= prefix <= window:
         raise ValueError("prefix must be from 1 to window")
-    ids = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    anchors = ids.mapInArrow(lambda b: _anchor_rows(b, window, prefix), "key long, doc long, spot long")
+    results = {"n_words", "n_removed", "kept_text"}
+    own = docs.drop(*[c for c in docs.columns if c.lower() in results])
+    names = own.columns
+    # numbered names inside, so that no column of the table clashes with a working one
+    placed = own.toDF(*[f"c{i}" for i in range(len(names))])
+    cells = {n.lower(): f"c{i}" for i, n in enumerate(names)}
+    for name in ("doc_id", "text"):
+        if name not in cells:
+            raise ValueError(f"the table has no column {name}")
+    doc, text = F.col(cells["doc_id"]), F.col(cells["text"])
+    anchors = placed.select(doc.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(
+        lambda b: _anchor_rows(b, window, prefix), "key long, doc long, spot long")
     again = repeated(anchors, "key", ["doc", "spot"], most_suffixes)
     by_doc = again.groupBy("doc", F.shiftright("spot", 31).alias("sum")).agg(
         F.collect_list(F.struct("spot", "part", "split")).alias("anchors"))
-    # the two uses of the texts share one exchange
-    placed = _placed(docs)
-    suffixes = placed.select("doc", "sum", F.col("doc_id"), "text").join(by_doc, ["doc", "sum"]).select("doc_id", "text", "anchors").mapInArrow(
-        lambda b: _suffix_rows(b, window, prefix), "key long, part long, split boolean, doc long, spot long, context binary")
+    # both uses of the texts take all columns, so that Spark shares one exchange between them
+    placed = placed.withColumns({"doc": F.coalesce(doc.cast("long"), F.lit(_LAST)), "sum": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
+    at = int(cells["text"][1:])
+    suffixes = placed.join(by_doc, ["doc", "sum"], "left").where("anchors is not null").mapInArrow(
+        lambda b: _suffix_rows(b, at, window, prefix), "key long, part long, split boolean, doc long, spot long, context binary")
     trees = suffixes.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part").mapInArrow(
         lambda b: _trees(b, window, tree_bytes), "doc long, sum long, lo long, hi long, node long, node2 long, open boolean")
     order = F.when(F.col("open"), F.col("node")).otherwise(F.xxhash64("doc", "sum"))
     copies = trees.repartition(order).sortWithinPartitions("open", "node", "node2", "doc", "sum", "lo").mapInArrow(
         _between_parts, "doc long, sum long, lo long, hi long")
     spans = copies.groupBy("doc", "sum").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = placed.join(spans, ["doc", "sum"], "left").drop("doc", "sum")
-    schema = T.StructType([*joined.drop("spans").schema.fields, T.StructField("n_words", T.LongType()),
-                           T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_cut, schema)
-
-
-def _placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key by which its rows meet their anchors and spans."""
-    doc = F.coalesce(column(docs, "doc_id", "long"), F.lit(_LAST))
-    total = F.crc32(F.coalesce(column(docs, "text", "string"), F.lit("")).cast("binary"))
-    return docs.withColumns({"doc": doc, "sum": total})
+    joined = placed.join(spans, ["doc", "sum"], "left")
+    kept = own.toDF(*[f"c{i}" for i in range(len(names))]).schema.fields
+    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+                           T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(lambda b: _cut(b, at, schema.names), schema).toDF(*names, "n_words", "n_removed", "kept_text")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
