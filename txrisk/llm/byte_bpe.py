@@ -32,7 +32,7 @@ from .tables import column, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces in each of the two generations a worker remembers.
-MEMORY = 500_000
+MEMORY = 300_000
 #: Contractions of a word in one recursive query.
 STEPS = 64
 #: Bytes of pieces in one recursive query.
@@ -55,8 +55,7 @@ WITH RECURSIVE s(w, p, t, q, nx, n) AS (
      CASE WHEN s.p = mp THEN zq ELSE q END,
      CASE WHEN s.p = mp THEN znx WHEN s.q = mp THEN mt ELSE nx END::INT, n + 1
    FROM s JOIN found f ON s.w = f.w WHERE s.p <> mq))
-SELECT s.w, max(s.n) AS n, list(s.t ORDER BY s.p) AS ids
-FROM s JOIN (SELECT w, max(n) AS n FROM s GROUP BY w) USING (w, n) GROUP BY s.w
+SELECT s.w, s.n, s.t FROM s JOIN (SELECT w, max(n) AS n FROM s GROUP BY w) USING (w, n) ORDER BY s.w, s.p
 """
 _DECODE = "SELECT w, string_agg(s, '' ORDER BY p) AS s FROM ids JOIN vocab ON t = id GROUP BY w"
 
@@ -100,7 +99,7 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "384MB", "temp_directory": ""})
         made = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32())})
         self._table("merges", made)
         self._table("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
@@ -114,24 +113,29 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM made")
         self.db.unregister("made")
 
-    def merge(self, words: list[bytes], steps: int = STEPS) -> list[np.ndarray]:
-        """Ids of each word, by recursive queries until no word has a pair to contract."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        todo = [(i, self.single[np.frombuffer(w, np.uint8)]) for i, w in enumerate(words)]
-        while todo:
-            size = [len(t) for _, t in todo]
+    def merge(self, words: list[bytes], steps: int = STEPS) -> list[bytes]:
+        """Ids of each word (little-endian unsigned 32-bit), by recursive queries until no word has a pair to contract."""
+        out = [b""] * len(words)
+        number = np.arange(len(words), dtype=np.int32)
+        size = np.array([len(w) for w in words], np.int64)
+        token = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        while len(number):
+            start = np.cumsum(size) - size
             data = pa.table({
-                "w": pa.array(np.repeat(np.array([i for i, _ in todo], np.int32), size)),
-                "p": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in size])),
-                "t": pa.array(np.concatenate([t for _, t in todo]))})
+                "w": pa.array(np.repeat(number, size)), "t": pa.array(token),
+                "p": pa.array((np.arange(len(token)) - np.repeat(start, size)).astype(np.int32))})
             self.db.register("start_rows", data)
             got = self.db.execute(_MERGE.format(steps=steps)).fetchnumpy()
             self.db.unregister("start_rows")
-            todo = []
-            for w, n, ids in zip(got["w"].tolist(), got["n"].tolist(), got["ids"], strict=True):
-                out[w] = np.asarray(ids, np.int32)
-                if n >= steps:
-                    todo.append((w, out[w]))
+            w, n, token = (np.asarray(got[c]) for c in ("w", "n", "t"))
+            head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
+            end = np.r_[head[1:], len(w)][: len(head)]
+            flat = token.astype("<u4").tobytes()
+            for i, a, z in zip(w[head].tolist(), (4 * head).tolist(), (4 * end).tolist(), strict=True):
+                out[i] = flat[a:z]
+            again = n[head] >= steps  # these may have pairs left
+            number, size = w[head][again].astype(np.int32), (end - head)[again]
+            token = token[np.repeat(again, end - head)].astype(np.int32)
         return out
 
     def _learn(self, pieces: list[str]) -> None:
@@ -141,7 +145,7 @@ class Codec:
 
         def flush() -> None:
             for p, ids in zip(batch, self.merge(coded), strict=True):
-                self.young[p] = ids.astype("<u4").tobytes()
+                self.young[p] = ids
 
         for p in pieces:
             raw = p.encode()
@@ -186,7 +190,7 @@ class Codec:
         start = np.cumsum(size) - size
         self.db.register("ids", pa.table({
             "w": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), size)),
-            "p": pa.array(np.arange(len(flat)) - np.repeat(start, size)),
+            "p": pa.array((np.arange(len(flat)) - np.repeat(start, size)).astype(np.int32)),
             "t": pa.array(flat.astype(np.int32))}))
         rows = self.db.execute(_DECODE).fetchall()
         self.db.unregister("ids")
