@@ -202,7 +202,8 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(rank_file: bytes, pattern: str) -> Codec:
-    """One codec a worker process and vocabulary."""
+    """One codec a worker process and vocabulary, until another operator runs there."""
+    W.KEPT["byte_bpe"] = codec.cache_clear
     return Codec(rank_file, pattern)
 
 
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks.value, pattern)
         for b in batches:
-            for part in W.slices(b, "__text"):
+            for part in W.slices(b, "__text", owner="byte_bpe"):
                 ids = coder.encode(_texts(part))
                 size = np.array([len(i) // 4 for i in ids], np.int64)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))

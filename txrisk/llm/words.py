@@ -7,7 +7,7 @@ equal with a chance of about 2^-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,8 +87,17 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - lo if len(texts) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``size`` bytes of text each."""
+#: What operators keep in a worker between tasks: name -> how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``size`` bytes of text each.
+
+    Workers live on from one operator to the next: what others than ``owner`` have kept is let go.
+    """
+    for name in [n for n in KEPT if n != owner]:
+        KEPT.pop(name)()
     if not batch.num_rows:
         return
     _, offsets = buffer_of(batch.column(column))
