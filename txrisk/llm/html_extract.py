@@ -10,7 +10,8 @@ running text inside the article (headings, paragraphs, list items, ...) are neve
 same article on many pages of a host, or a license line in many articles, is content.
 
 Counting goes by (host, subtree) with partial sums, so a host with a third of all pages is no hot
-task; the verdict returns to the pages as rows (page, subtree), gathered by page.
+task. The template goes to the tasks when it has at most ``BROADCAST_SUBTREES`` rows; beyond that it meets the
+pages as rows (page, subtree), gathered by page.
 
 Cases. Null html: empty text. Null or odd url: host is empty. Unclosed, crossed or cut-off tags are
 closed as a browser would in the common cases. Repeated rows count once. A page without text has an
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import column, read
+from .tables import column, keep, read
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: Template subtrees (16 bytes each) that are sent to the tasks; beyond that they meet the pages by a join.
+BROADCAST_SUBTREES = 200_000
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -255,12 +258,13 @@ def main_text(root: Node, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            broadcast_subtrees: int = BROADCAST_SUBTREES) -> DataFrame:
     """``pages`` (page_id, url, html, more) with ``text`` and ``n_chars``, less ``html``."""
     own = pages.drop(*[c for c in pages.columns if c.lower() in ("text", "n_chars")])
     url, body = column(own, "url", "string"), column(own, "html", "string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    framed = own.withColumns({"__host": host, "__html": body, "__key": F.xxhash64(column(own, "page_id", "string"), url, body)})
+    framed = own.withColumns({"__host": F.xxhash64(host), "__html": body, "__key": F.xxhash64(column(own, "page_id", "string"), url, body)})
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,24 +277,37 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 yield pa.RecordBatch.from_arrays([part.column("__host").take(pa.array(row)), part.column("__key").take(pa.array(row)), pa.array(flat)],
                                                  names=["host", "key", "mark"])
 
-    marks = framed.select("__host", "__html", "__key").mapInArrow(subtrees, "host string, key long, mark long")
+    marks = framed.select("__host", "__html", "__key").mapInArrow(subtrees, "host long, key long, mark long")
     total = framed.groupBy(F.col("__host").alias("host")).agg(F.approx_count_distinct("__key", 0.01).alias("pages"))
     often = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     template = often.join(total, "host").where(F.col("n") >= F.col("pages") * F.lit(min_share)).select("host", "mark")
-    found = marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("__marks"))
-    joined = framed.join(found, framed["__key"] == found["key"], "left").drop("key", "__key", "__host")
+    template = keep(template, "template")
+    by_host: dict[int, set[int]] | None = None
+    if template.count() <= broadcast_subtrees:
+        by_host = {}
+        for r in template.collect():
+            by_host.setdefault(r["host"], set()).add(r["mark"])
+        joined = framed.withColumn("__marks", F.lit(None).cast("array<long>"))
+    else:
+        found = marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("__marks"))
+        joined = framed.join(found, framed["__key"] == found["key"], "left").drop("key")
+    shipped = pages.sparkSession.sparkContext.broadcast(by_host)
+    joined = joined.drop("__key")
     kept = [c for c in own.columns if c.lower() != "html"]
     schema = T.StructType([*own.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField("text", T.StringType())])
     names = schema.names
     index = [joined.columns.index(c) for c in kept]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts = shipped.value
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 out = []
-                for t, own_marks in zip(part.column("__html").to_pylist(), part.column("__marks").to_pylist(), strict=True):
+                for t, host, own_marks in zip(*(part.column(c).to_pylist() for c in ("__html", "__host", "__marks")), strict=True):
                     root = prune(parse(t or ""))
+                    if hosts is not None:
+                        own_marks = hosts.get(host)
                     if own_marks:
                         mark_subtrees(root)
                     out.append(main_text(root, set(own_marks or ())))
