@@ -270,10 +270,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                marks = [np.unique(mark_subtrees(prune(parse(t or "")))) for t in part.column("__html").to_pylist()]
+                marks = [np.unique(np.array(mark_subtrees(prune(parse(t or ""))), np.int64)) for t in part.column("__html").to_pylist()]
                 size = [len(m) for m in marks]
                 row = np.repeat(np.arange(part.num_rows), size)
-                flat = np.concatenate(marks).astype(np.int64) if sum(size) else np.zeros(0, np.int64)
+                flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("__host").take(pa.array(row)), part.column("__key").take(pa.array(row)), pa.array(flat)],
                                                  names=["host", "key", "mark"])
 

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txrisk.session import ship_package
+
 from . import words as W
 from .repeats import repeated
 from .tables import read
@@ -305,6 +307,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """
     if not 1 <= prefix <= window:
         raise ValueError("prefix must be from 1 to window")
+    ship_package(docs.sparkSession)
     results = {"n_words", "n_removed", "kept_text"}
     own = docs.drop(*[c for c in docs.columns if c.lower() in results])
     names = own.columns

@@ -40,6 +40,7 @@ def drop_kept(df: DataFrame) -> None:
 
 def column(df: DataFrame, name: str, kind: str):
     """Column ``name`` of ``df`` cast to ``kind``; a null literal when the table lacks it."""
+    ship_package(df.sparkSession)  # every operator asks for its columns before it runs Python
     match = [c for c in df.columns if c.lower() == name.lower()]
     return (F.col(f"`{match[0]}`") if match else F.lit(None)).cast(kind)
 
