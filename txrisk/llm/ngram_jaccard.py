@@ -309,10 +309,11 @@ def _tree_edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
                 if x != y and edge not in said:
                     new.append(edge)
                     said.add(edge)
-        if len(said) > 1_000_000:
+        if len(said) > 100_000:
             said.clear()  # repeats are removed again by distinct()
         if new:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], names=["a", "b"])
+    W.give_back()
 
 
 def _block_trees(hot: DataFrame) -> DataFrame:

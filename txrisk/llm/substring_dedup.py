@@ -35,11 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.session import ship_package
-
 from . import words as W
 from .repeats import repeated
-from .tables import read
+from .tables import read, ready
 
 #: Words of a repeated window.
 WINDOW = 20
@@ -48,7 +46,7 @@ PREFIX = 6
 #: Suffixes of one prefix that may stand in one tree.
 MOST_SUFFIXES = 20_000
 #: Bytes of text in one tree.
-TREE_BYTES = 6 << 20
+TREE_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -178,13 +176,13 @@ def _trees(batches: Iterator[pa.RecordBatch], window: int, size: int) -> Iterato
         weight = sum(x.column("context").nbytes for x in held)
     if held:
         yield from _repeats(pa.Table.from_batches(held).combine_chunks(), window, size)
+    W.give_back()
 
 
 def _repeats(table: pa.Table, window: int, size: int) -> Iterator[pa.RecordBatch]:
     key, part = (table.column(c).to_numpy() for c in ("key", "part"))
     group = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-    cells = np.fromiter((len(x) for x in table.column("context").to_pylist()), np.int64, len(table))
-    total = np.r_[0, np.cumsum(cells)]
+    _, total = W.buffer_of(table.column("context"))
     at = 0
     while at < len(group):
         lo = int(group[at])
@@ -307,7 +305,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """
     if not 1 <= prefix <= window:
         raise ValueError("prefix must be from 1 to window")
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     results = {"n_words", "n_removed", "kept_text"}
     own = docs.drop(*[c for c in docs.columns if c.lower() in results])
     names = own.columns

@@ -11,8 +11,21 @@ from pyspark.sql import functions as F
 from txrisk.session import ensure_checkpoint_dir, ship_package
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch sent to Python: ten thousand long texts at once would not fit a worker.
+BATCH_BYTES = 16 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """What Python stages need: the package on the executors, and Arrow batches of bounded size."""
     ship_package(spark)
+    now = spark.conf.get(_BATCH, "")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,7 +53,7 @@ def drop_kept(df: DataFrame) -> None:
 
 def column(df: DataFrame, name: str, kind: str):
     """Column ``name`` of ``df`` cast to ``kind``; a null literal when the table lacks it."""
-    ship_package(df.sparkSession)  # every operator asks for its columns before it runs Python
+    ready(df.sparkSession)  # every operator asks for its columns before it runs Python
     match = [c for c in df.columns if c.lower() == name.lower()]
     return (F.col(f"`{match[0]}`") if match else F.lit(None)).cast(kind)
 

@@ -34,9 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.session import ship_package
-
-from .tables import column, read, shared_path
+from .tables import column, read, ready, shared_path
 
 MIN_REVISIT = 1000
 PER_FILE = 5_000
@@ -111,7 +109,7 @@ def convert_arc(archives: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    ship_package(archives.sparkSession)
+    ready(archives.sparkSession)
     return archives.select("name", "content").mapInArrow(run, RECORD)
 
 
@@ -167,7 +165,7 @@ def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
                 made = [warc_record(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    ship_package(records.sparkSession)
+    ready(records.sparkSession)
     lines = records.select(*cols).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
@@ -221,7 +219,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    ship_package(spark)
+    ready(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, "record_id string, record_type string, uri string, date string, page_id long, refers_to long, "
                                  "payload_bytes long, payload_digest string, payload binary")

@@ -7,6 +7,8 @@ equal with a chance of about 2^-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,6 +18,7 @@ import pyarrow as pa
 #: Bytes of text handled at once inside a task (a longer text is still handled whole).
 SLICE_BYTES = 1 << 20
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,6 +110,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES,
         to = min(batch.num_rows, max(to, at + 1))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would else hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def tokenize(texts: pa.Array, lower: bool = False) -> Words:
