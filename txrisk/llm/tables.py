@@ -19,7 +19,7 @@ BATCH_BYTES = 16 << 20
 def ready(spark: SparkSession) -> None:
     """What Python stages need: the package on the executors, and Arrow batches of bounded size."""
     ship_package(spark)
-    now = spark.conf.get(_BATCH, "")
+    now = spark.conf.get(_BATCH).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
