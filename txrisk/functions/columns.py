@@ -53,9 +53,9 @@ def safe_divide(num: str | Column, den: str | Column, epsilon: float = S.EPSILON
 
 
 def clip_probability(c: str | Column) -> Column:
-    """Clip to [0, 1]; NaN passes through (numpy.clip keeps NaN)."""
+    """Clip to [0, 1]; NaN and null pass through (numpy.clip keeps NaN)."""
     x = col(c)
-    return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def encode_type(c: str | Column = S.TYPE) -> Column:

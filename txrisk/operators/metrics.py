@@ -66,6 +66,8 @@ def validate_inputs(df: DataFrame, label: str, pred: str, score: str | None = No
         raise E.MetricsError("y_true is empty.")
     if r["nulls"]:
         raise E.MetricsError("y_true / y_pred contain null values.")
+    if r["tp"] + r["fp"] + r["fn"] + r["tn"] != r["n"]:
+        raise E.MetricsError("labels and predictions must be binary, 0 or 1.")
     if r["k_true"] > 2:
         raise E.MetricsError(f"y_true must be binary; found {r['k_true']} distinct classes.")
     if r["k_pred"] > 2:
@@ -109,11 +111,11 @@ def binary_metrics(df: DataFrame, label: str = S.LABEL, pred: str = PRED,
     rec1 = F.try_divide(tp, tp + fn)
     rec0 = F.try_divide(tn, tn + fp)
     present = F.when(rec1.isNull(), 0).otherwise(1) + F.when(rec0.isNull(), 0).otherwise(1)
-    bal = (F.coalesce(rec1, F.lit(0.0)) + F.coalesce(rec0, F.lit(0.0))) / present
+    bal = F.try_divide(F.coalesce(rec1, F.lit(0.0)) + F.coalesce(rec0, F.lit(0.0)), present)  # null without rows
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     mcc = F.when(den == 0, F.lit(0.0)).otherwise((tp * tn - fp * fn) / den)
     return c.select(
-        ((tp + tn) / n).alias("accuracy"),
+        F.try_divide(tp + tn, n).alias("accuracy"),
         bal.alias("balanced_accuracy"),
         _div0(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _div0(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from .. import errors as E
 from .. import schema as S
 
-MAX_REPORTED = 20
+#: Values spelled out in an error message; the message says how many there are in all.
+SHOWN = 20
 
 
 @dataclass(frozen=True)
@@ -141,11 +142,17 @@ def violation_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return wide.select(stacked).select("e.rule", "e.column", "e.violations")
 
 
-def offending_values(df: DataFrame, rule: Rule, limit: int = MAX_REPORTED) -> list:
-    """Up to ``limit`` distinct offending values, sorted (bounded second job)."""
-    rows = (df.where(rule.bad).select(F.col(rule.column).alias("v")).distinct()
-            .orderBy("v").limit(limit).collect())
-    return [r["v"] for r in rows]
+def offending_table(df: DataFrame, rule: Rule) -> DataFrame:
+    """All distinct offending values of a rule (``value``) with their row counts, sorted."""
+    return (df.where(rule.bad).groupBy(F.col(rule.column).alias("value"))
+            .agg(F.count("*").alias("n_rows")).orderBy("value"))
+
+
+def offending_values(df: DataFrame, rule: Rule, shown: int = SHOWN) -> tuple[int, list]:
+    """The exact number of distinct offending values, and the first ``shown`` of them for a message."""
+    table = offending_table(df, rule)
+    first = [r["value"] for r in table.limit(shown + 1).collect()]
+    return (len(first) if len(first) <= shown else table.count()), first[:shown]
 
 
 def enforce(df: DataFrame, rules: list[Rule], counts: dict) -> None:
@@ -154,7 +161,9 @@ def enforce(df: DataFrame, rules: list[Rule], counts: dict) -> None:
         if not counts[(r.name, r.column)]:
             continue
         if r.show_values:
-            raise r.error(f"{r.message}: {offending_values(df, r)}")
+            n, first = offending_values(df, r)
+            more = f" and {n - len(first)} more of {n} (offending_table() lists all)" if n > len(first) else ""
+            raise r.error(f"{r.message}: {first}{more}")
         cols = [q.column for q in rules
                 if q.error is r.error and q.message == r.message and counts[(q.name, q.column)]]
         raise r.error(f"{r.message}: {cols}")

@@ -564,15 +564,15 @@ def trained(spark: SparkSession, sf_dir: str, name: str):
     """(model, frame) for a small fixed configuration; memoized per session."""
     from ..operators.models import ModelFactory, ModelTrainer, feature_columns
 
-    key = (id(spark), sf_dir, name)
-    if key not in _MODEL_CACHE:
+    key = (sf_dir, name)
+    if key not in _MODEL_CACHE or _MODEL_CACHE[key][2] is not spark.sparkContext:  # a model of a stopped session is of no use
         df = model_frame(spark, sf_dir)
         kw = (dict(n_estimators=20, max_depth=4, learning_rate=0.1) if name == "xgboost"
               else dict(n_estimators=20, max_depth=6))
         train = df.where(F.col("split") == "train")
         model = ModelTrainer(ModelFactory.create(name, **kw)).train(train, feature_columns(train))
-        _MODEL_CACHE[key] = (model, df)
-    return _MODEL_CACHE[key]
+        _MODEL_CACHE[key] = (model, df, spark.sparkContext)
+    return _MODEL_CACHE[key][:2]
 
 
 def _scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -88,12 +88,16 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
                 typed.append(s.alias(c))
             else:
                 t = field.dataType.simpleString()
-                unparsable = s.isNotNull() & s.try_cast(t).isNull()
+                number = s.try_cast(t)
+                if t in ("tinyint", "smallint", "int", "bigint"):  # also 0.0 and 1e3, as other tools write whole numbers
+                    real = s.try_cast("double")
+                    number = F.coalesce(number, F.when(real == F.floor(real), real.try_cast(t)))
+                unparsable = s.isNotNull() & number.isNull()
                 if check_types == "inline":
                     typed.append(F.when(unparsable, F.raise_error(F.lit(f"[{TYPE_GUARD_TAG}:{c}]")))
-                                 .otherwise(s.try_cast(t)).alias(c))
+                                 .otherwise(number).alias(c))
                 else:
-                    typed.append(s.try_cast(t).alias(c))
+                    typed.append(number.alias(c))
                 bad.append((c, F.count_if(unparsable)))
         if check_types is True and bad:
             counts = raw.agg(*[b.alias(c) for c, b in bad]).first().asDict()
