@@ -52,7 +52,7 @@ def test_behavior_matches_direct_computation(spark, raw):
         "isFraud int, isFlaggedFraud int").repartition(3)
     want = expected(rows)
     for stage in (BehaviorFeatures("window"), BehaviorFeatures("blocked"),
-                  BehaviorFeatures("blocked", block_rows=2)):
+                  BehaviorFeatures("blocked", ranges=20)):
         got = {r[S.ROW_ID]: r for r in stage.transform(df).collect()}
         for rid, feats in want.items():
             for k, v in feats.items():

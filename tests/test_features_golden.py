@@ -114,9 +114,9 @@ def test_thresholds(spark):
     assert chain.risk.large_txn_threshold == pytest.approx(36000.01)
 
 
-@pytest.mark.parametrize("mode,block", [("blocked", None), ("window", None), ("blocked", 2)])
-def test_all_58_features(spark, mode, block):
-    _, rows = _run(spark, 3, behavior_mode=mode, behavior_block_rows=block)
+@pytest.mark.parametrize("mode,ranges", [("blocked", None), ("window", None), ("blocked", 2)])
+def test_all_58_features(spark, mode, ranges):
+    _, rows = _run(spark, 3, behavior_mode=mode, behavior_ranges=ranges)
     assert len(GOLDEN) == 58
     for name, want in GOLDEN.items():
         for rid in range(8):

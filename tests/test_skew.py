@@ -2,8 +2,9 @@
 and every plan gives bit-identical behaviour features."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from txrisk.operators.behavior import BehaviorFeatures, hot_sides
+from txrisk.operators.behavior import RANGE, BehaviorFeatures, edge_carry, hot_sides, ranged
 from txrisk import schema as S
 
 
@@ -25,10 +26,10 @@ def test_probe_flags_only_the_hot_side(spark):
     assert hot == {"sender": False, "receiver": True}
 
 
-@pytest.mark.parametrize("block_rows", [1, 16, 1 << 16])
-def test_blocked_equals_window_on_hot_key(spark, block_rows):
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_blocked_equals_window_on_hot_key(spark, ranges):
     df = skewed(spark).repartition(5)
-    auto = BehaviorFeatures("auto", block_rows=block_rows, hot_key_rows=500, probe_fraction=1.0)
+    auto = BehaviorFeatures("auto", ranges=ranges, hot_key_rows=500, probe_fraction=1.0)
     a = {r[S.ROW_ID]: r for r in auto.transform(df).collect()}
     assert auto.last_plan == {"sender": "window", "receiver": "blocked"}
     w = {r[S.ROW_ID]: r for r in BehaviorFeatures("window").transform(df).collect()}
@@ -39,16 +40,39 @@ def test_blocked_equals_window_on_hot_key(spark, block_rows):
     assert max(r["receiver_txn_count"] for r in hot) == 1000
 
 
-def test_sparse_ids_resequenced(spark):
-    from pyspark.sql import functions as F
+def same_features(got, want):
+    a = {r[S.ROW_ID]: r.asDict() for r in got.collect()}
+    assert a == {r[S.ROW_ID]: r.asDict() for r in want.collect()}
 
-    df = skewed(spark).withColumn(S.ROW_ID, F.col(S.ROW_ID) * 1_000_003 + 17)  # sparse, same order
-    w = {r[S.ROW_ID]: r for r in BehaviorFeatures("window").transform(df).collect()}
-    b = BehaviorFeatures("blocked", block_rows=64, resequence=True)
-    got = {r[S.ROW_ID]: r for r in b.transform(df).collect()}
-    assert got.keys() == w.keys()
-    for k in got:
-        assert got[k].asDict() == w[k].asDict()
+
+def test_sparse_ids(spark):
+    df = skewed(spark).withColumn(S.ROW_ID, F.col(S.ROW_ID) * 1_000_003 + 17)  # same order, wide gaps
+    same_features(BehaviorFeatures("blocked", ranges=9).transform(df), BehaviorFeatures("window").transform(df))
+
+
+def test_one_account_over_many_steps(spark):
+    """One receiver has all rows, in 743 steps: the carry has a row a range, however many steps there are."""
+    df = skewed(spark).withColumn(S.NAME_DEST, F.lit("M_ALL")).withColumn(S.STEP, (F.col(S.ROW_ID) * 31 % 743).cast("int"))
+    same_features(BehaviorFeatures("blocked", ranges=12).transform(df), BehaviorFeatures("window").transform(df))
+    rows = ranged(df, "receiver", 12)
+    per = [r["count"] for r in rows.groupBy(RANGE).count().collect()]
+    assert len(per) == 12 and max(per) < 2 * 3000 / 12
+    assert edge_carry(rows, S.NAME_DEST).count() == 11
+
+
+def test_carry_is_bounded_by_the_ranges(spark):
+    rows = ranged(skewed(spark), "sender", 10)
+    assert edge_carry(rows, S.NAME_ORIG).count() <= 2 * 10
+
+
+def test_null_accounts_are_one_account(spark):
+    df = skewed(spark, 400).withColumn(S.NAME_DEST, F.when(F.col(S.ROW_ID) % 2 == 0, F.col(S.NAME_DEST)))
+    same_features(BehaviorFeatures("blocked", ranges=8).transform(df), BehaviorFeatures("window").transform(df))
+
+
+def test_empty_table(spark):
+    df = skewed(spark, 5).where("step < 0")
+    assert BehaviorFeatures("blocked", ranges=4).transform(df).count() == 0
 
 
 def test_probe_default_fraction_follows_threshold(spark):

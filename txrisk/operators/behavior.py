@@ -15,16 +15,15 @@ Two plans give identical results:
     serially in one task.
 
 ``mode="blocked"`` (skew-safe)
-    rows are windowed inside blocks ``(account, step, row_id div block_rows)``,
-    which hold at most ``block_rows`` rows however hot the account is and hash
-    over all tasks. Each block's count and sum are then prefix-summed per
-    account over the block table (one narrow row per block), and the carry is
-    joined back on the block key. Count, sum and last step are decomposable,
-    so this is exact.
-
-Blocks bound their size by ``row_id`` density: ids assigned at ingest are
-dense. For sparse ids, ``resequence=True`` first assigns a dense ``_seq`` in
-``(step, row_id)`` order (one range-partitioned sort, checkpointed).
+    rows are cut into ranges of ``(account, step, row_id)`` of about equal
+    size, however many rows one account has, and written once to the shared
+    folder with their range number. Windows run inside ``(range, account)``.
+    Only an account at the edge of a range can go on in the next one, so at
+    most two accounts of a range have rows elsewhere: their count, sum and last
+    step in each range make a table of at most twice as many rows as there are
+    ranges, whose running totals are the carry that rows of later ranges get.
+    Count, sum and last step are decomposable, so this is exact, for any
+    spread of an account over steps and any gaps between row ids.
 
 ``mode="auto"`` (default)
     one sampled probe job estimates the largest account on each side; a side
@@ -37,14 +36,16 @@ bit of the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
 from .. import schema as S
 from ..functions.columns import flag, money, prior_mean
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-DEFAULT_BLOCK_ROWS = 1 << 16
 DEFAULT_HOT_KEY_ROWS = 1 << 20
 PROBE_HITS = 200  # expected sampled rows of an account right at the hot threshold
 
@@ -69,25 +70,19 @@ def _finish(df: DataFrame, side: str, count_c, prior_count_c, prior_sum_c, gap_c
     ]
 
 
-SEQ = "_seq"
+RANGE = "_range"
 
 
-def resequenced(df: DataFrame) -> DataFrame:
-    """Add a dense ``_seq`` increasing in ``(step, row_id)`` order.
+def ranged(df: DataFrame, side: str, ranges: int) -> DataFrame:
+    """``df`` cut by ``(account, step, row_id)``, written once and read back.
 
-    For sparse row ids (e.g. hashed natural keys), blocks of ``row_id div
-    block_rows`` would hold one row each, leaving a hot account's block table
-    as long as the account. A range-partitioned sort (it splits a hot step by
-    ``row_id``) followed by ``monotonically_increasing_id`` gives ids dense
-    within every range. The result is checkpointed to the shared checkpoint
-    folder so every branch of the plan reads the same ids (sampled range
-    bounds are never re-drawn).
+    The range number is stored with the row, so each branch of the plan reads
+    the same cut (sampled bounds are never drawn again).
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.repartitionByRange(S.STEP, S.ROW_ID).sortWithinPartitions(S.STEP, S.ROW_ID)
-    return ordered.withColumn(SEQ, F.monotonically_increasing_id()).checkpoint(eager=True)
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    cut = df.repartitionByRange(ranges, _SIDES[side], S.STEP, S.ROW_ID)
+    cut.withColumn(RANGE, F.spark_partition_id()).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def probe_fraction(hot_key_rows: int) -> float:
@@ -117,64 +112,50 @@ def hot_sides(df: DataFrame, hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
     return {side: est.get(side, 0) > hot_key_rows for side in _SIDES}
 
 
-def _side_window(df: DataFrame, side: str, order: str = S.ROW_ID) -> DataFrame:
-    key = _SIDES[side]
-    w = Window.partitionBy(key).orderBy(S.STEP, order)
+def _running(w) -> tuple:
+    """Row number, sum of earlier amounts and previous step over the ordered window ``w``."""
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.row_number().over(w)
-    prior_sum = F.coalesce(F.sum(money(S.AMOUNT)).over(before), F.lit(0).cast("decimal(38,6)"))
-    prev = F.lag(S.STEP, 1).over(w)
-    gap = F.when(prev.isNull(), F.lit(S.NO_PRIOR_GAP)).otherwise(F.col(S.STEP) - prev)
-    return df.select("*", *_finish(df, side, n, n - 1, prior_sum, gap))
+    earlier = F.coalesce(F.sum(money(S.AMOUNT)).over(before), F.lit(0).cast("decimal(38,6)"))
+    return F.row_number().over(w), earlier, F.lag(S.STEP, 1).over(w)
+
 
+def _gap(prev) -> Column:
+    return F.when(prev.isNull(), F.lit(S.NO_PRIOR_GAP)).otherwise(F.col(S.STEP) - prev)
 
-def _side_blocked(df: DataFrame, side: str, block_rows: int, order: str = S.ROW_ID) -> DataFrame:
+
+def _side_window(df: DataFrame, side: str) -> DataFrame:
+    n, prior_sum, prev = _running(Window.partitionBy(_SIDES[side]).orderBy(S.STEP, S.ROW_ID))
+    return df.select("*", *_finish(df, side, n, n - 1, prior_sum, _gap(prev)))
+
+
+def edge_carry(rows: DataFrame, key: str) -> DataFrame:
+    """Count, sum and last step of the earlier ranges, for the accounts at the edges of each range.
+
+    At most two rows a range, whatever the data size, so the table is broadcast.
+    A struct around the account keeps a null account in the minimum and maximum.
+    """
+    edges = rows.groupBy(RANGE).agg(F.min(F.struct(key)).alias("lo"), F.max(F.struct(key)).alias("hi"))
+    edges = edges.select(F.col(RANGE).alias("_r"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_e"))
+    at_edge = rows.join(F.broadcast(edges), (F.col(RANGE) == F.col("_r")) & F.col(key).eqNullSafe(F.col(f"_e.{key}")))
+    parts = at_edge.groupBy(F.col(key).alias("_k"), "_r").agg(
+        F.count("*").alias("_n"), F.sum(money(S.AMOUNT)).alias("_s"), F.max(S.STEP).alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select("_k", "_r", F.sum("_n").over(before).alias("_c_cnt"), F.sum("_s").over(before).alias("_c_sum"),
+                         F.max("_last").over(before).alias("_c_prev"))
+    return carry.where(F.col("_c_cnt").isNotNull())
+
+
+def _side_blocked(df: DataFrame, side: str, ranges: int) -> DataFrame:
     key = _SIDES[side]
-    blk = f"_{side}_blk"
-    bkeys = [key, S.STEP, blk]
-    rows = df.withColumn(blk, F.expr(f"`{order}` div {int(block_rows)}"))
-
-    # 1) inside each block (bounded size, spread over all tasks)
-    wb = Window.partitionBy(*bkeys).orderBy(order)
-    wb_all = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wb_before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    amt = money(S.AMOUNT)
-    rows = rows.select(
-        "*",
-        F.row_number().over(wb).alias("_i"),
-        F.coalesce(F.sum(amt).over(wb_before), F.lit(0).cast("decimal(38,6)")).alias("_in_sum"),
-        F.count(F.lit(1)).over(wb_all).alias("_b_cnt"),
-        F.sum(amt).over(wb_all).alias("_b_sum"),
-    )
-
-    # 2) one narrow row per block; prefix over the account's blocks
-    blocks = rows.where(F.col("_i") == 1).select(*bkeys, "_b_cnt", "_b_sum")
-    wa = Window.partitionBy(key).orderBy(S.STEP, blk)
-    wa_before = wa.rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(
-        *bkeys,
-        F.coalesce(F.sum("_b_cnt").over(wa_before), F.lit(0)).alias("_c_cnt"),
-        F.coalesce(F.sum("_b_sum").over(wa_before), F.lit(0).cast("decimal(38,6)")).alias("_c_sum"),
-        F.lag(S.STEP, 1).over(wa).alias("_c_prev"),
-    )
-
-    # 3) carry joined back on the block key (null-safe: a null account is a group too)
-    carry = carry.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(bkeys)],
-                         "_c_cnt", "_c_sum", "_c_prev")
-    cond = [rows[c].eqNullSafe(carry[f"_k{n}"]) for n, c in enumerate(bkeys)]
-    j = rows.join(carry, on=cond, how="inner")
-    i = F.col("_i")
-    count_c = F.col("_c_cnt") + i
-    prior_count = count_c - 1
-    prior_sum = F.col("_c_sum") + F.col("_in_sum")
-    gap = (
-        F.when(i > 1, F.lit(0))
-        .when(F.col("_c_prev").isNull(), F.lit(S.NO_PRIOR_GAP))
-        .otherwise(F.col(S.STEP) - F.col("_c_prev"))
-    )
-    feats = _finish(j, side, count_c, prior_count, prior_sum, gap)
-    keep = [F.col(c) for c in df.columns]
-    return j.select(*keep, *feats)
+    rows = ranged(df, side, ranges)
+    i, inner, prev = _running(Window.partitionBy(RANGE, key).orderBy(S.STEP, S.ROW_ID))
+    own = rows.select("*", i.alias("_i"), inner.alias("_in_sum"), prev.alias("_in_prev"))
+    j = own.join(F.broadcast(edge_carry(rows, key)),
+                 (F.col(RANGE) == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    count_c = F.coalesce(F.col("_c_cnt"), F.lit(0)) + F.col("_i")
+    prior_sum = F.coalesce(F.col("_c_sum"), F.lit(0).cast("decimal(38,6)")) + F.col("_in_sum")
+    gap = _gap(F.coalesce(F.col("_in_prev"), F.col("_c_prev")))
+    return j.select(*df.columns, *_finish(j, side, count_c, count_c - 1, prior_sum, gap))
 
 
 class BehaviorFeatures:
@@ -185,20 +166,18 @@ class BehaviorFeatures:
     outputs = S.BEHAVIOR_FEATURES
     required = (S.STEP, S.AMOUNT, S.NAME_ORIG, S.NAME_DEST)
 
-    def __init__(self, mode: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS,
-                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float | None = None,
-                 resequence: bool = False):
+    def __init__(self, mode: str = "auto", ranges: int | None = None,
+                 hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, probe_fraction: float | None = None):
         if mode not in ("auto", "blocked", "window"):
             raise ValueError("mode must be 'auto', 'blocked' or 'window'")
-        if block_rows < 1:
-            raise ValueError("block_rows must be >= 1")
+        if ranges is not None and ranges < 1:
+            raise ValueError("ranges must be None (the shuffle partitions of the session) or at least 1")
         if probe_fraction is not None and not 0 < probe_fraction <= 1:
             raise ValueError("probe_fraction must be in (0, 1]")
         self.mode = mode
-        self.block_rows = block_rows
+        self.ranges = ranges
         self.hot_key_rows = hot_key_rows
         self.probe_fraction = probe_fraction
-        self.resequence = resequence
         self.last_plan: dict[str, str] = {}
 
     def check(self, df: DataFrame) -> None:
@@ -224,13 +203,8 @@ class BehaviorFeatures:
         else:
             plan = {side: self.mode for side in _SIDES}
         self.last_plan = plan
-        order = S.ROW_ID
-        if self.resequence and "blocked" in plan.values():
-            out, order = resequenced(base), SEQ
-        for side in ("sender", "receiver"):
-            if plan[side] == "window":
-                out = _side_window(out, side, order)
-            else:
-                out = _side_blocked(out, side, self.block_rows, order)
-        # reference column order: sender/receiver interleaved per feature
+        ranges = self.ranges or shuffle_partitions(df.sparkSession)
+        for side in _SIDES:
+            out = _side_window(out, side) if plan[side] == "window" else _side_blocked(out, side, ranges)
+        # column order: sender/receiver interleaved per feature
         return out.select(*base.columns, *S.BEHAVIOR_FEATURES)

@@ -19,6 +19,10 @@ from .. import schema as S
 from ..functions.columns import f32, f32_ratio_or_zero, flag, lit_f32, ratio_or_zero
 
 
+def _or_raise(ok: Column, message: str) -> Column:
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
 class Stage:
     """A feature stage. ``row_local`` stages are pure per-row projections."""
 
@@ -36,8 +40,13 @@ class Stage:
     def columns(self, df: DataFrame) -> list[Column]:
         raise NotImplementedError
 
+    def guarded(self, df: DataFrame) -> DataFrame:
+        """``df`` with the rows checked; a filter, which no choice of output columns prunes away."""
+        return df
+
     def transform(self, df: DataFrame) -> DataFrame:
         self.check(df)
+        df = self.guarded(df)
         new = self.columns(df)
         keep = [F.col(c) for c in df.columns if c not in self.outputs]
         return df.select(*keep, *new)
@@ -63,22 +72,19 @@ class AmountFeatures(Stage):
         self.high_value_threshold = exact_quantiles(df, S.AMOUNT, [self.high_value_percentile])[0]
         return self
 
+    def guarded(self, df: DataFrame) -> DataFrame:
+        lowest = S.AMOUNT_BUCKET_EDGES[0]
+        return df.where(_or_raise(F.col(S.AMOUNT) > lowest, "amount_bucket: amount must be > -1 and not null"))
+
     def columns(self, df: DataFrame) -> list[Column]:
         if self.high_value_threshold is None:
-            raise E.AmountFeatureError("AmountFeatures has not been fitted. Call fit() before transform().")
+            raise E.AmountFeatureError("AmountFeatures does not know which amounts are high yet: fit() it.")
         amount = F.col(S.AMOUNT)
         old_o, new_o = F.col(S.OLD_ORIG), F.col(S.NEW_ORIG)
         old_d, new_d = F.col(S.OLD_DEST), F.col(S.NEW_DEST)
         e = S.AMOUNT_BUCKET_EDGES
-        # right-closed bins (-1,100], (100,1000], ... ; <= -1 or null is an error
-        bucket = (
-            F.when((amount > e[0]) & (amount <= e[1]), 0)
-            .when((amount > e[1]) & (amount <= e[2]), 1)
-            .when((amount > e[2]) & (amount <= e[3]), 2)
-            .when((amount > e[3]) & (amount <= e[4]), 3)
-            .when(amount > e[4], 4)
-            .otherwise(F.raise_error(F.lit("amount_bucket: amount must be > -1 and not null")))
-        )
+        # right-closed bins (-1,100], (100,1000], ... ; <= -1 or null does not pass the guard
+        bucket = F.when(amount <= e[1], 0).when(amount <= e[2], 1).when(amount <= e[3], 2).when(amount <= e[4], 3).otherwise(4)
         sender_error = (old_o - amount) - new_o
         receiver_error = (old_d + amount) - new_d
         return [
@@ -151,13 +157,15 @@ class TimeFeatures(Stage):
     required = (S.STEP,)
     error = E.TimeFeatureError
 
+    def guarded(self, df: DataFrame) -> DataFrame:
+        """A negative step fails the job (no extra pass)."""
+        ok = F.col(S.STEP).isNull() | (F.col(S.STEP) >= 0)
+        return df.where(_or_raise(ok, "'step' holds negative values; hours are counted from 0"))
+
     def columns(self, df: DataFrame) -> list[Column]:
         step = F.col(S.STEP).cast("int")
-        # V12 inside the projection: a negative step fails the job (no extra pass)
-        hour = F.when(step < 0, F.raise_error(F.lit(
-            "'step' contains negative values; expected non-negative simulation steps."))
-        ).otherwise(step % S.HOURS_PER_DAY)
-        # step >= 0 (checked), so integer division equals floor division
+        hour = step % S.HOURS_PER_DAY
+        # step >= 0 (guarded), so integer division equals floor division
         day = F.expr(f"CAST({S.STEP} AS INT) div {S.HOURS_PER_DAY}").cast("int")
         dow = day % S.DAYS_PER_WEEK
         week = F.expr(f"(CAST({S.STEP} AS INT) div {S.HOURS_PER_DAY}) div {S.DAYS_PER_WEEK}").cast("int")

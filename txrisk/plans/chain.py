@@ -10,7 +10,6 @@ result and its column order equal running the stages one after another.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -42,20 +41,18 @@ class FeatureChain:
     def __init__(self, risk_large_txn_threshold: float | None = None,
                  amount_high_value_threshold: float | None = None,
                  amount_high_value_percentile: float = S.DEFAULT_QUANTILE,
-                 behavior_mode: str = "auto", behavior_block_rows: int | None = None,
-                 balance_precision: str = "float", behavior_resequence: bool = False):
+                 behavior_mode: str = "auto", behavior_ranges: int | None = None,
+                 balance_precision: str = "float"):
         self.amount = AmountFeatures(amount_high_value_percentile, amount_high_value_threshold)
         self.risk = RiskFeatures(risk_large_txn_threshold)
-        kw = {"resequence": behavior_resequence}
-        if behavior_block_rows is not None:
-            kw["block_rows"] = behavior_block_rows
         self.stages: list = [
             self.amount,
             BalanceFeatures(balance_precision),
-            BehaviorFeatures(behavior_mode, **kw),
+            BehaviorFeatures(behavior_mode, behavior_ranges),
             TimeFeatures(),
             self.risk,
         ]
+        self.own = tuple(self.stages)
 
     # ---------------------------------------------------------------- fit ---
     def fit(self, reference: DataFrame, quantile: float = S.DEFAULT_QUANTILE) -> "FeatureChain":
@@ -86,12 +83,12 @@ class FeatureChain:
     def _transform(self, df: DataFrame) -> DataFrame:
         if self.risk.large_txn_threshold is None:
             raise E.FeatureRegistryError(
-                "RiskFeatures has no fitted large-transaction threshold. Call fit(reference_df) "
-                "first, or construct FeatureChain(risk_large_txn_threshold=...).")
+                "The chain does not know which amounts are large for RiskFeatures: fit() it, "
+                "or give risk_large_txn_threshold.")
         if self.amount.high_value_threshold is None:
-            raise E.FeatureRegistryError("AmountFeatures has no fitted high-value threshold; call fit().")
+            raise E.FeatureRegistryError("The chain does not know which amounts are high for AmountFeatures: fit() it.")
         # Row-local stages are deferred and applied, in their order, after the
-        # window stages (which read raw columns only); opaque user stages flush
+        # window stages (which read raw columns only); stages of users flush
         # the deferred ones first. Column order = running stages in sequence.
         out = df
         deferred: list = []
@@ -100,14 +97,11 @@ class FeatureChain:
             if stage is self.risk:
                 missing = [c for c in S.RISK_DEPENDENCIES if c not in order]
                 if missing:
-                    culprits = sorted({S.RISK_DEPENDENCIES[c] for c in missing})
-                    raise E.FeatureRegistryError(
-                        f"Risk-dependency column(s) {missing} are missing (expected from {culprits}). "
-                        "Check stage ordering or upstream schema changes.")
+                    absent = ", ".join(f"{c} (made by {S.RISK_DEPENDENCIES[c]})" for c in missing)
+                    raise E.FeatureRegistryError(f"RiskFeatures reads columns that no stage before it made: {absent}")
             try:
-                if isinstance(stage, _CallableStage):
-                    out = stage.transform(_apply(out, deferred))
-                    deferred = []
+                if stage not in self.own:  # a user's stage may read whatever stands before it
+                    out, deferred = stage.transform(_apply(out, deferred)), []
                 elif getattr(stage, "row_local", False):
                     if stage is not self.risk:
                         stage.check(out)
@@ -191,13 +185,3 @@ def _name(stage) -> str:
 
 def _merge_order(order: list[str], cols: list[str]) -> list[str]:
     return [c for c in order if c in cols] + [c for c in cols if c not in order]
-
-
-def engineer(df: DataFrame, reference: DataFrame | None = None, **kwargs) -> DataFrame:
-    """Fit on ``reference`` (default: ``df`` itself) and add all 58 features."""
-    chain = FeatureChain(**kwargs)
-    chain.fit(reference if reference is not None else df)
-    return chain.transform(df)
-
-
-StageFn = Callable[[DataFrame], DataFrame]

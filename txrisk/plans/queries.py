@@ -635,9 +635,9 @@ def attribution_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------- plan variants ---
 @query("behavior_blocked", with_features("SELECT row_id, " + ", ".join(S.BEHAVIOR_FEATURES) + " FROM scored"))
 def behavior_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1-W12 through the skew-safe blocked plan on both sides (64-row blocks), which the
+    """W1-W12 through the skew-safe plan on both sides (ranges of rows with carries), which the
     automatic probe picks for hot accounts; must equal the plain windows."""
-    df = engineered(spark, sf_dir, behavior_mode="blocked", behavior_block_rows=64)
+    df = engineered(spark, sf_dir, behavior_mode="blocked", behavior_ranges=16)
     return df.select(S.ROW_ID, *S.BEHAVIOR_FEATURES)
 
 
