@@ -708,6 +708,9 @@ def risk_features_train_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.transform(assigned).select(S.ROW_ID, "is_high_value", *S.RISK_FEATURES)
 
 
+from . import model_checks  # noqa: E402,F401  (registers its queries here)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

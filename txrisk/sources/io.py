@@ -4,7 +4,7 @@ Transactions are read with a declared schema (never inferred). CSV values are
 read as strings, the pandas default NA spellings become null, and values are
 ``try_cast`` to the declared types; a value that is present but does not
 parse makes the column non-numeric, which is reported (V4) instead of being
-silently nulled. A ``row_id`` is assigned once at ingest (input order) and is
+silently nulled. A ``row_id`` is assigned once at ingest (file order) and is
 then carried everywhere; it must be persisted with the cleaned table.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
@@ -46,6 +46,34 @@ def with_row_id(df: DataFrame, column: str = S.ROW_ID) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(column), "*")
 
 
+def with_file_order_id(scan: DataFrame, column: str = S.ROW_ID) -> DataFrame:
+    """Dense ``bigint`` id in the order of file path, then of rows in the file, for a plain file scan.
+
+    Spark packs pieces of files into tasks by size, so task order is not file
+    order. One narrow extra pass counts the rows of each piece; the totals of
+    the files (one row a file) are summed in one window, those of the pieces
+    of a file in a window by file, and each row adds its place in its piece.
+    A table without rows keeps the column.
+    """
+    if column in scan.columns:
+        return scan
+    if len(scan.inputFiles()) < 2:  # pieces of one file are scheduled in file order
+        return with_row_id(scan, column)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+             F.monotonically_increasing_id().alias("_seq")]
+    pieces = scan.select(*place).groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    files = pieces.groupBy(F.col("_file").alias("_f")).agg(F.sum("_n").alias("_rows"))
+    earlier = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.select("_f", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("*", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inner"))
+    starts = pieces.join(files, F.col("_file") == F.col("_f")).select(
+        F.col("_file").alias("_pf"), F.col("_at").alias("_pa"), (F.col("_base") + F.col("_inner") - F.col("_first")).alias("_shift"))
+    rows = scan.select(*place, *[F.col(f"`{c}`") for c in scan.columns])
+    joined = rows.join(starts, (F.col("_file") == F.col("_pf")) & (F.col("_at") == F.col("_pa")))
+    return joined.select((F.col("_seq") + F.col("_shift")).alias(column), *[F.col(f"`{c}`") for c in scan.columns])
+
+
 def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
                       row_id: str | None = None, check_types: bool | str = True) -> DataFrame:
     """Read a transaction table (CSV with header, or Parquet) by suffix.
@@ -70,6 +98,7 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
         from pyspark.sql import types as T
 
         df = spark.read.parquet(path)
+        df = with_file_order_id(df) if row_id is None else df
         types = {f.name: f.dataType for f in df.schema.fields}
         wrong = [c for c in S.NUMERIC_COLUMNS + (S.LABEL, S.FLAGGED)
                  if c in types and not isinstance(types[c], T.NumericType)]
@@ -104,13 +133,16 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
             wrong = [c for c, n in counts.items() if n]
             if wrong:
                 raise E.InvalidDataTypeError(f"Columns must be numeric: {wrong}")
-        df = raw.select(*typed)
+        if row_id is None and S.ROW_ID not in raw.columns:
+            df = with_file_order_id(raw).select(S.ROW_ID, *typed)
+        else:
+            df = raw.select(*typed)
     if row_id is not None:
         if row_id not in df.columns:
             raise E.MissingColumnError(f"row id column '{row_id}' not found")
         df = df.withColumnRenamed(row_id, S.ROW_ID) if row_id != S.ROW_ID else df
         return df.select(S.ROW_ID, *[c for c in df.columns if c != S.ROW_ID])
-    return with_row_id(df)
+    return df
 
 
 def raise_if_type_failure(exc: Exception) -> None:
