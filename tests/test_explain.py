@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from txrisk import errors as E
 from txrisk.operators.explain import BASE, OUTPUT, TreeExplainer, summarize, tree_predict
 from txrisk.operators.models import ModelFactory, ModelTrainer, score
 
@@ -113,3 +114,12 @@ def test_tables_equal_recursion_and_deep_fallback(spark, monkeypatch):
     assert np.allclose(a, b, atol=1e-12)
     monkeypatch.setattr(X, "MAX_TABLE_DEPTH", 1)  # every tree takes the recursive path
     assert all(X.compile_tree(t) is None for t in ex.trees if (t["left"] >= 0).sum() > 1)
+
+
+def test_models_past_the_node_bound_are_refused(spark):
+    from txrisk.operators.models import ModelTrainer, build_random_forest
+
+    df = spark.range(200).selectExpr("cast(id as double) as x", "cast(id % 3 = 0 as int) as isFraud")
+    model = ModelTrainer(build_random_forest(n_estimators=2, max_depth=3)).train(df, ["x"])
+    with pytest.raises(E.ExplainerError, match="max_nodes"):
+        TreeExplainer(model, max_nodes=3)

@@ -39,6 +39,7 @@ from ..session import ensure_checkpoint_dir
 
 BASE = "base_value"
 OUTPUT = "model_output"
+MAX_NODES = 2_000_000  # of all trees together, about 100 MB in a task
 
 
 # ------------------------------------------------------------------ TreeSHAP ---
@@ -228,14 +229,18 @@ def tree_predict(x: np.ndarray, tree: dict) -> np.ndarray:
 
 
 # --------------------------------------------------------------- model tables ---
-def _node_tables(model: PipelineModel, kind: str) -> list[dict]:
-    """Per-tree arrays from the saved model's node table (bounded by model size)."""
+def _node_tables(model: PipelineModel, kind: str, max_nodes: int) -> list[dict]:
+    """Per-tree arrays from the saved model's node table, of at most ``max_nodes`` nodes."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/explain-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
-    rows = (spark.read.parquet(f"{path}/stages/*/data")
+    nodes = spark.read.parquet(f"{path}/stages/*/data")
+    found = nodes.count()
+    if found > max_nodes:
+        raise E.ExplainerError(f"the model has {found} nodes; max_nodes allows {max_nodes}, as every task holds all trees")
+    rows = (nodes
             .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
                     "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
                     F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"))
@@ -273,7 +278,7 @@ def _node_tables(model: PipelineModel, kind: str) -> list[dict]:
 class TreeExplainer:
     """X1/X2 for a fitted ``PipelineModel`` ending in a Spark RF or GBT classifier."""
 
-    def __init__(self, model: PipelineModel):
+    def __init__(self, model: PipelineModel, max_nodes: int = MAX_NODES):
         if model is None:
             raise E.ExplainerError("Model cannot be None.")
         if not isinstance(model, PipelineModel) or not model.stages:
@@ -289,7 +294,7 @@ class TreeExplainer:
         else:
             raise E.ExplainerError(f"Unsupported model {type(clf).__name__}; RF or GBT classifiers only.")
         self.features = list(model.stages[0].getInputCols())
-        self.trees = _node_tables(model, self.kind)
+        self.trees = _node_tables(model, self.kind, max_nodes)
         if len(self.trees) != len(self.scales):
             raise E.ExplainerError("tree table does not match the model")
         self.base_value = float(sum(s * tree_expectation(t) for s, t in zip(self.scales, self.trees)))

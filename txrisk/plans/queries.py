@@ -550,29 +550,43 @@ def pipeline_split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODEL_CACHE: dict = {}
 
 
+def _once(spark: SparkSession, key: tuple, make):
+    """``make()`` once per Spark application: tables and models of a stopped one are of no use."""
+    if key not in _MODEL_CACHE or _MODEL_CACHE[key][0] is not spark.sparkContext:
+        _MODEL_CACHE[key] = (spark.sparkContext, make())
+    return _MODEL_CACHE[key][1]
+
+
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned (type-encoded, ids pseudonymized) tx + 58 features + split column."""
+    """Cleaned (type-encoded, ids pseudonymized) tx + 58 features + split column, written in parts by split
+    and read back, so that training, scoring and explaining do not prepare the rows again."""
     from ..operators.preprocess import Preprocessor
     from ..operators.split import StratifiedSplitter
+    from ..sources.io import write_split
+    from .jobs import scratch_dir
+
+    def write() -> str:
+        path = scratch_dir(spark, "model")
+        Preprocessor(salt="").process(transactions(spark, sf_dir)).write.parquet(f"{path}/clean")
+        clean = spark.read.parquet(f"{path}/clean")
+        return write_split(StratifiedSplitter().assign(FeatureChain().fit(clean).transform(clean)), f"{path}/split")
 
-    clean = Preprocessor(salt="").process(transactions(spark, sf_dir))
-    eng = FeatureChain().fit(clean).transform(clean)
-    return StratifiedSplitter().assign(eng)
+    return spark.read.parquet(_once(spark, (sf_dir, "split"), write))
 
 
 def trained(spark: SparkSession, sf_dir: str, name: str):
-    """(model, frame) for a small fixed configuration; memoized per session."""
+    """(model, frame) for a small fixed configuration."""
     from ..operators.models import ModelFactory, ModelTrainer, feature_columns
 
-    key = (sf_dir, name)
-    if key not in _MODEL_CACHE or _MODEL_CACHE[key][2] is not spark.sparkContext:  # a model of a stopped session is of no use
-        df = model_frame(spark, sf_dir)
-        kw = (dict(n_estimators=20, max_depth=4, learning_rate=0.1) if name == "xgboost"
-              else dict(n_estimators=20, max_depth=6))
-        train = df.where(F.col("split") == "train")
-        model = ModelTrainer(ModelFactory.create(name, **kw)).train(train, feature_columns(train))
-        _MODEL_CACHE[key] = (model, df, spark.sparkContext)
-    return _MODEL_CACHE[key][:2]
+    df = model_frame(spark, sf_dir)
+    kw = (dict(n_estimators=20, max_depth=4, learning_rate=0.1) if name == "xgboost"
+          else dict(n_estimators=20, max_depth=6))
+    train = df.where(F.col("split") == "train")
+
+    def fit():
+        return ModelTrainer(ModelFactory.create(name, **kw)).train(train, feature_columns(train))
+
+    return _once(spark, (sf_dir, name), fit), df
 
 
 def _scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
