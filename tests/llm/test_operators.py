@@ -254,6 +254,25 @@ def test_language_id(spark):
     assert none[0].language == "und" and not none[0].kept
 
 
+def test_language_id_small_languages(spark):
+    """Each declared language has a table: more than 200 of them, most with a few rows beside a large one."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(231):
+        name = "en" if k == 230 else f"q{chr(97 + k // 26)}{chr(97 + k % 26)}"
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own) for _ in range(30)), name, "s") for i in range(2000 if name == "en" else 3)]
+    rows += [(9000 + i, "same text of one language", "xx", "s") for i in range(3)]
+    out = language_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), most=200).collect()
+    assert len(out) == len(rows) and [r.doc_id for r in out if r.language != r.lang or not r.kept] == []
+    with pytest.raises(ValueError, match="declared languages"):
+        language_id.MAX_LANGUAGES, most = 100, language_id.MAX_LANGUAGES
+        try:
+            language_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        finally:
+            language_id.MAX_LANGUAGES = most
+
+
 def test_language_id_pages(spark):
     got = language_id.language_id_pages(spark, SF).toPandas()
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()

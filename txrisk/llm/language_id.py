@@ -9,7 +9,9 @@ Method. For each language the posterior is the product of
 ``und`` (undetermined) competes under a flat trigram model. A row is kept when its best language is not
 ``und`` and has a posterior of at least ``MIN_POSTERIOR``.
 
-The trigram tables are learnt from at most about ``LABELLED_ROWS`` rows with a declared language. All counts
+The trigram tables are learnt from a sample by declared language: about ``LABELLED_ROWS`` rows shared out evenly, at
+least ``LANGUAGE_ROWS`` for each language, those with fewer rows whole. Every declared language gets a table; more than
+``MAX_LANGUAGES`` of them are an error, none is left out. All counts
 for the other evidence cover all rows: each row's best language by text alone is counted by declared
 language, suffix, domain and host with partial sums, so a host with a third of the rows is no hot task.
 Host priors meet the rows by a join, broadcast only when their number is at most ``BROADCAST_HOSTS``.
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,8 @@ from . import words as W
 from .tables import column, drop_kept, keep, read
 
 LABELLED_ROWS = 20_000
+#: Rows of each declared language in the sample, however many languages there are.
+LANGUAGE_ROWS = 300
 CELLS = 1 << 16
 UNDETERMINED = "und"
 #: Log probability of any trigram under ``und``.
@@ -43,7 +48,8 @@ TEMPER = 0.3
 MIN_POSTERIOR = 0.5
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 100.0
 BROADCAST_HOSTS = 50_000
-MAX_LANGUAGES = 200
+#: Tables of 256 KB each that go to every task.
+MAX_LANGUAGES = 1000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -95,47 +101,59 @@ class Model:
         return TEMPER * out
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    total = rows.count()
-    if total > most:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / total)))
-    return rows
+def _sample(rows: DataFrame, most: int) -> tuple[DataFrame, dict[str, int]]:
+    """Rows (text, at) of the sample, ``at`` the place of the declared language; the rows of each language in order."""
+    place = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
+    # codes of two or three letters: at most 18,252 rows come back
+    strata = sorted(tuple(r) for r in rows.groupBy("declared").agg(F.count("*"), F.min(place)).collect())
+    if len(strata) > MAX_LANGUAGES:
+        raise ValueError(f"{len(strata)} declared languages, tables of at most {MAX_LANGUAGES} fit a task")
+    each = max(LANGUAGE_ROWS, most // max(1, len(strata)))
+    # the first row by hash is always taken, so equal rows cannot leave a language without any
+    ends = [(name, i, max(first + 1, (1 << 30) * each // max(n, each))) for i, (name, n, first) in enumerate(strata)]
+    ends = rows.sparkSession.createDataFrame(ends, "declared string, at int, end long")
+    return rows.join(F.broadcast(ends), "declared").where(place < F.col("end")).select("text", "at"), {name: n for name, n, _ in strata}
 
 
 def fit_text(rows: DataFrame, most: int = LABELLED_ROWS) -> Model:
-    """Trigram tables from rows (text, declared)."""
-    labelled = _sample(rows.where("declared is not null and text is not null").select("text", "declared"), most)
+    """Trigram tables from rows (key, text, declared)."""
+    labelled, strata = _sample(rows.where("declared is not null and text is not null").select("key", "text", "declared"), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
         for b in batches:
             for part in W.slices(b):
                 cell, bounds = trigrams(part.column("text"))
-                names = np.array(part.column("declared").to_pylist(), object)
+                at = part.column("at").to_numpy()
                 row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                for name in set(names.tolist()):
-                    total = counts.setdefault(name, np.zeros(CELLS, np.int64))
-                    total += np.bincount(cell[(names == name)[row]], minlength=CELLS)
-        for name, total in counts.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "cell", "n"])
-
-    counted = labelled.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+                for j in np.unique(at).tolist():
+                    total = counts.setdefault(j, np.zeros(CELLS, np.int64))
+                    total += np.bincount(cell[(at == j)[row]], minlength=CELLS)
+                if len(counts) > 100:
+                    yield from out(counts)
+        yield from out(counts)
+
+    def out(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for j, total in counts.items():
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), j, np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["at", "cell", "n"])
+        counts.clear()
+
+    counted = labelled.mapInArrow(run, "at int, cell int, n long").groupBy("at", "cell").agg(F.sum("n").alias("n"))
     # at most MAX_LANGUAGES tables of CELLS numbers come back
-    top = counted.groupBy("lang").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "lang").limit(MAX_LANGUAGES).select("lang")
-    got = counted.join(F.broadcast(top), "lang").toPandas()
-    languages = sorted(got["lang"].unique().tolist())
-    table = np.full((CELLS, len(languages) + 1), FLAT, np.float32)
-    for j, name in enumerate(languages):
-        own = got[got["lang"] == name]
-        n = np.zeros(CELLS)
-        n[own["cell"].to_numpy()] = own["n"].to_numpy()
-        table[:, j] = np.log((n + 0.05) / (n.sum() + 0.05 * CELLS))
-    return Model([*languages, UNDETERMINED], table)
+    got = counted.toArrow() if strata else None
+    n = np.zeros((CELLS, len(strata)), np.float32)
+    if got is not None:
+        n[got["cell"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
+    table = np.full((CELLS, len(strata) + 1), FLAT, np.float32)
+    for j in range(len(strata)):
+        own = n[:, j].astype(np.float64)
+        table[:, j] = np.log((own + 0.05) / (own.sum() + 0.05 * CELLS))
+    return Model([*strata, UNDETERMINED], table)
 
 
 def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (kind, key, lang, n): how often each best language by text goes with each piece of evidence."""
+    """Rows (kind, key, lang, n): how often each best language by text (its number) goes with each piece of evidence."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +164,7 @@ def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
             cells = [(*k, n) for k, n in counts.items()]
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*cells, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "key", "lang", "n"])
+                zip(*cells, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["kind", "key", "lang", "n"])
 
         for b in batches:
             for part in W.slices(b):
@@ -158,8 +176,8 @@ def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
                 best = score.argmax(axis=1)
                 evidence = {k: part.column(k).to_pylist() for k in ("declared", "suffix", "domain", "host")}
                 for i in np.flatnonzero(sure).tolist():
-                    lang = own.languages[best[i]]
-                    if lang == UNDETERMINED:
+                    lang = int(best[i])
+                    if own.languages[lang] == UNDETERMINED:
                         continue
                     counts["all", "", lang] += 1
                     for kind, values in evidence.items():
@@ -173,16 +191,15 @@ def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
         if counts:
             yield out()
 
-    return rows.mapInArrow(run, "kind string, key string, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "kind string, key string, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
 
 
 def _likelihood(counts: list, kind: str, languages: list[str], most: int) -> dict[str, np.ndarray]:
     """log P(value | language) from counts, for the ``most`` frequent values and one for all others."""
-    at = {name: i for i, name in enumerate(languages)}
     values: dict[str, np.ndarray] = {}
     for r in counts:
         if r["kind"] == kind:
-            values.setdefault(r["key"], np.zeros(len(languages)))[at[r["lang"]]] += r["n"]
+            values.setdefault(r["key"], np.zeros(len(languages)))[r["lang"]] += r["n"]
     kept = sorted(values, key=lambda k: (-values[k].sum(), k))[:most]
     rest = sum((values[k] for k in values if k not in set(kept)), np.zeros(len(languages)))
     table = np.stack([*(values[k] for k in kept), rest]) + 1.0
@@ -191,26 +208,30 @@ def _likelihood(counts: list, kind: str, languages: list[str], most: int) -> dic
     return {**dict(zip(kept, logs[:-1], strict=True)), "": logs[-1]}
 
 
-def _priors(counts: DataFrame, languages: list[str], overall: np.ndarray) -> DataFrame:
-    """Rows (host, prior): smoothed towards the domain's share, which is smoothed towards ``overall``."""
-    known = languages[:-1]
-    sums = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, name in enumerate(known)]
-    total = lambda prefix="": sum((F.col(f"{prefix}n{i}") for i in range(len(known))), F.lit(0.0))
-    domain = counts.where("kind = 'domain'").groupBy(F.col("key").alias("domain")).agg(*sums)
-    domain = domain.select("domain", *(((F.col(f"n{i}") + DOMAIN_WEIGHT * float(overall[i])) / (total() + DOMAIN_WEIGHT)).alias(f"d{i}") for i in range(len(known))))
-    host = counts.where("kind = 'host'").groupBy("key").agg(*sums).select(
-        F.substring_index("key", " ", 1).alias("host"), F.substring_index("key", " ", -1).alias("domain"), *(f"n{i}" for i in range(len(known))))
-    both = host.join(domain, "domain", "left")
-    cells = [((F.col(f"n{i}") + HOST_WEIGHT * F.coalesce(F.col(f"d{i}"), F.lit(float(overall[i])))) / (total() + HOST_WEIGHT)) for i in range(len(known))]
-    return both.select("host", F.array(*cells).alias("prior")).dropDuplicates(["host"])
+def _priors(counts: DataFrame) -> DataFrame:
+    """Rows (host, hl, hn, dl, dn): languages and their counts of each host and of its domain."""
+    def lists(kind: str, lang: str, n: str) -> DataFrame:
+        own = counts.where(F.col("kind") == kind).groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("c"))
+        return own.select("key", F.col("c.lang").alias(lang), F.col("c.n").alias(n))
 
+    host = lists("host", "hl", "hn").select(F.substring_index("key", " ", 1).alias("host"), F.substring_index("key", " ", -1).alias("domain"), "hl", "hn")
+    return host.join(lists("domain", "dl", "dn").withColumnRenamed("key", "domain"), "domain", "left").drop("domain").dropDuplicates(["host"])
 
-def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url: Column | None = None,
+
+def _counted(part: pa.RecordBatch, lang: str, n: str, size: int) -> np.ndarray:
+    """Counts (rows, languages) from the two list columns; rows without a list have none."""
+    out = np.zeros((part.num_rows, size))
+    row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(lang)), 0).to_numpy(zero_copy_only=False))
+    out[row, part.column(lang).flatten().to_numpy()] = part.column(n).flatten().to_numpy()
+    return out
+
+
+def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url: Column | None = None, key: Column | None = None,
              most: int = LABELLED_ROWS, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """``rows`` with ``language``, ``posterior`` and ``kept``.
 
     ``declared`` is reduced to its primary subtag; suffix and domain (last label, last two labels) come
-    from the host of ``url``, and ``host`` from ``url`` where it is null.
+    from the host of ``url``, and ``host`` from ``url`` where it is null. ``key`` and the text draw the sample.
     """
     added = ["language", "posterior", "kept"]
     own = rows.drop(*[c for c in rows.columns if c.lower() in added])
@@ -224,30 +245,30 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url:
         "domain": F.coalesce(F.substring_index(address, ".", -2), F.nullif(whole, F.lit(""))),
         "suffix": F.substring_index(address, ".", -1),
     }
-    bare = own.select(*(c.alias(k) for k, c in evidence.items()))
+    bare = own.select((F.lit(None).cast("string") if key is None else key).alias("key"), *(c.alias(k) for k, c in evidence.items()))
     model = fit_text(bare, most)
     counts = keep(_evidence_counts(bare, model), "evidence")
     # values of declared language and suffix are few; still only the frequent ones come to the driver
     small = counts.where("kind in ('declared', 'suffix')").groupBy("kind", "key").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "key").limit(2000)
     few = counts.join(F.broadcast(small.drop("t")), ["kind", "key"]).collect()
     every = {r["lang"]: r["n"] for r in counts.where("kind = 'all'").collect()}
-    share = np.array([every.get(name, 0) + 1.0 for name in model.languages[:-1]] or [1.0])
+    share = np.array([every.get(i, 0) + 1.0 for i in range(len(model.languages) - 1)] or [1.0])
     overall = share / share.sum()
     model.declared = _likelihood(few, "declared", model.languages, 500)
     model.suffix = _likelihood(few, "suffix", model.languages, 1500)
     model.prior = overall
-    priors = _priors(counts, model.languages, overall) if len(model.languages) > 1 else None
-
     names = {k: f"__{k}" for k in ("text", "declared", "suffix", "host")}
     framed = own.withColumns({v: evidence[k] for k, v in names.items()})
-    if priors is not None:
-        priors = keep(priors, "priors")
+    lists = ["__hl", "__hn", "__dl", "__dn"]
+    if len(model.languages) > 1:
+        priors = keep(_priors(counts), "priors")
         priors = F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors
-        framed = framed.join(priors.withColumnRenamed("host", "__of").withColumnRenamed("prior", "__prior"), F.col("__host") == F.col("__of"), "left").drop("__of")
+        priors = priors.select(F.col("host").alias("__of"), *(F.col(c[2:]).alias(c) for c in lists))
+        framed = framed.join(priors, F.col("__host") == F.col("__of"), "left").drop("__of")
     else:
-        framed = framed.withColumn("__prior", F.lit(None).cast("array<double>"))
+        framed = framed.withColumns({c: F.lit(None).cast("array<long>") for c in lists})
     drop_kept(counts)
-    framed = framed.drop("__host").select(*own.columns, "__text", "__declared", "__suffix", "__prior")
+    framed = framed.drop("__host").select(*own.columns, "__text", "__declared", "__suffix", *lists)
     schema = T.StructType([*own.schema.fields, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType())])
     out_names = schema.names
     shipped = rows.sparkSession.sparkContext.broadcast(model)
@@ -260,7 +281,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url:
                 best = score.argmax(axis=1)
                 top = score.max(axis=1)
                 posterior = 1 / np.exp(score - top[:, None]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-4], pa.array([m.languages[i] for i in best.tolist()], pa.string()), pa.array(posterior)],
+                yield pa.RecordBatch.from_arrays([*part.columns[:-7], pa.array([m.languages[i] for i in best.tolist()], pa.string()), pa.array(posterior)],
                                                  names=out_names)
 
     keep_ = (F.col("language") != UNDETERMINED) & (F.col("posterior") >= min_posterior)
@@ -276,13 +297,17 @@ def _fused(m: Model, part: pa.RecordBatch) -> np.ndarray:
         values = part.column(name).to_pylist()
         score += np.stack([np.zeros(score.shape[1]) if v is None else table.get(v, table[""]) for v in values])
     und = 0.02
-    prior = np.stack([m.prior if p is None else np.array(p) for p in part.column("__prior").to_pylist()])
+    # the host's share is smoothed towards its domain's, and that towards the corpus
+    host, domain = (_counted(part, f"__{c}l", f"__{c}n", len(m.prior)) for c in "hd")
+    domain = (domain + DOMAIN_WEIGHT * m.prior) / (domain.sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
+    prior = (host + HOST_WEIGHT * domain) / (host.sum(axis=1, keepdims=True) + HOST_WEIGHT)
     return score + np.log(np.concatenate([prior * (1 - und), np.full((len(prior), 1), und)], axis=1))
 
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
     """Language of each row of a documents table: ``lang`` is the declared language, ``source`` the host."""
-    return identify(docs, column(docs, "text", "string"), column(docs, "lang", "string"), column(docs, "source", "string"), **how)
+    return identify(docs, column(docs, "text", "string"), column(docs, "lang", "string"), column(docs, "source", "string"),
+                    key=column(docs, "doc_id", "string"), **how)
 
 
 def identify_pages(pages: DataFrame, **how) -> DataFrame:
@@ -291,7 +316,7 @@ def identify_pages(pages: DataFrame, **how) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     text = F.regexp_replace(bare, r"&[a-zA-Z#0-9]+;", " ")
     declared = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    return identify(pages, text, declared, F.lit(None).cast("string"), column(pages, "url", "string"), **how)
+    return identify(pages, text, declared, F.lit(None).cast("string"), column(pages, "url", "string"), column(pages, "page_id", "string"), **how)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
