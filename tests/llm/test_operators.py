@@ -225,6 +225,18 @@ def test_html_extract(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_html_extract_article_names():
+    """Ids and parts of class names delete nothing of an article; whole class names do."""
+    inner = ("<h2 id=related-work>Related work</h2><p id=comment-on-method>one</p><section id=search-results><h3 id=notice>Hits</h3><p>two</p></section>"
+             "<div class='share-price x'>three</div><p>four <math><mi>x</mi></math> <object>five</object> <button>six</button></p>"
+             "<div class='ad wide'>gone</div><div role=search>gone</div><p class=ad>gone</p><aside>gone</aside><form>gone</form>")
+    want = "Related work\n\none\n\nHits\n\ntwo\n\nthree\n\nfour x five six"
+    for page in (f"<body><div id=search>gone</div><article class='post comments-open'>{inner}</article>", f"<main>{inner}</main><button>gone</button>"):
+        assert html_extract.main_text(html_extract.prune(html_extract.parse(page)), set()) == want
+    page = "<body><h2 id=social-life>Social life</h2><p class=social-life>one</p><div id=site-search>gone</div>"
+    assert html_extract.main_text(html_extract.prune(html_extract.parse(page)), set()) == "Social life\n\none"
+
+
 SF = "/root/testdata/sf0.01"
 
 

@@ -4,8 +4,9 @@ Method. A page is parsed into a tree and every element subtree hashed (tag, clas
 Spark counts for each host on how many distinct pages a subtree stands; one that recurs on at least
 ``min_pages`` pages and ``min_share`` of the host's pages is the site's template and is deleted.
 What is boilerplate by its element (nav, aside, footer, form, script, ...) or by a word of its class,
-id or role (menu, sidebar, cookie, comments, ad, ...) is deleted on every page, recurring or not. Of
-the rest the article (``article``, ``main`` or role main; else the whole body) is the text. Blocks of
+id or role (menu, sidebar, cookie, comments, ad, ...) is deleted on every page, recurring or not. Inside an
+article, and for running text and articles anywhere, ids say nothing and only a whole class or role counts
+(``ad``, not ``share-price``); there ``math``, ``object``, ``map`` and ``button`` stay. Of the rest the article (``article``, ``main`` or role main; else the whole body) is the text. Blocks of
 running text inside the article (headings, paragraphs, list items, ...) are never template: the
 same article on many pages of a host, or a license line in many articles, is content.
 
@@ -55,6 +56,8 @@ DROP_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
               "notices", "popup", "modal", "overlay", "comment", "comments", "reply", "replies", "disqus", "respond", "share", "sharing", "social",
               "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "pagination", "pager",
               "masthead", "topbar", "toolbar", "disclaimer", "complementary", "contentinfo", "hidden"}
+#: Dropped outside an article only.
+PAGE_DROP = {"math", "object", "map", "button"}
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "disqus"}
 #: Open elements that end when one of these begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -64,10 +67,10 @@ _SCOPE = {"table", "body", "html", "article", "section", "main", "div", "aside",
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "mark", "hidden")
+    __slots__ = ("tag", "words", "children", "mark", "hidden", "names")
 
-    def __init__(self, tag: str, words: str = "", hidden: bool = False):
-        self.tag, self.words, self.children, self.mark, self.hidden = tag, words, [], 0, hidden
+    def __init__(self, tag: str, words: str = "", hidden: bool = False, names: str = ""):
+        self.tag, self.words, self.children, self.mark, self.hidden, self.names = tag, words, [], 0, hidden, names
 
 
 def parse(text: str) -> Node:
@@ -93,7 +96,7 @@ def parse(text: str) -> Node:
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3])} if m[3] else {}
         words = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().strip()
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        node = Node(tag, words, hidden)
+        node = Node(tag, words, hidden, f"{attrs.get('class', '')} {attrs.get('role', '')}".lower() if words else "")
         stack[-1].children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
@@ -129,12 +132,15 @@ def _close(stack: list[Node], tag: str) -> None:
             return  # a stray inline end tag does not close a block
 
 
-def _boiler(node: Node) -> bool:
-    if node.tag in DROP or node.hidden:
+def _boiler(node: Node, inside: bool) -> bool:
+    if node.hidden or (node.tag in DROP and not (inside and node.tag in PAGE_DROP)):
         return True
     if node.words and node.tag not in ("html", "body"):
-        words = set(re.split(r"[^a-z0-9]+", node.words))
-        return not words.isdisjoint(COMMENT_WORDS if _is_main(node) else DROP_WORDS)
+        if _is_main(node):
+            return not COMMENT_WORDS.isdisjoint(node.names.split())
+        if inside or node.tag in RUNNING:
+            return not DROP_WORDS.isdisjoint(node.names.split())
+        return not DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", node.words))
     return False
 
 
@@ -150,7 +156,7 @@ def prune(root: Node) -> Node:
     """Delete boilerplate by element and by word; page headers go, an article's own header stays."""
     def walk(node: Node, inside: bool) -> None:
         inside = inside or _is_main(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not (_boiler(c) or (not inside and not _is_main(c) and _header(c)))]
+        node.children = [c for c in node.children if isinstance(c, str) or not (_boiler(c, inside) or (not inside and not _is_main(c) and _header(c)))]
         for c in node.children:
             if not isinstance(c, str):
                 walk(c, inside)
