@@ -237,6 +237,21 @@ def test_html_extract_article_names():
     assert html_extract.main_text(html_extract.prune(html_extract.parse(page)), set()) == "Social life\n\none"
 
 
+def test_html_extract_copies(spark):
+    """Copies under several urls and repeated rows are one page of their host; what recurs beside other text is template."""
+    body = "<body><div class=top><p>Site {}</p></div><div><h1>T{}</h1><p>text {}</p></div>"
+    rows = [(i, f"http://a.com/{i}", body.format("a", i, i)) for i in range(15)]
+    rows += [(20 + i, f"http://a.com/copy?utm={i}", body.format("a", "copy", "of one article")) for i in range(8)]
+    rows += [(30, "http://b.com/1", body.format("b", 1, 1))] * 6 + [(31, "http://c.com/1", "<p>only")] * 5
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (200_000, 0):
+        got = html_extract.extract(frame, broadcast_subtrees=most).collect()
+        texts = {r.page_id: r.text for r in got}
+        assert len(got) == len(rows) and texts[3] == "T3\n\ntext 3"
+        assert {texts[20 + i] for i in range(8)} == {"Tcopy\n\ntext of one article"}
+        assert (texts[30], texts[31]) == ("Site b\n\nT1\n\ntext 1", "only")
+
+
 SF = "/root/testdata/sf0.01"
 
 

@@ -2,7 +2,9 @@
 
 Method. A page is parsed into a tree and every element subtree hashed (tag, class, text and children).
 Spark counts for each host on how many distinct pages a subtree stands; one that recurs on at least
-``min_pages`` pages and ``min_share`` of the host's pages is the site's template and is deleted.
+``min_pages`` pages and ``min_share`` of the host's pages is the site's template and is deleted. Pages of a
+host whose text (before template is deleted) is equal are one page in both numbers, whatever their urls:
+copies of an article do not make a template of it.
 What is boilerplate by its element (nav, aside, footer, form, script, ...) or by a word of its class,
 id or role (menu, sidebar, cookie, comments, ad, ...) is deleted on every page, recurring or not. Inside an
 article, and for running text and articles anywhere, ids say nothing and only a whole class or role counts
@@ -10,12 +12,12 @@ article, and for running text and articles anywhere, ids say nothing and only a
 running text inside the article (headings, paragraphs, list items, ...) are never template: the
 same article on many pages of a host, or a license line in many articles, is content.
 
-Counting goes by (host, subtree) with partial sums, so a host with a third of all pages is no hot
+Distinct (host, subtree, text) are counted by (host, subtree) with partial sums, so a host with a third of all pages is no hot
 task. The template goes to the tasks when it has at most ``BROADCAST_SUBTREES`` rows; beyond that it meets the
 pages as rows (page, subtree), gathered by page.
 
 Cases. Null html: empty text. Null or odd url: host is empty. Unclosed, crossed or cut-off tags are
-closed as a browser would in the common cases. Repeated rows count once. A page without text has an
+closed as a browser would in the common cases. Repeated rows count as one page. A page without text has an
 empty text. ``br`` is white space. Other columns pass through unless they bear the name of a result.
 """
 
@@ -276,16 +278,23 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                marks = [np.unique(np.array(mark_subtrees(prune(parse(t or ""))), np.int64)) for t in part.column("__html").to_pylist()]
+                marks, page = [], []
+                for t in part.column("__html").to_pylist():
+                    root = prune(parse(t or ""))
+                    # 0 stands for the page itself
+                    marks.append(np.unique(np.array([0, *mark_subtrees(root)], np.int64)))
+                    page.append(int.from_bytes(hashlib.blake2b(main_text(root, set()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
                 size = [len(m) for m in marks]
                 row = np.repeat(np.arange(part.num_rows), size)
                 flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("__host").take(pa.array(row)), part.column("__key").take(pa.array(row)), pa.array(flat)],
-                                                 names=["host", "key", "mark"])
-
-    marks = framed.select("__host", "__html", "__key").mapInArrow(subtrees, "host long, key long, mark long")
-    total = framed.groupBy(F.col("__host").alias("host")).agg(F.approx_count_distinct("__key", 0.01).alias("pages"))
-    often = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+                yield pa.RecordBatch.from_arrays([part.column("__host").take(pa.array(row)), part.column("__key").take(pa.array(row)),
+                                                  pa.array(np.array(page, np.int64)[row]), pa.array(flat)], names=["host", "key", "page", "mark"])
+
+    marks = framed.select("__host", "__html", "__key").mapInArrow(subtrees, "host long, key long, page long, mark long")
+    counted = marks.select("host", "mark", "page").distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
+    counted = keep(counted.where((F.col("mark") == 0) | (F.col("n") >= min_pages)), "counted")
+    total = counted.where("mark = 0").select("host", F.col("n").alias("pages"))
+    often = counted.where("mark <> 0")
     template = often.join(total, "host").where(F.col("n") >= F.col("pages") * F.lit(min_share)).select("host", "mark")
     template = keep(template, "template")
     by_host: dict[int, set[int]] | None = None
