@@ -300,6 +300,24 @@ def test_language_id_small_languages(spark):
             language_id.MAX_LANGUAGES = most
 
 
+def test_language_id_evidence_of_all_rows(spark):
+    """Rows of unsure text count by their posterior, and rare values share one likelihood."""
+    rows = [("k", "the words of one language", "aa", f"h{i}", f"h{i}", "aa") for i in range(20)]
+    rows += [("k", "ein paar andere worte hier", "bb", f"g{i}", f"g{i}", f"s{i}") for i in range(20)] + [("k", "", None, "blank", "blank", None)] * 3
+    frame = spark.createDataFrame(rows, "key string, text string, declared string, host string, domain string, suffix string")
+    model = language_id.fit_text(frame)
+    got = {(r.kind, r.key, r.lang): r.n / language_id.SHARE for r in language_id._evidence_counts(frame, model).collect()}
+    assert abs(got["host", "blank blank", 0] - 1.47) < 1e-3 and abs(got["host", "blank blank", 1] - 1.47) < 1e-3
+    assert abs(sum(n for (kind, *_), n in got.items() if kind == "all") - 43) < 1
+    docs = spark.createDataFrame([(i, r[1], r[2], r[3]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    most, language_id.FREQUENT = language_id.FREQUENT, 1
+    try:
+        found = language_id.identify_documents(docs).where("lang is not null").collect()
+    finally:
+        language_id.FREQUENT = most
+    assert len(found) == 40 and all(r.language == r.lang and r.kept for r in found)
+
+
 def test_language_id_pages(spark):
     got = language_id.language_id_pages(spark, SF).toPandas()
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()

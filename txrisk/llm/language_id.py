@@ -12,8 +12,10 @@ Method. For each language the posterior is the product of
 The trigram tables are learnt from a sample by declared language: about ``LABELLED_ROWS`` rows shared out evenly, at
 least ``LANGUAGE_ROWS`` for each language, those with fewer rows whole. Every declared language gets a table; more than
 ``MAX_LANGUAGES`` of them are an error, none is left out. All counts
-for the other evidence cover all rows: each row's best language by text alone is counted by declared
-language, suffix, domain and host with partial sums, so a host with a third of the rows is no hot task.
+for the other evidence cover all rows: each row's posterior by text, with the declared languages' shares as
+prior, is added up by declared language, suffix, domain and host (in units of 1 / ``SHARE``, so the sums are exact)
+with partial sums, so a host with a third of the rows is no hot task. Declared languages and suffixes after the
+``FREQUENT`` most frequent share one value.
 Host priors meet the rows by a join, broadcast only when their number is at most ``BROADCAST_HOSTS``.
 
 Cases. Null or blank text: flat text likelihood, so the other evidence decides. Null declared language,
@@ -48,6 +50,10 @@ TEMPER = 0.3
 MIN_POSTERIOR = 0.5
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 100.0
 BROADCAST_HOSTS = 50_000
+#: Part of a row that is ``und`` beforehand, and units that one row is counted in.
+UND_SHARE, SHARE = 0.02, 1 << 20
+#: Values of declared language, and of suffix, that have likelihoods of their own.
+FREQUENT = 2_000
 #: Tables of 256 KB each that go to every task.
 MAX_LANGUAGES = 1000
 
@@ -149,15 +155,17 @@ def fit_text(rows: DataFrame, most: int = LABELLED_ROWS) -> Model:
     for j in range(len(strata)):
         own = n[:, j].astype(np.float64)
         table[:, j] = np.log((own + 0.05) / (own.sum() + 0.05 * CELLS))
-    return Model([*strata, UNDETERMINED], table)
+    share = np.array(list(strata.values()), float)
+    return Model([*strata, UNDETERMINED], table, prior=share / share.sum())
 
 
 def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (kind, key, lang, n): how often each best language by text (its number) goes with each piece of evidence."""
+    """Rows (kind, key, lang, n): the rows' posteriors by text, summed by each piece of evidence, in units of 1 / ``SHARE``."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
+        known = len(own.languages) - 1
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -167,25 +175,24 @@ def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
                 zip(*cells, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["kind", "key", "lang", "n"])
 
         for b in batches:
+            if not known:
+                return
             for part in W.slices(b):
-                score = own.text(part.column("text"))
-                if len(own.languages) == 1:
-                    return
-                order = np.sort(score, axis=1)
-                sure = order[:, -1] - order[:, -2] > 2.2  # nine to one
-                best = score.argmax(axis=1)
+                score = own.text(part.column("text")) + _with_und(own.prior[None, :])
+                share = np.exp(score - score.max(axis=1, keepdims=True))
+                share = np.rint(share / share.sum(axis=1, keepdims=True) * SHARE).astype(np.int64)[:, :-1]
+                row, lang = np.nonzero(share)
                 evidence = {k: part.column(k).to_pylist() for k in ("declared", "suffix", "domain", "host")}
-                for i in np.flatnonzero(sure).tolist():
-                    lang = int(best[i])
-                    if own.languages[lang] == UNDETERMINED:
-                        continue
-                    counts["all", "", lang] += 1
-                    for kind, values in evidence.items():
-                        if values[i] is not None:
-                            key = values[i]
-                            if kind == "host":  # the host keeps its domain
-                                key = f"{key} {evidence['domain'][i] or ''}"
-                            counts[kind, key, lang] += 1
+                evidence["host"] = [h if h is None else f"{h} {d or ''}" for h, d in zip(evidence["host"], evidence["domain"], strict=True)]
+                for kind, values in {"all": [""] * len(share), **evidence}.items():
+                    place = {v: i for i, v in enumerate(dict.fromkeys(values))}
+                    names = list(place)
+                    cell, at = np.unique(np.array([place[v] for v in values], np.int64)[row] * known + lang, return_inverse=True)
+                    total = np.zeros(len(cell), np.int64)
+                    np.add.at(total, at, share[row, lang])
+                    for c, n in zip(cell.tolist(), total.tolist(), strict=True):
+                        if names[c // known] is not None:
+                            counts[kind, names[c // known], c % known] += n
                 if len(counts) > 200_000:
                     yield out()
         if counts:
@@ -194,18 +201,21 @@ def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "kind string, key string, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
 
 
-def _likelihood(counts: list, kind: str, languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """log P(value | language) from counts, for the ``most`` frequent values and one for all others."""
-    values: dict[str, np.ndarray] = {}
+def _with_und(prior: np.ndarray) -> np.ndarray:
+    """Logs of priors (rows, languages) with ``und`` added."""
+    return np.log(np.concatenate([prior * (1 - UND_SHARE), np.full((len(prior), 1), UND_SHARE)], axis=1))
+
+
+def _likelihood(counts: list, kind: str, languages: list[str]) -> dict[str, np.ndarray]:
+    """log P(value | language) from counts (kind, key, lang, n), and under "" that of all other values, which have a null key."""
+    values: dict[str | None, np.ndarray] = {None: np.zeros(len(languages))}
     for r in counts:
         if r["kind"] == kind:
-            values.setdefault(r["key"], np.zeros(len(languages)))[r["lang"]] += r["n"]
-    kept = sorted(values, key=lambda k: (-values[k].sum(), k))[:most]
-    rest = sum((values[k] for k in values if k not in set(kept)), np.zeros(len(languages)))
-    table = np.stack([*(values[k] for k in kept), rest]) + 1.0
-    table[:, -1] = table[:, :-1].mean(axis=1)  # nothing is known of ``und``
+            values.setdefault(r["key"], np.zeros(len(languages)))[r["lang"]] += r["n"] / SHARE
+    table = np.stack(list(values.values())) + 1.0
+    table[:, -1] = table[:, :-1].mean(axis=1) if len(languages) > 1 else 1.0  # nothing is known of ``und``
     logs = np.log(table / table.sum(axis=0))
-    return {**dict(zip(kept, logs[:-1], strict=True)), "": logs[-1]}
+    return {"" if k is None else k: v for k, v in zip(values, logs, strict=True)}
 
 
 def _priors(counts: DataFrame) -> DataFrame:
@@ -248,14 +258,18 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url:
     bare = own.select((F.lit(None).cast("string") if key is None else key).alias("key"), *(c.alias(k) for k, c in evidence.items()))
     model = fit_text(bare, most)
     counts = keep(_evidence_counts(bare, model), "evidence")
-    # values of declared language and suffix are few; still only the frequent ones come to the driver
-    small = counts.where("kind in ('declared', 'suffix')").groupBy("kind", "key").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "key").limit(2000)
-    few = counts.join(F.broadcast(small.drop("t")), ["kind", "key"]).collect()
-    every = {r["lang"]: r["n"] for r in counts.where("kind = 'all'").collect()}
+    # the frequent values come to the driver, and the sum of the others
+    few = []
+    for kind in ("declared", "suffix"):
+        of = counts.where(F.col("kind") == kind)
+        small = F.broadcast(of.groupBy("key").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "key").limit(FREQUENT).select(F.col("key").alias("own")))
+        named = of.join(small, F.col("key") == F.col("own"), "left").groupBy("kind", F.col("own").alias("key"), "lang")
+        few += named.agg(F.sum("n").alias("n")).collect()
+    every = {r["lang"]: r["n"] / SHARE for r in counts.where("kind = 'all'").collect()}
     share = np.array([every.get(i, 0) + 1.0 for i in range(len(model.languages) - 1)] or [1.0])
     overall = share / share.sum()
-    model.declared = _likelihood(few, "declared", model.languages, 500)
-    model.suffix = _likelihood(few, "suffix", model.languages, 1500)
+    model.declared = _likelihood(few, "declared", model.languages)
+    model.suffix = _likelihood(few, "suffix", model.languages)
     model.prior = overall
     names = {k: f"__{k}" for k in ("text", "declared", "suffix", "host")}
     framed = own.withColumns({v: evidence[k] for k, v in names.items()})
@@ -296,12 +310,11 @@ def _fused(m: Model, part: pa.RecordBatch) -> np.ndarray:
     for table, name in ((m.declared, "__declared"), (m.suffix, "__suffix")):
         values = part.column(name).to_pylist()
         score += np.stack([np.zeros(score.shape[1]) if v is None else table.get(v, table[""]) for v in values])
-    und = 0.02
     # the host's share is smoothed towards its domain's, and that towards the corpus
-    host, domain = (_counted(part, f"__{c}l", f"__{c}n", len(m.prior)) for c in "hd")
+    host, domain = (_counted(part, f"__{c}l", f"__{c}n", len(m.prior)) / SHARE for c in "hd")
     domain = (domain + DOMAIN_WEIGHT * m.prior) / (domain.sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
     prior = (host + HOST_WEIGHT * domain) / (host.sum(axis=1, keepdims=True) + HOST_WEIGHT)
-    return score + np.log(np.concatenate([prior * (1 - und), np.full((len(prior), 1), und)], axis=1))
+    return score + _with_und(prior)
 
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
