@@ -20,12 +20,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; documents without words stay."""
-    groups = ngram_jaccard.jaccard_components(docs)
-    # equal rows under one doc_id are one document; a null doc_id is not the smallest of a group
-    kept = groups.where("n_shingles = 0 or component_id is null or doc_id = component_id")
-    kept = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Of each group of linked texts one: that with the smallest doc_id, null after all others; documents without words stay."""
+    groups = ngram_jaccard.linked_rows(docs).withColumn("unnamed", F.col("doc_id").isNull())
+    # equal rows under one doc_id are one document, other texts under it are not
+    texts = groups.groupBy("label", "unnamed", "doc_id", "text_hash").agg(F.count("*").alias("__rows"))
+    first = texts.where("label is not null").groupBy("label").agg(F.min(F.struct("unnamed", "doc_id", "text_hash", "__rows")).alias("f")).select("f.*")
+    kept = first.union(texts.where("label is null").select(*first.columns)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}).drop("unnamed")
+    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")))
     repeated = own.where("__rows > 1").dropDuplicates(["doc_id", "text"])
     return own.where("__rows = 1").union(repeated).select(*docs.columns)
 

@@ -326,6 +326,21 @@ def test_language_id_pages(spark):
     assert (both.language == both.truth).mean() >= 0.98
 
 
+def test_near_duplicates_rows(spark, corpus):
+    """One row of each group stays, also without a doc_id or where texts share one; a kept row brings back no other."""
+    import corpus_pipeline
+
+    text, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(None, text), (None, text + " end"), (None, text), (None, ""), (None, other), (5, other), (5, other + " x"), (6, third), (6, third + " y"), (7, third),
+            (6, text[:50]), (8, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sum((r.text or "").startswith("a0 a1 a2 a3") and len(r.text) > 60 for r in got) == 1
+    rest = sorted((str(r.doc_id), (r.text or "")[:3]) for r in got)
+    assert rest == [("5", "b0 "), ("6", "a0 "), ("6", "c0 "), ("8", ""), ("None", ""), ("None", "a0 ")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(corpus, DOCS), SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, _, c in ngram_jaccard.brute_force(corpus) if d == c)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

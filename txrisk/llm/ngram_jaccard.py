@@ -98,7 +98,7 @@ def fold(p: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "n", "cls", "keys", "point"]
+    names = ["doc", "text_hash", "n", "cls", "keys", "point"]
     for b in batches:
         for part in W.slices(b):
             h, bounds = shingle_sets(part.column("text"), n)
@@ -119,7 +119,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, n: int,
                 ordered = np.concatenate([own[~late[a:z]], own[late[a:z]]])
                 keys.append(ordered[: m - -(-num * m // den) + 1].tobytes())
                 points.append(point(own, level(m)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(cls),
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size.astype(np.int64)), pa.array(cls),
                                               pa.array(keys, pa.binary()), pa.array(points, pa.binary())], names=names)
 
 
@@ -392,11 +392,19 @@ def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 def jaccard_components(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
                        most: int = MOST, sample_rows: int = SAMPLE_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    out = linked_rows(docs, n, numerator, denominator, most, sample_rows, block_shingles)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
+                most: int = MOST, sample_rows: int = SAMPLE_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``jaccard_components`` with ``text_hash`` (xxhash64 of the text) and ``label``, the component's number whatever its doc_ids (null without words)."""
     num, den = numerator, denominator
     ids = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    hashed = ids.withColumn("text_hash", F.xxhash64("text"))
     frequent = ids.sparkSession.sparkContext.broadcast(_frequent(ids, n, sample_rows, FREQUENT))
-    rows = keep(ids.mapInArrow(lambda b: _class_rows(b, frequent.value, n, num, den),
-                               "doc long, n long, cls long, keys binary, point binary"), "sets")
+    rows = keep(hashed.mapInArrow(lambda b: _class_rows(b, frequent.value, n, num, den),
+                                  "doc long, text_hash long, n long, cls long, keys binary, point binary"), "sets")
     classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"))
     reps = rows.where("n > 0").groupBy("cls").agg(F.first("keys").alias("keys"))
     postings = reps.mapInArrow(_postings, "key long, cls long")
@@ -422,10 +430,10 @@ def jaccard_components(docs: DataFrame, n: int = N, numerator: int = NUMERATOR,
     named = classes.join(final, classes["cls"] == final["node"], "left").select(
         "cls", "doc", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_class = named.join(least, "label").select("cls", "component_id")
-    out = rows.select("doc", "n", "cls").join(of_class, "cls", "left")
+    of_class = named.join(least, "label").select("cls", "label", "component_id")
+    out = rows.select("doc", "text_hash", "n", "cls").join(of_class, "cls", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), "text_hash", "label")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
