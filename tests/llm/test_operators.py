@@ -65,6 +65,14 @@ def test_ngram_jaccard(spark, corpus):
     assert ngram_jaccard.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ngram_jaccard_postings_read_in_pieces(spark, corpus, monkeypatch):
+    """No link is lost where the written postings are read back by other tasks than wrote them."""
+    keep = ngram_jaccard.keep
+    monkeypatch.setattr(ngram_jaccard, "keep", lambda df, name: keep(df.repartition(7) if name == "postings" else df, name))
+    out = ngram_jaccard.jaccard_components(spark.createDataFrame(corpus, DOCS))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(ngram_jaccard.brute_force(corpus))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)]

@@ -144,7 +144,7 @@ def _frequent(ids: DataFrame, n: int, rows: int, share: float) -> np.ndarray:
 # ---- trees of documents that share a shingle -----------------------------------------------------
 
 def _same_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cls, part, split) in key order to (tree, cls): keys with the same members give one tree."""
+    """Rows (key, cls) in key order, each key in one task, to (tree, cls): keys with the same members give one tree."""
     seen: set[int] = set()
     held: list[np.ndarray] | None = None
 
@@ -409,7 +409,9 @@ def linked_rows(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denomin
     reps = rows.where("n > 0").groupBy("cls").agg(F.first("keys").alias("keys"))
     postings = reps.mapInArrow(_postings, "key long, cls long")
     again = keep(repeated(postings, "key", ["cls"], most), "postings")
-    plain = again.where("not split").mapInArrow(_same_members, "tree long, cls long")
+    # a large file is read by several tasks: rows of a key meet again
+    whole = again.where("not split").select("key", "cls").repartition("key").sortWithinPartitions("key", "cls")
+    plain = whole.mapInArrow(_same_members, "tree long, cls long")
     trees = plain.union(_block_trees(again.where("split").select("key", "cls", "part").distinct())).distinct()
     points = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     edges = trees.join(points, "cls").repartition("tree").sortWithinPartitions("tree").mapInArrow(
