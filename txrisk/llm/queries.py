@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, chat_format, decontaminate, html_extract, language_id, ngram_jaccard, quality_classifier, quality_rules, substring_dedup,
-               warc)
+from . import (byte_bpe, chat_format, decontaminate, hard_negatives, html_extract, language_id, merkle, ngram_jaccard, quality_classifier,
+               quality_rules, substring_dedup, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "language_id_pages": language_id.language_id_pages,
     }
 
@@ -33,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE_SQL,
         "op6_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op12_merkle_manifest": merkle.ORACLE_SQL,
     }
