@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (byte_bpe, chat_format, decontaminate, hard_negatives, html_extract, language_id, merkle, ngram_jaccard, quality_classifier,
-               quality_rules, substring_dedup, warc)
+               quality_rules, substring_dedup, suffix_array_dedup, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_suffix_array_dedup": suffix_array_dedup.op13_suffix_array_dedup,
         "language_id_pages": language_id.language_id_pages,
     }
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op11_hard_negatives": hard_negatives.ORACLE_SQL,
         "op12_merkle_manifest": merkle.ORACLE_SQL,
+        "op13_suffix_array_dedup": suffix_array_dedup.ORACLE_SQL,
     }
