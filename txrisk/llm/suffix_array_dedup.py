@@ -11,8 +11,8 @@ are merged into one of twice the size, as in a binary counter, so that ``b`` bat
    only the earliest goes on into a level. Contexts with equal anchors that differ are matched in part: they are noted.
 3. The noted contexts are fetched from the texts. Those of some anchors form a text of bounded size, whose suffix array is
    built by prefix doubling; an interval of suffixes with a common prefix of ``length`` is a repeated string, and all
-   its places but the earliest are copies. Anchors with too many contexts are cut into parts, and their strings
-   are then compared between the parts by a 128-bit hash in an aggregation.
+   its places but the earliest are copies. Anchors with over ``MOST_CONTEXTS`` contexts are dealt to parts, and their
+   strings are then compared between the parts by a 128-bit hash in an aggregation.
 4. The copies' spans meet their text, whose bytes in no span are kept.
 
 Nothing grows with the corpus in one task: scans hold a batch of rows, texts of step 3 are bounded, spans are gathered by text,
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .repeats import repeated
 from .tables import column, keep, read, ready
 
 #: Bytes of a repeated string.
@@ -399,7 +398,10 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterat
 def spans(family: IndexFamily, placed: DataFrame, at: int, most: int, size: int) -> DataFrame:
     """doc, sum, spans: the copied ranges of each text, for all batches of a family (``placed``: their texts, by doc and sum)."""
     length, prefix = family.length, family.prefix
-    noted = repeated(family.noted(), "gram", ["doc", "spot"], most)
+    noted = family.noted()
+    counts = noted.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    parts = F.when(F.col("m") > most, F.pmod(F.xxhash64("doc", "spot"), F.ceil(F.col("m") / most))).otherwise(0).cast("long")
+    noted = noted.join(counts, "gram").withColumns({"part": parts, "split": F.col("m") > most})
     by_text = noted.groupBy("doc", F.shiftright("spot", 31).alias("sum")).agg(F.collect_list(F.struct("spot", "part", "split")).alias("wanted"))
     contexts = placed.join(by_text, ["doc", "sum"]).mapInArrow(
         lambda b: _context_rows(b, at, length, prefix), "gram long, part long, split boolean, doc long, spot long, context binary")
