@@ -14,12 +14,18 @@ def test_forest_refuses(kw):
         models.build_random_forest(**kw)
 
 
-@pytest.mark.parametrize("kw", [{"max_depth": 50}, {"eval_metric": "nonsense"}, {"reg_alpha": 1.0}, {"subsample": 0}])
+@pytest.mark.parametrize("kw", [{"max_depth": 50}, {"eval_metric": "nonsense"}, {"reg_alpha": -1.0}, {"subsample": 0}])
 def test_boosting_refuses(kw):
     with pytest.raises(E.ModelFactoryError, match=next(iter(kw))):
         models.build_boosted_trees(**kw)
 
 
+@pytest.mark.parametrize("kw", [{"reg_alpha": 1.0}, {"reg_lambda": 2.0}, {"min_child_weight": 0.5}])
+def test_spark_boosting_refuses(kw):
+    with pytest.raises(E.ModelFactoryError, match=next(iter(kw))):
+        models.ModelFactory.create("gbt", **kw)
+
+
 def test_all_wrong_arguments_are_named():
     with pytest.raises(E.ModelFactoryError, match="n_estimators.*bootstrap"):
         models.build_random_forest(n_estimators=0, bootstrap=1)

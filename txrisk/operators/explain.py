@@ -1,23 +1,22 @@
 """Per-row additive attributions for tree ensembles.
 
-Path-dependent TreeSHAP (Lundberg, Erion & Lee, 2018, Algorithm 2) re-aimed
-as a Spark job: the fitted trees' node table (size bounded by the model, not
-the data) is read from the saved model, shipped to the executors with the
-task closure, and each Arrow batch of rows is explained in ``mapInPandas``.
-A leaf's contribution depends on a row only through which of its d path
-features the row satisfies, so the algorithm is run once per leaf over the
-2^d patterns (vectorized EXTEND/UNWIND) to build a (2^d x d) table per
-leaf, once per Python worker; a row batch then costs d interval tests and one
-gather per leaf (about 12x faster than recursing per batch). Trees with
-paths deeper than ``MAX_TABLE_DEPTH`` use the recursion directly, still
-vectorized over the rows of the batch.
+Path-dependent Shapley values (Lundberg, Erion & Lee, 2018) in linear time per leaf (Yu et al., 2022), as a Spark job.
+On the path to a leaf, feature ``k`` has ``z_k``, the share of training rows that its tests pass, and a row has ``o_k``, 1 if it
+passes them all itself. The leaf gives feature ``k``
+
+    value * (o_k - z_k) * integral over t in (0, 1) of the product over j != k of (t o_j + (1 - t) z_j)
+
+whose integrand is a polynomial of a degree below the number ``d`` of features on the path: Gauss-Legendre quadrature
+with ``ceil(d / 2)`` points is exact. One walk over a tree carries the product at these points for a batch of rows and
+sums it over the leaves below each edge, so the cost is edges x points x rows, whatever the depth.
+
+The node table of the saved model is cut into groups of trees of at most ``group_nodes`` nodes. One group is read to the driver
+at a time and sent to the tasks; with several groups their contributions are summed by row key.
 
 Explained output (positive class):
 
-* random forest: the class-1 probability (mean of the trees' leaf class
-  distributions);
-* boosted trees: the log-odds ``2 * sum(w_t * tree_t(x))`` of Spark's
-  logistic loss.
+* random forest: the class-1 probability (mean of the trees' leaf class distributions);
+* boosted trees: the log-odds (``2 * sum(w_t * tree_t(x))`` for Spark's own boosting).
 
 For every row ``base_value + sum(attributions) == model_output``.
 """
@@ -30,184 +29,81 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors as E
 from .. import schema as S
 from ..session import ensure_checkpoint_dir
+from .boosting import HistogramBoostedModel
 
 BASE = "base_value"
 OUTPUT = "model_output"
-MAX_NODES = 2_000_000  # of all trees together, about 100 MB in a task
-
-
-# ------------------------------------------------------------------ TreeSHAP ---
-def _extend(m, p_z, p_o, p_i, n):
-    d, z, o, w = m
-    l = len(d)
-    d, z, o = d + [p_i], z + [p_z], o + [p_o]
-    w = w + [np.ones(n) if l == 0 else np.zeros(n)]
-    for i in range(l - 1, -1, -1):
-        w[i + 1] = w[i + 1] + p_o * w[i] * ((i + 1) / (l + 1))
-        w[i] = p_z * w[i] * ((l - i) / (l + 1))
-    return d, z, o, w
-
-
-def _unwind(m, i):
-    d, z, o, w = m
-    l = len(d)
-    o_i, z_i = o[i], z[i]
-    hot = o_i != 0
-    safe_o = np.where(hot, o_i, 1.0)
-    nxt = w[l - 1]
-    nw = list(w[:l - 1])
-    for jj in range(l - 2, -1, -1):
-        j = jj + 1
-        a = nxt * l / (j * safe_o)
-        b = nw[jj] * l / (z_i * (l - j)) if z_i != 0 else np.zeros_like(nw[jj])
-        new = np.where(hot, a, b)
-        nxt = np.where(hot, nw[jj] - new * z_i * (l - j) / l, nxt)
-        nw[jj] = new
-    return d[:i] + d[i + 1:], z[:i] + z[i + 1:], o[:i] + o[i + 1:], nw
-
-
-def _unwound_sum(m, i):
-    d, z, o, w = m
-    l = len(d)
-    o_i, z_i = o[i], z[i]
-    hot = o_i != 0
-    safe_o = np.where(hot, o_i, 1.0)
-    nxt = w[l - 1]
-    total = np.zeros_like(nxt)
-    for jj in range(l - 2, -1, -1):
-        j = jj + 1
-        a = nxt * l / (j * safe_o)
-        b = w[jj] * l / (z_i * (l - j)) if z_i != 0 else np.zeros_like(nxt)
-        total = total + np.where(hot, a, b)
-        nxt = np.where(hot, w[jj] - a * z_i * (l - j) / l, nxt)
-    return total
+#: Nodes of the trees that a task holds at once (about 50 bytes each); larger models are explained in groups of trees.
+GROUP_NODES = 1_000_000
+#: Rows that walk a tree together.
+ROWS = 2048
+
+
+# -------------------------------------------------------------- one tree ---
+def path_features(tree: dict) -> int:
+    """Most different features on a path of the tree."""
+    most = 0
+    stack = [(0, frozenset())]
+    while stack:
+        j, seen = stack.pop()
+        if tree["left"][j] < 0:
+            most = max(most, len(seen))
+        else:
+            seen = seen | {int(tree["feature"][j])}
+            stack += [(tree["left"][j], seen), (tree["right"][j], seen)]
+    return most
+
+
+def quadrature(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points in (0, 1) and weights that integrate polynomials of degree ``d - 1`` exactly."""
+    x, w = np.polynomial.legendre.leggauss(max(1, -(-d // 2)))
+    return (x + 1) / 2, w / 2
 
 
 def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray, scale: float) -> None:
-    """Add ``scale`` * TreeSHAP values of one tree for all rows of ``x`` into ``phi``."""
-    n = x.shape[0]
-    left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["threshold"]
-    value, cover = tree["value"], tree["cover"]
+    """Add ``scale`` * Shapley values of one tree for all rows of ``x`` into ``phi``."""
+    left, right, feature, cover = (tree[c] for c in ("left", "right", "feature", "cover"))
+    t, w = quadrature(tree.get("path_features") or path_features(tree))
 
-    def recurse(j, m, p_z, p_o, p_i):
-        m = _extend(m, p_z, p_o, p_i, n)
-        if left[j] < 0:
-            d, z, o, _ = m
-            for i in range(1, len(d)):
-                s = _unwound_sum(m, i)
-                phi[:, d[i]] += scale * value[j] * s * (o[i] - z[i])
-            return
-        f = feat[j]
-        goes_left = (x[:, f] <= thr[j]).astype(np.float64)
-        i_z, i_o = 1.0, np.ones(n)
-        if f in m[0][1:]:
-            k = m[0].index(f, 1)
-            i_z, i_o = m[1][k], m[2][k]
-            m = _unwind(m, k)
-        a, b = left[j], right[j]
-        recurse(a, m, i_z * cover[a] / cover[j], i_o * goes_left, f)
-        recurse(b, m, i_z * cover[b] / cover[j], i_o * (1.0 - goes_left), f)
-
-    recurse(0, ([], [], [], []), 1.0, np.ones(n), -1)
-
-
-# Per-leaf pattern tables. A leaf's contribution depends on a row only through
-# which of its d (merged) path features the row satisfies, so the algorithm
-# above, run once with the 2^d patterns as its "rows", gives a (2^d x d)
-# table; a row then costs d interval tests and one gather per leaf.
-MAX_TABLE_DEPTH = 8
-TABLE_BUDGET_BYTES = 256 << 20  # per Python worker, all trees of a model together
-
-
-def leaf_paths(tree: dict) -> list:
-    """(value, features, lo, hi, zero_fractions) per leaf; a row satisfies
-    feature k of the path iff lo[k] < x <= hi[k]."""
-    left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["threshold"]
-    cover, value = tree["cover"], tree["value"]
-    out = []
-
-    def rec(j, path):
+    def edge(z: float, o: np.ndarray) -> tuple:
+        """A feature's part of the product: share, own rows, values where passed and not, and quadrature weights over them."""
+        passed, missed = t + (1 - t) * z, (1 - t) * z
+        return z, o, passed[:, None], missed[:, None], w / passed, w / missed
+
+    def gives(e: tuple, total: np.ndarray) -> np.ndarray:
+        z, o, _, _, wp, wm = e
+        return np.where(o, (1 - z) * (wp @ total), -z * (wm @ total))
+
+    def walk(j: int, product: np.ndarray, path: dict) -> np.ndarray:
+        """Sum over the leaves below ``j`` of value times product, at each point and row."""
         if left[j] < 0:
-            fs = list(path)
-            out.append((value[j], np.array(fs, dtype=np.int64),
-                        np.array([path[f][1] for f in fs]), np.array([path[f][2] for f in fs]),
-                        np.array([path[f][0] for f in fs])))
-            return
-        f, t = feat[j], thr[j]
-        for child, is_left in ((left[j], True), (right[j], False)):
-            z, lo, hi = path.get(f, (1.0, -np.inf, np.inf))
-            z = z * cover[child] / cover[j]
-            lo, hi = (lo, min(hi, t)) if is_left else (max(lo, t), hi)
-            nxt = dict(path)
-            nxt[f] = (z, lo, hi)
-            rec(child, nxt)
-
-    rec(0, {})
-    return out
-
-
-def leaf_table(value: float, z: np.ndarray) -> np.ndarray:
-    """Contribution of one leaf to each of its d path features, for all 2^d patterns."""
-    d = len(z)
-    pats = np.arange(1 << d)
-    o = ((pats[:, None] >> np.arange(d)) & 1).astype(np.float64)
-    m = _extend(([], [], [], []), 1.0, np.ones(len(pats)), -1, len(pats))
-    for k in range(d):
-        m = _extend(m, z[k], o[:, k], k, len(pats))
-    if d == 0:
-        return np.zeros((1, 0))
-    return np.stack([value * _unwound_sum(m, k + 1) * (o[:, k] - z[k]) for k in range(d)], axis=1)
-
-
-def compile_tree(tree: dict, budget: int | None = None):
-    """Pattern tables for every leaf, or None when a path is too long or the
-    tables would exceed ``budget`` bytes (that tree then uses the recursion)."""
-    paths = leaf_paths(tree)
-    if max((len(p[1]) for p in paths), default=0) > MAX_TABLE_DEPTH:
-        return None
-    if budget is not None and table_bytes(paths) > budget:
-        return None
-    return [(feats, lo, hi, leaf_table(v, z)) for v, feats, lo, hi, z in paths if len(feats)]
-
-
-def table_bytes(paths: list) -> int:
-    return sum((1 << len(p[1])) * len(p[1]) * 8 for p in paths)
-
-
-def table_shap(x: np.ndarray, compiled, phi: np.ndarray, scale: float) -> None:
-    """Same result as ``tree_shap`` from precompiled pattern tables."""
-    n = x.shape[0]
-    for feats, lo, hi, table in compiled:
-        bits = np.zeros(n, dtype=np.int64)
-        for k in range(len(feats)):
-            col = x[:, feats[k]]
-            bits |= ((col > lo[k]) & (col <= hi[k])).astype(np.int64) << k
-        phi[:, feats] += scale * table[bits]
-
-
-_COMPILED: dict = {}
-
-
-def _compiled(key: str, trees: list) -> list:
-    """Pattern tables per Python worker, built once per model and reused by later
-    tasks; trees past the memory budget keep the (equal) recursive algorithm."""
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        left = TABLE_BUDGET_BYTES
-        out = []
-        for t in trees:
-            c = compile_tree(t, budget=left)
-            if c is not None:
-                left -= sum(tab.nbytes for *_, tab in c)
-            out.append(c)
-        _COMPILED[key] = out
-    return _COMPILED[key]
+            return product * tree["value"][j]
+        f = int(feature[j])
+        before = path.get(f)
+        goes_left = x[:, f] <= tree["threshold"][j]
+        total = 0.0
+        for child, own in ((left[j], goes_left), (right[j], ~goes_left)):
+            if cover[child] <= 0:  # no training row went there: the edge has no share
+                continue
+            z = cover[child] / cover[j]
+            e = edge(z, own) if before is None else edge(z * before[0], own & before[1])
+            below = product if before is None else product / np.where(before[1], before[2], before[3])
+            got = walk(child, below * np.where(e[1], e[2], e[3]), {**path, f: e})
+            change = gives(e, got)
+            if before is not None:  # leaves below this edge count with it, no longer with the one above
+                change -= gives(before, got)
+            phi[:, f] += scale * change
+            total = total + got
+        return total
+
+    if left[0] >= 0:
+        walk(0, np.ones((len(t), len(x))), {})
 
 
 def tree_expectation(tree: dict) -> float:
@@ -217,72 +113,75 @@ def tree_expectation(tree: dict) -> float:
 
 def tree_predict(x: np.ndarray, tree: dict) -> np.ndarray:
     node = np.zeros(x.shape[0], dtype=np.int64)
-    for _ in range(64):
+    while True:
         inner = tree["left"][node] >= 0
         if not inner.any():
-            break
-        f = tree["feature"][node]
-        go_left = x[np.arange(x.shape[0]), np.maximum(f, 0)] <= tree["threshold"][node]
-        nxt = np.where(go_left, tree["left"][node], tree["right"][node])
-        node = np.where(inner, nxt, node)
-    return tree["value"][node]
-
-
-# --------------------------------------------------------------- model tables ---
-def _node_tables(model: PipelineModel, kind: str, max_nodes: int) -> list[dict]:
-    """Per-tree arrays from the saved model's node table, of at most ``max_nodes`` nodes."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/explain-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/stages/*/data")
-    found = nodes.count()
-    if found > max_nodes:
-        raise E.ExplainerError(f"the model has {found} nodes; max_nodes allows {max_nodes}, as every task holds all trees")
-    rows = (nodes
-            .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
-                    "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-                    F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"))
-            .collect())
-    trees: dict[int, list] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], []).append(r)
-    out = []
-    for tid in sorted(trees):
-        nodes = sorted(trees[tid], key=lambda r: r["id"])
-        ids = {r["id"]: i for i, r in enumerate(nodes)}
-        k = len(nodes)
-        t = {"left": np.full(k, -1), "right": np.full(k, -1), "feature": np.full(k, -1),
-             "threshold": np.zeros(k), "value": np.zeros(k), "cover": np.zeros(k)}
-        for i, r in enumerate(nodes):
-            stats = np.asarray(r["impurityStats"], dtype=float)
-            if kind == "rf":
-                t["cover"][i] = stats.sum()
-                t["value"][i] = stats[1] / stats.sum() if stats.sum() > 0 and len(stats) > 1 else 0.0
+            return tree["value"][node]
+        go_left = x[np.arange(x.shape[0]), np.maximum(tree["feature"][node], 0)] <= tree["threshold"][node]
+        node = np.where(inner, np.where(go_left, tree["left"][node], tree["right"][node]), node)
+
+
+# ---------------------------------------------------------- model tables ---
+class NodeTables:
+    """The trees of a saved model as arrays, read group by group."""
+
+    def __init__(self, spark: SparkSession, model: PipelineModel, kind: str, group_nodes: int):
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/explain-{uuid.uuid4().hex}"
+        model.write().overwrite().save(path)
+        nodes = spark.read.parquet(f"{path}/stages/*/data")
+        self.kind = kind
+        if kind == "boosted":
+            self.nodes = nodes
+        else:
+            self.nodes = nodes.select(
+                F.col("treeID").alias("tree"), "nodeData.id", "nodeData.prediction", F.col("nodeData.impurityStats").alias("stats"),
+                F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+                F.col("nodeData.split.featureIndex").alias("feature"),
+                F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold"))
+        sizes = sorted(tuple(r) for r in self.nodes.groupBy("tree").count().collect())  # one row a tree
+        self.groups: list[tuple[int, int]] = []  # first and last tree
+        weight = 0
+        for tree, size in sizes:
+            if self.groups and weight + size <= group_nodes:
+                self.groups[-1], weight = (self.groups[-1][0], tree), weight + size
             else:
-                t["cover"][i] = stats[0]
-                t["value"][i] = r["prediction"]
-            if r["leftChild"] >= 0:
-                t["left"][i] = ids[r["leftChild"]]
-                t["right"][i] = ids[r["rightChild"]]
-                t["feature"][i] = r["featureIndex"]
-                t["threshold"][i] = r["thr"][0]
-        root = ids.get(0, 0)
-        if root != 0:  # keep the root at position 0
-            raise E.ExplainerError("unexpected node numbering in the saved tree table")
-        out.append(t)
-    return out
+                self.groups.append((tree, tree))
+                weight = size
+        self.trees = len(sizes)
+
+    def read(self, group: tuple[int, int]) -> list[dict]:
+        table = self.nodes.where(F.col("tree").between(*group)).orderBy("tree", "id").toArrow()
+        tree, id_, left, right = (table[c].to_numpy().astype(np.int64) for c in ("tree", "id", "left", "right"))
+        feature = table["feature"].fill_null(-1).to_numpy().astype(np.int64)
+        threshold = table["threshold"].fill_null(0.0).to_numpy()
+        if self.kind == "boosted":
+            cover, value = table["cover"].to_numpy(), table["value"].to_numpy()
+        else:
+            stats = np.array(table["stats"].to_pylist(), dtype=float)
+            cover = stats.sum(axis=1) if self.kind == "rf" else stats[:, 0]
+            value = table["prediction"].to_numpy()
+            if self.kind == "rf":
+                value = np.divide(stats[:, 1], cover, out=np.zeros(len(stats)), where=cover > 0) if stats.shape[1] > 1 else np.zeros(len(stats))
+        out = []
+        for one in np.split(np.arange(len(tree)), np.flatnonzero(np.diff(tree)) + 1):
+            ids = id_[one]
+            if ids[0] != 0:
+                raise E.ExplainerError("unexpected node numbering in the saved tree table")
+            inner = left[one] >= 0
+            place = {"left": left[one], "right": right[one]}
+            arrays = {c: np.where(inner, np.searchsorted(ids, np.maximum(v, 0)), -1) for c, v in place.items()}
+            arrays |= {"feature": np.where(inner, feature[one], -1), "threshold": threshold[one], "value": value[one], "cover": cover[one]}
+            arrays["path_features"] = path_features(arrays)
+            out.append(arrays)
+        return out
 
 
 class TreeExplainer:
-    """X1/X2 for a fitted ``PipelineModel`` ending in a Spark RF or GBT classifier."""
+    """X1/X2 for a fitted ``PipelineModel`` ending in a forest or boosted trees."""
 
-    def __init__(self, model: PipelineModel, max_nodes: int = MAX_NODES):
-        if model is None:
-            raise E.ExplainerError("Model cannot be None.")
+    def __init__(self, model: PipelineModel, group_nodes: int = GROUP_NODES, spark: SparkSession | None = None):
         if not isinstance(model, PipelineModel) or not model.stages:
-            raise E.ExplainerError(f"Expected a fitted PipelineModel, got {type(model).__name__}.")
+            raise E.ExplainerError(f"attributions need a fitted pipeline model, not {type(model).__name__}")
         clf = model.stages[-1]
         if isinstance(clf, RandomForestClassificationModel):
             self.kind = "rf"
@@ -291,59 +190,85 @@ class TreeExplainer:
         elif isinstance(clf, GBTClassificationModel):
             self.kind = "gbt"
             self.scales = [2.0 * w for w in clf.treeWeights]
+        elif isinstance(clf, HistogramBoostedModel):
+            self.kind = "boosted"
+            self.scales = [1.0] * clf.getNumTrees
         else:
-            raise E.ExplainerError(f"Unsupported model {type(clf).__name__}; RF or GBT classifiers only.")
+            raise E.ExplainerError(f"{type(clf).__name__} is not a forest or boosted trees")
         self.features = list(model.stages[0].getInputCols())
-        self.trees = _node_tables(model, self.kind, max_nodes)
-        if len(self.trees) != len(self.scales):
+        self.tables = NodeTables(spark or SparkSession.getActiveSession(), model, self.kind, group_nodes)
+        if self.tables.trees != len(self.scales):
             raise E.ExplainerError("tree table does not match the model")
-        self.base_value = float(sum(s * tree_expectation(t) for s, t in zip(self.scales, self.trees)))
-        self.key = uuid.uuid4().hex
+
+    @property
+    def trees(self) -> list[dict]:
+        """All trees as arrays (the whole model, on the driver)."""
+        return [t for g in self.tables.groups for t in self.tables.read(g)]
 
     def _validate(self, df: DataFrame) -> None:
         """Non-empty, unique names, features present, no nulls/NaN (one job)."""
         if len(set(df.columns)) != len(df.columns):
-            raise E.ExplainerError(f"Duplicate feature names detected: {df.columns}")
+            raise E.ExplainerError(f"column names occur more than once: {df.columns}")
         missing = [c for c in self.features if c not in df.columns]
         if missing:
-            raise E.ExplainerError(f"Missing feature columns: {missing}")
+            raise E.ExplainerError(f"rows lack the model's features {missing}")
         bad = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in self.features]
         r = df.agg(F.count(F.lit(1)).alias("__n"), *bad).first().asDict()
         if r.pop("__n") == 0:
-            raise E.ExplainerError("Input dataframe is empty.")
+            raise E.ExplainerError("there are no rows to explain")
         if any(r.values()):
-            raise E.ExplainerError("Input dataframe contains NaN values.")
+            raise E.ExplainerError(f"null or NaN in {sorted(c for c, n in r.items() if n)}")
 
     def attributions(self, df: DataFrame, key: str = S.ROW_ID, validate: bool = True) -> DataFrame:
-        """One row per input row: key, base_value, model_output and one column per feature."""
+        """One row per input row: key, base_value, model_output and one column per feature.
+
+        A model of several groups of trees needs a key that is unique by row.
+        """
         if validate:
             self._validate(df)
-        feats, trees, scales, base, kind = self.features, self.trees, self.scales, self.base_value, self.kind
-        model_key = self.key
+        feats = self.features
         keys = [key] if key in df.columns else []
-        schema = ", ".join([f"`{k}` bigint" for k in keys] + [f"{BASE} double", f"{OUTPUT} double"]
-                           + [f"`{c}` double" for c in feats])
-
-        def explain(batches):
-            for pdf in batches:
+        groups = self.tables.groups
+        if len(groups) > 1 and not keys:
+            raise E.ExplainerError(f"a model of several groups of trees needs the key column {key}")
+        schema = ", ".join([f"`{k}` bigint" for k in keys] + [f"{BASE} double", f"{OUTPUT} double"] + [f"`{c}` double" for c in feats])
+        parts = []
+        for group in groups:
+            trees = self.tables.read(group)
+            scales = self.scales[group[0]: group[1] + 1]
+            base = float(sum(s * tree_expectation(t) for s, t in zip(scales, trees)))
+            sent = df.sparkSession.sparkContext.broadcast((trees, scales, base))
+            parts.append(df.select(*keys, *feats).mapInPandas(_explain(sent, feats, keys), schema))
+        if len(parts) == 1:
+            return parts[0]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        numbers = [BASE, OUTPUT, *feats]
+        return every.groupBy(*keys).agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in numbers])
+
+
+def _explain(sent, feats: list[str], keys: list[str]):
+    def explain(batches):
+        trees, scales, base = sent.value
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at: at + ROWS]
                 # column-major: every test reads one feature column
-                x = np.asfortranarray(pdf[feats].to_numpy(dtype=np.float64))
+                x = np.asfortranarray(part[feats].to_numpy(dtype=np.float64))
                 phi = np.zeros(x.shape, order="F")
                 out = np.zeros(x.shape[0])
-                for t, c, s in zip(trees, _compiled(model_key, trees), scales):
-                    if c is None:  # very deep tree: direct recursion
-                        tree_shap(x, t, phi, s)
-                    else:
-                        table_shap(x, c, phi, s)
+                for t, s in zip(trees, scales):
+                    tree_shap(x, t, phi, s)
                     out += s * tree_predict(x, t)
                 res = pd.DataFrame(phi, columns=feats)
                 res.insert(0, OUTPUT, out)
                 res.insert(0, BASE, base)
                 for k in reversed(keys):
-                    res.insert(0, k, pdf[k].to_numpy())
+                    res.insert(0, k, part[k].to_numpy())
                 yield res
 
-        return df.select(*keys, *feats).mapInPandas(explain, schema)
+    return explain
 
 
 def summarize(attr: DataFrame, features: list[str]) -> DataFrame:

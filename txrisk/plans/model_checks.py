@@ -74,6 +74,66 @@ def stump_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_importance(_stump(spark, sf_dir)[0])
 
 
+def _boosted_stump_sql(lam: float, alpha: float, least: float) -> str:
+    """One round from margin 0: g is 0.5 - y and h is 0.25 for every row; the best gain splits."""
+    sides = "\nUNION ALL\n".join(
+        f"SELECT {i} AS i, '{c}' AS feature, sum(0.5 - isFraud) FILTER (WHERE {c} = 1) AS g1, 0.25 * count(*) FILTER (WHERE {c} = 1) AS h1, "
+        f"sum(0.5 - isFraud) FILTER (WHERE {c} = 0) AS g0, 0.25 * count(*) FILTER (WHERE {c} = 0) AS h0 FROM tr" for i, c in enumerate(STUMP_INPUTS))
+
+    def soft(g: str) -> str:
+        return f"(sign({g}) * greatest(abs({g}) - {alpha}, 0))"
+
+    def part(g: str, h: str) -> str:
+        return f"{soft(g)} * {soft(g)} / ({h} + {lam})"
+
+    return oracle_with_tx(_SPLIT_SQL + FEATURE_CTES + f"""
+, side AS (SELECT s.*, a.split FROM scored s JOIN assigned a ON a.row_id = s.row_id)
+, tr AS (SELECT * FROM side WHERE split = 'train')
+, sums AS (SELECT i, feature, CAST(g1 AS DOUBLE) AS g1, CAST(g0 AS DOUBLE) AS g0, CAST(h1 AS DOUBLE) AS h1, CAST(h0 AS DOUBLE) AS h0 FROM ({sides}))
+, gain AS (SELECT *, {part('g1', 'h1')} + {part('g0', 'h0')} - {part('(g1 + g0)', '(h1 + h0)')} AS gain FROM sums WHERE h1 >= {least} AND h0 >= {least})
+, best AS (SELECT * FROM gain ORDER BY round(gain, 9) DESC, i LIMIT 1)
+SELECT row_id, round(1 / (1 + exp({soft('g')} / (h + {lam}))), 9) AS score
+FROM (SELECT row_id, CASE WHEN passed = 1 THEN g1 ELSE g0 END AS g, CASE WHEN passed = 1 THEN h1 ELSE h0 END AS h FROM (
+  SELECT row_id, best.*, CASE best.feature {" ".join(f"WHEN '{c}' THEN side.{c}" for c in STUMP_INPUTS)} END AS passed FROM side, best WHERE split = 'test'))
+""")
+
+
+@query("boosted_stump_scores", _boosted_stump_sql(2.5, 3.0, 5.0))
+def boosted_stump_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: one round of depth 1 of second-order boosting with both penalties and a least hessian; scores of every test row."""
+    from ..operators.models import ModelTrainer, build_boosted_trees, score
+    from ..operators.split import SPLIT_COL, StratifiedSplitter
+
+    df = StratifiedSplitter(test_size=0.2, random_state=42).assign(engineered(spark, sf_dir))
+    spec = build_boosted_trees(n_estimators=1, max_depth=1, learning_rate=1.0, subsample=1.0, colsample_bytree=1.0, reg_lambda=2.5, reg_alpha=3.0,
+                               min_child_weight=5)
+    model = ModelTrainer(spec).train(df.where(F.col(SPLIT_COL) == "train"), list(STUMP_INPUTS))
+    return score(model, df.where("split = 'test'")).select(S.ROW_ID, F.round("score", 9).alias("score"))
+
+
+@query("boosted_saved_scores", oracle_with_tx(
+    _CLEAN_SPLIT_SQL + "SELECT row_id, CAST(1 AS INTEGER) AS same_score, CAST(1 AS INTEGER) AS adds_up FROM assigned WHERE split = 'test'"))
+def boosted_saved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2, S9, S10, M6, X1 for every test row: a saved and loaded second-order model gives the score of the one that was saved,
+    and base value and attributions add up to the logit of that score."""
+    from ..operators.explain import BASE, TreeExplainer
+    from ..operators.models import ModelTrainer, build_boosted_trees, feature_columns, load_model, save_model, score
+    from .jobs import scratch_dir
+    from .queries import model_frame
+
+    df = model_frame(spark, sf_dir)
+    train, test = (df.where(F.col("split") == s) for s in ("train", "test"))
+    model = ModelTrainer(build_boosted_trees(n_estimators=5, max_depth=4, learning_rate=0.3)).train(train, feature_columns(train))
+    loaded = load_model(save_model(model, scratch_dir(spark, "boosted") + "/model"))
+    a = score(model, test).select(S.ROW_ID, "score")
+    b = score(loaded, test).select(F.col(S.ROW_ID).alias("_b"), F.col("score").alias("_loaded"))
+    ex = TreeExplainer(loaded, spark=spark)
+    c = ex.attributions(test, validate=False).select(F.col(S.ROW_ID).alias("_c"), sum((F.col(f"`{x}`") for x in ex.features), F.col(BASE)).alias("_total"))
+    both = a.join(b, F.col(S.ROW_ID) == F.col("_b")).join(c, F.col(S.ROW_ID) == F.col("_c"))
+    return both.select(S.ROW_ID, (F.abs(F.col("score") - F.col("_loaded")) <= 1e-12).cast("int").alias("same_score"),
+                       (F.abs(1 / (1 + F.exp(-F.col("_total"))) - F.col("score")) <= 1e-9).cast("int").alias("adds_up"))
+
+
 # ------------------------------------------------------------- identities ---
 @query("attribution_additivity", oracle_with_tx(
     _CLEAN_SPLIT_SQL + "SELECT row_id, CAST(1 AS INTEGER) AS adds_up, CAST(1 AS INTEGER) AS is_score "
@@ -83,7 +143,7 @@ def attribution_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.explain import BASE, OUTPUT, TreeExplainer
     from ..operators.models import score
 
-    model, df = trained(spark, sf_dir, "xgboost")
+    model, df = trained(spark, sf_dir, "gbt")
     test = df.where("split = 'test'")
     ex = TreeExplainer(model)
     total = sum((F.col(f"`{c}`") for c in ex.features), F.col(BASE))
@@ -102,7 +162,7 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9 on model scores for every test row: scores are shares, and the prediction is 1 from the threshold 0.3 on."""
     from ..operators.models import score
 
-    model, df = trained(spark, sf_dir, "xgboost")
+    model, df = trained(spark, sf_dir, "gbt")
     scored = score(model, df.where("split = 'test'"), threshold=0.3)
     return scored.select(S.ROW_ID, F.col("score").between(0, 1).cast("int").alias("in_range"),
                          (F.col("prediction") == (F.col("score") >= 0.3).cast("int")).cast("int").alias("agrees"))

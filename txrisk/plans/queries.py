@@ -579,7 +579,7 @@ def trained(spark: SparkSession, sf_dir: str, name: str):
     from ..operators.models import ModelFactory, ModelTrainer, feature_columns
 
     df = model_frame(spark, sf_dir)
-    kw = (dict(n_estimators=20, max_depth=4, learning_rate=0.1) if name == "xgboost"
+    kw = (dict(n_estimators=20, max_depth=4, learning_rate=0.1) if name == "gbt"
           else dict(n_estimators=20, max_depth=6))
     train = df.where(F.col("split") == "train")
 
@@ -599,7 +599,7 @@ def _scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("gbt_scores", None)
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees (20 rounds, depth 4) trained on the train side; test scores."""
-    return _scores(spark, sf_dir, "xgboost")
+    return _scores(spark, sf_dir, "gbt")
 
 
 @query("rf_scores", None)
@@ -613,7 +613,7 @@ def feature_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of the 66 model inputs of the boosted trees, descending."""
     from ..operators.models import feature_importance
 
-    model, _ = trained(spark, sf_dir, "xgboost")
+    model, _ = trained(spark, sf_dir, "gbt")
     return feature_importance(model)
 
 
@@ -622,7 +622,7 @@ def top_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: the 20 most important inputs (a top-k report)."""
     from ..operators.models import feature_importance, top_features
 
-    model, _ = trained(spark, sf_dir, "xgboost")
+    model, _ = trained(spark, sf_dir, "gbt")
     return top_features(feature_importance(model), 20)
 
 
@@ -631,7 +631,7 @@ def attributions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact TreeSHAP attributions of every test row (mapInPandas over the rows)."""
     from ..operators.explain import TreeExplainer
 
-    model, df = trained(spark, sf_dir, "xgboost")
+    model, df = trained(spark, sf_dir, "gbt")
     return TreeExplainer(model).attributions(df.where(F.col("split") == "test"))
 
 
@@ -640,7 +640,7 @@ def attribution_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean |attribution| per input over all test rows, descending."""
     from ..operators.explain import TreeExplainer, summarize
 
-    model, df = trained(spark, sf_dir, "xgboost")
+    model, df = trained(spark, sf_dir, "gbt")
     ex = TreeExplainer(model)
     return summarize(ex.attributions(df.where(F.col("split") == "test")), ex.features)
 
