@@ -57,3 +57,32 @@ def test_empty_parts(spark, tmp_path):
     write_parts(folder, [0, 0])
     df = load_transactions(spark, str(folder))
     assert S.ROW_ID in df.columns and df.count() == 0
+
+
+@pytest.mark.parametrize("files,split_bytes", [(1, "128m"), (1, "32k"), (3, "128m"), (3, "8k")])
+@pytest.mark.parametrize("most", [100_000, 0])  # offsets shipped, or joined
+def test_ids_are_dense_for_any_pieces(spark, tmp_path, files, split_bytes, most):
+    from txrisk.sources.io import with_file_order_id
+
+    folder = str(tmp_path / "in")
+    rows = spark.range(6000).selectExpr("id", "concat('row of text ', id) as t")
+    rows.repartitionByRange(files, "id").sortWithinPartitions("id").write.option("header", True).csv(folder)
+    conf = {"spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = with_file_order_id(spark.read.option("header", True).csv(folder), most_pieces=most)
+        assert out.count() == 6000 and out.where("row_id <> cast(id as long)").isEmpty()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_shipped_offsets_do_not_shuffle_the_rows(spark, tmp_path):
+    from txrisk.sources.io import with_file_order_id
+
+    folder = str(tmp_path / "p")
+    spark.range(100).repartition(3).write.parquet(folder)
+    plan = with_file_order_id(spark.read.parquet(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

@@ -73,6 +73,41 @@ def test_stream_scoring(spark, pipeline, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sink")).count() == clean.count()
 
 
+@pytest.mark.parametrize("cuts", [[3, 40, 41, 400], [100, 500]])
+def test_stream_in_any_batches_equals_one_batch(spark, pipeline, tmp_path, cuts, monkeypatch):
+    """Account history goes on from batch to batch, through snapshots, and a repeated batch changes nothing."""
+    from txrisk.streaming import scoring
+
+    out, res = pipeline
+    jobs.run_training(spark, res["split"], str(tmp_path), model_type="random_forest", n_estimators=3, max_depth=3, explain=False)
+    # few accounts, so that every one goes on in later batches
+    clean = spark.read.parquet(res["cleaned"]).withColumns({"nameOrig": F.concat(F.lit("C"), F.col("row_id") % 17), "nameDest": F.when(
+        F.col("row_id") % 5 > 0, F.concat(F.lit("M"), F.col("row_id") % 23))})
+    monkeypatch.setattr(scoring, "SNAPSHOT_EVERY", 2)
+    state = scoring.AccountState(spark, str(tmp_path / "state"), snapshot_every=2)
+    edges = [-1, *cuts, 10_000]
+    want = jobs.score_batch(spark, clean, f"{out}/feature_params", str(tmp_path / "model"))
+    from txrisk.operators.behavior import BehaviorFeatures
+    from txrisk.operators.models import load_model, score
+    from txrisk.plans.chain import FeatureChain
+
+    model, parts = load_model(str(tmp_path / "model")), []
+    for batch_id, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        batch = clean.where((F.col("step") > lo) & (F.col("step") <= hi))
+        for _ in range(2 if batch_id == 1 else 1):  # a batch that is retried
+            chain = FeatureChain.from_params(res["feature_params"], behavior_mode="blocked" if batch_id == 2 else "window", behavior_ranges=3)
+            for stage in chain.stages:
+                if isinstance(stage, BehaviorFeatures):
+                    stage.history = state.before(batch_id)
+            part = score(model, chain.transform(batch))
+            state.add(batch_id, batch)
+        parts.append(part.toPandas())
+    import pandas as pd
+
+    got = pd.concat(parts).sort_values("row_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want.toPandas().sort_values("row_id").reset_index(drop=True)[list(got.columns)])
+
+
 def test_csv_ingest_na_strings_and_types(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text(
@@ -170,8 +205,22 @@ def test_data_pipeline_rejects_bad_rows_inside_the_write(spark, tmp_path):
     bad = tx.withColumn("amount", F.when(F.col("row_id") == 3, F.lit(-1.0)).otherwise(F.col("amount")))
     with pytest.raises(E.DataIntegrityError, match="amount"):
         jobs.run_data_pipeline(spark, bad, str(tmp_path / "bad"), salt="")
+    assert not os.path.exists(tmp_path / "bad" / "cleaned")
     with pytest.raises(E.SchemaValidationError, match="empty"):
         jobs.run_data_pipeline(spark, tx.where("false"), str(tmp_path / "empty"), salt="")
+    worse = bad.withColumn("oldbalanceOrg", F.lit(-1.0))
+    with pytest.raises(E.DataIntegrityError, match=r"\['amount', 'oldbalanceOrg'\]"):
+        jobs.run_data_pipeline(spark, worse, str(tmp_path / "bad"), salt="")
+
+
+def test_outputs_by_side_and_format(spark, tmp_path):
+    res = jobs.run_data_pipeline(spark, transactions(spark, SF), str(tmp_path), salt="", formats=("csv",), combined=True)
+    assert {"cleaned.csv", "engineered.csv", "X_train.csv", "y_test.csv", "train.csv", "test.csv"} <= set(res)
+    x, y, whole = (spark.read.option("header", True).csv(res[f"{n}.csv"]) for n in ("X_test", "y_test", "test"))
+    assert x.count() == y.count() == whole.count() > 0
+    assert "isFraud" not in x.columns and y.columns == ["row_id", "isFraud"] and {"isFraud", "risk_score"} <= set(whole.columns)
+    with pytest.raises(E.DataPersistenceError, match="xml"):
+        io.write_split_sides(spark, res["split"], str(tmp_path), ("xml",))
 
 
 def test_csv_inline_type_check_fails_the_data_job(spark, tmp_path):
@@ -183,7 +232,7 @@ def test_csv_inline_type_check_fails_the_data_job(spark, tmp_path):
     lazy = io.load_transactions(spark, str(p), check_types="inline")
     assert sorted(lazy.collect()) == sorted(io.load_transactions(spark, str(p)).collect())
     bad = tmp_path / "b.csv"
-    bad.write_text(header + good.replace("899.5", "x"))
+    bad.write_text(header + good.replace("899.5", "x").replace("TRANSFER,NA", "TRANSFER,y"))
     io.load_transactions(spark, str(bad), check_types="inline")          # no job: no error yet
-    with pytest.raises(E.InvalidDataTypeError, match="newbalanceOrig"):
+    with pytest.raises(E.InvalidDataTypeError, match="amount.*newbalanceOrig"):  # all bad columns
         jobs.run_data_pipeline(spark, str(bad), str(tmp_path / "out"), salt="")

@@ -32,6 +32,11 @@ Two plans give identical results:
 
 Running sums use exact decimals, so neither plan nor partitioning changes a
 bit of the result.
+
+``history`` (:func:`account_history` of earlier rows) makes both plans go on
+from the rows before: features of a table cut into consecutive pieces of
+``(step, row_id)``, each with the history of those before it, equal those of
+the whole table. Histories of pieces merge by :func:`merge_histories`.
 """
 
 from __future__ import annotations
@@ -71,6 +76,36 @@ def _finish(df: DataFrame, side: str, count_c, prior_count_c, prior_sum_c, gap_c
 
 
 RANGE = "_range"
+_PAST = ("_h_n", "_h_sum", "_h_last")
+HISTORY = "side string, account string, n bigint, total decimal(38,6), last_step int"
+
+
+def account_history(df: DataFrame) -> DataFrame:
+    """``HISTORY`` rows: count, sum of amounts and last step of every account on each side."""
+    both = None
+    for side, key in _SIDES.items():
+        one = df.groupBy(F.col(key).alias("account")).agg(
+            F.count("*").alias("n"), F.sum(money(S.AMOUNT)).cast("decimal(38,6)").alias("total"), F.max(S.STEP).cast("int").alias("last_step"))
+        one = one.select(F.lit(side).alias("side"), "account", "n", "total", "last_step")
+        both = one if both is None else both.unionByName(one)
+    return both
+
+
+def merge_histories(histories: DataFrame) -> DataFrame:
+    """One row for each side and account of histories of several pieces."""
+    return histories.groupBy("side", "account").agg(
+        F.sum("n").alias("n"), F.sum("total").cast("decimal(38,6)").alias("total"), F.max("last_step").alias("last_step"))
+
+
+def _with_past(df: DataFrame, side: str, history: DataFrame | None) -> DataFrame:
+    """``df`` with count, sum and last step of each row's account before the frame (0, 0, null without any)."""
+    if history is None:
+        none = [F.lit(0).cast("bigint"), F.lit(0).cast("decimal(38,6)"), F.lit(None).cast("int")]
+        return df.select("*", *[c.alias(n) for c, n in zip(none, _PAST)])
+    own = history.where(F.col("side") == side).select(F.col("account").alias("_h_acc"), F.col("n").alias("_h_n0"), F.col("total").alias("_h_s0"),
+                                                      F.col("last_step").alias(_PAST[2]))
+    j = df.join(own, F.col(_SIDES[side]).eqNullSafe(F.col("_h_acc")), "left")
+    return j.select(*df.columns, F.coalesce("_h_n0", F.lit(0)).alias(_PAST[0]), F.coalesce("_h_s0", F.lit(0).cast("decimal(38,6)")).alias(_PAST[1]), _PAST[2])
 
 
 def ranged(df: DataFrame, side: str, ranges: int) -> DataFrame:
@@ -123,9 +158,14 @@ def _gap(prev) -> Column:
     return F.when(prev.isNull(), F.lit(S.NO_PRIOR_GAP)).otherwise(F.col(S.STEP) - prev)
 
 
-def _side_window(df: DataFrame, side: str) -> DataFrame:
+def _side_window(df: DataFrame, side: str, history: DataFrame | None = None) -> DataFrame:
     n, prior_sum, prev = _running(Window.partitionBy(_SIDES[side]).orderBy(S.STEP, S.ROW_ID))
-    return df.select("*", *_finish(df, side, n, n - 1, prior_sum, _gap(prev)))
+    if history is None:
+        return df.select("*", *_finish(df, side, n, n - 1, prior_sum, _gap(prev)))
+    past_n, past_sum, past_last = (F.col(c) for c in _PAST)
+    j = _with_past(df, side, history)
+    features = _finish(j, side, n + past_n, n - 1 + past_n, prior_sum + past_sum, _gap(F.coalesce(prev, past_last)))
+    return j.select(*df.columns, *features)
 
 
 def edge_carry(rows: DataFrame, key: str) -> DataFrame:
@@ -145,16 +185,17 @@ def edge_carry(rows: DataFrame, key: str) -> DataFrame:
     return carry.where(F.col("_c_cnt").isNotNull())
 
 
-def _side_blocked(df: DataFrame, side: str, ranges: int) -> DataFrame:
+def _side_blocked(df: DataFrame, side: str, ranges: int, history: DataFrame | None = None) -> DataFrame:
     key = _SIDES[side]
-    rows = ranged(df, side, ranges)
+    rows = ranged(_with_past(df, side, history), side, ranges)
     i, inner, prev = _running(Window.partitionBy(RANGE, key).orderBy(S.STEP, S.ROW_ID))
     own = rows.select("*", i.alias("_i"), inner.alias("_in_sum"), prev.alias("_in_prev"))
     j = own.join(F.broadcast(edge_carry(rows, key)),
                  (F.col(RANGE) == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")), "left")
-    count_c = F.coalesce(F.col("_c_cnt"), F.lit(0)) + F.col("_i")
-    prior_sum = F.coalesce(F.col("_c_sum"), F.lit(0).cast("decimal(38,6)")) + F.col("_in_sum")
-    gap = _gap(F.coalesce(F.col("_in_prev"), F.col("_c_prev")))
+    past_n, past_sum, past_last = (F.col(c) for c in _PAST)
+    count_c = F.coalesce(F.col("_c_cnt"), F.lit(0)) + F.col("_i") + past_n
+    prior_sum = F.coalesce(F.col("_c_sum"), F.lit(0).cast("decimal(38,6)")) + F.col("_in_sum") + past_sum
+    gap = _gap(F.coalesce(F.col("_in_prev"), F.col("_c_prev"), past_last))
     return j.select(*df.columns, *_finish(j, side, count_c, count_c - 1, prior_sum, gap))
 
 
@@ -179,6 +220,7 @@ class BehaviorFeatures:
         self.hot_key_rows = hot_key_rows
         self.probe_fraction = probe_fraction
         self.last_plan: dict[str, str] = {}
+        self.history: DataFrame | None = None  # of the rows before those to be transformed
 
     def check(self, df: DataFrame) -> None:
         missing = [c for c in self.required if c not in df.columns]
@@ -205,6 +247,7 @@ class BehaviorFeatures:
         self.last_plan = plan
         ranges = self.ranges or shuffle_partitions(df.sparkSession)
         for side in _SIDES:
-            out = _side_window(out, side) if plan[side] == "window" else _side_blocked(out, side, ranges)
+            out = (_side_window(out, side, self.history) if plan[side] == "window"
+                   else _side_blocked(out, side, ranges, self.history))
         # column order: sender/receiver interleaved per feature
         return out.select(*base.columns, *S.BEHAVIOR_FEATURES)

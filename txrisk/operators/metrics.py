@@ -237,31 +237,45 @@ def pr_auc(df: DataFrame, label: str = S.LABEL, score: str = SCORE, buckets: int
 
 def score_aucs(df: DataFrame, label: str = S.LABEL, score: str = SCORE,
                buckets: int | None = None) -> tuple[float | None, float | None]:
-    """(E6, E7) from ONE score table and ONE ascending running-sum pass.
+    """(E6, E7) from ONE score table and ONE ascending running-sum pass."""
+    t = persist_adaptive(score_table(df, label, score))
+    try:
+        return table_aucs(t, buckets)
+    finally:
+        t.unpersist()
+
+
+def table_aucs(t: DataFrame, buckets: int | None = None) -> tuple[float | None, float | None]:
+    """(E6, E7) of a :func:`score_table`.
 
     Descending sums come from the ascending ones: ``P - cum_pos + pos`` and
     ``N - cum_neg + neg``, so both areas equal :func:`roc_auc` and
     :func:`pr_auc` exactly (same integer counts, same exact decimal sums).
     """
-    t = persist_adaptive(score_table(df, label, score))
-    try:
-        tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-        P, N = int(tot["P"] or 0), int(tot["N"] or 0)
-        if P == 0 or N == 0:
-            return None, None
-        r = running_sums(t, SCORE, ["pos", "neg"], buckets=buckets)
-        roc = (F.col("pos").cast("decimal(38,0)")
-               * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")).cast("decimal(38,0)"))
-        tp = (F.lit(P) - F.col("cum_pos") + F.col("pos")).cast("double")
-        fp = (F.lit(N) - F.col("cum_neg") + F.col("neg")).cast("double")
-        tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
-        prec = tp / (tp + fp)
-        prev = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
-        pr = F.col("pos").cast("double") * (prec + prev) / F.lit(2.0 * P)
-        row = r.agg(F.sum(roc).alias("roc"), F.sum(pr.cast("decimal(38,18)")).alias("pr")).first()
-        return int(row["roc"]) / (2 * P * N), float(row["pr"])
-    finally:
-        t.unpersist()
+    tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    P, N = int(tot["P"] or 0), int(tot["N"] or 0)
+    if P == 0 or N == 0:
+        return None, None
+    r = running_sums(t, SCORE, ["pos", "neg"], buckets=buckets)
+    roc = (F.col("pos").cast("decimal(38,0)")
+           * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")).cast("decimal(38,0)"))
+    tp = (F.lit(P) - F.col("cum_pos") + F.col("pos")).cast("double")
+    fp = (F.lit(N) - F.col("cum_neg") + F.col("neg")).cast("double")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    prec = tp / (tp + fp)
+    prev = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
+    pr = F.col("pos").cast("double") * (prec + prev) / F.lit(2.0 * P)
+    row = r.agg(F.sum(roc).alias("roc"), F.sum(pr.cast("decimal(38,18)")).alias("pr")).first()
+    return int(row["roc"]) / (2 * P * N), float(row["pr"])
+
+
+def checked_score_table(df: DataFrame, label: str, score: str) -> DataFrame:
+    """:func:`score_table` that also counts rows with a null label (``unlabelled``) and other labels (``other``): all that an
+    evaluation needs, mergeable from any partitioning, in one pass over the rows."""
+    y = F.col(label)
+    return df.groupBy(F.col(score).cast("double").alias(SCORE)).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count_if(y.isNull()).alias("unlabelled"),
+        F.count_if(~y.isin(0, 1)).alias("other"))
 
 
 # ------------------------------------------------------------ consolidated ---
@@ -284,13 +298,32 @@ def compute(df: DataFrame, label: str = S.LABEL, pred: str = PRED, prob: str | N
 def evaluate_scores(df: DataFrame, label: str = S.LABEL, score: str = SCORE,
                     threshold: float = S.DEFAULT_THRESHOLD) -> dict:
     """E9 core: all metrics of a scored frame (label + positive-class score)."""
-    scored = df.select(F.col(label).alias(label), F.col(score).alias(SCORE),
-                       predict_at(score, threshold).alias(PRED))
-    # three passes over the scored rows: checks + confusion counts, score table, running sums
-    counts = counts_frame(df.sparkSession, validate_inputs(scored, label, PRED, SCORE))
-    m = binary_metrics(scored, label, PRED, counts).first().asDict()
-    m["classification_report"] = [r.asDict() for r in classification_report(scored, label, PRED, counts).collect()]
-    m["confusion_matrix"] = [[r["value"] for r in confusion_matrix(scored, label, PRED, counts=counts).orderBy(
-        "true_label", "predicted_label").collect()][i:i + 2] for i in (0, 2)]
-    m["roc_auc"], m["pr_auc"] = score_aucs(scored, label, SCORE)
+    t = persist_adaptive(checked_score_table(df, label, score))  # the one pass over the scored rows
+    try:
+        rows, s = F.col("pos") + F.col("neg") + F.col("unlabelled") + F.col("other"), F.col(SCORE)
+        hit = predict_at(SCORE, threshold) == 1
+        sums = {"n": rows, "unlabelled": F.col("unlabelled"), "other": F.col("other"),
+                "bad_score": F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), rows),
+                "tp": F.when(hit, F.col("pos")), "fp": F.when(hit, F.col("neg")), "fn": F.when(~hit, F.col("pos")), "tn": F.when(~hit, F.col("neg"))}
+        r = t.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()]).first().asDict()
+        for wrong, text in ((r["n"] == 0, "there are no rows to evaluate"), (r["unlabelled"], f"null in {label}"),
+                            (r["other"], f"{label} must be 0 or 1"), (r["bad_score"], f"null, NaN or infinite {score}")):
+            if wrong:
+                raise E.MetricsError(text)
+        counts = counts_frame(df.sparkSession, r)
+        m = binary_metrics(df, label, PRED, counts).first().asDict()
+        m["classification_report"] = [x.asDict() for x in classification_report(df, label, PRED, counts).collect()]
+        m["confusion_matrix"] = [[int(r["tn"]), int(r["fp"])], [int(r["fn"]), int(r["tp"])]]
+        m["roc_auc"], m["pr_auc"] = table_aucs(t)
+    finally:
+        t.unpersist()
     return m
+
+
+def flat_report(report: dict) -> list[tuple[str, float | None]]:
+    """(metric, value) rows of :func:`evaluate_scores`: scalars, confusion cells and the report by class."""
+    rows = [(k, v) for k, v in report.items() if not isinstance(v, list)]
+    rows += [(f"confusion_{t}{p}", float(report["confusion_matrix"][t][p])) for t in (0, 1) for p in (0, 1)]
+    for line in report["classification_report"]:
+        rows += [(f"{line['label']} {k}", None if line[k] is None else float(line[k])) for k in ("precision", "recall", "f1_score", "support")]
+    return rows

@@ -68,6 +68,28 @@ def duplicate_count(df: DataFrame, subset: Iterable[str] | None = None) -> DataF
     return per.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
+def duplicate_counts(df: DataFrame, key_sets: dict[str, list[str] | None]) -> DataFrame:
+    """A7 for several key sets in one scan: (subset, duplicates); None means all columns but the row id.
+
+    The sets are GROUPING SETS of one aggregation, told apart by their grouping id, so a null key is not taken for
+    a column that its set leaves out.
+    """
+    sets = {name: list(cols) if cols is not None else [c for c in df.columns if c != S.ROW_ID] for name, cols in key_sets.items()}
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    ids = {}
+    for name, cols in sets.items():  # the bit of a column is set where the set leaves it out
+        code = sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in cols)
+        ids.setdefault(code, []).append(name)
+    distinct = [sets[names[0]] for names in ids.values()]
+    per = df.groupingSets([[F.col(c) for c in cols] for cols in distinct], *[F.col(c) for c in every]).agg(
+        F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("__c"))
+    one = per.groupBy("__set").agg(F.sum(F.col("__c") - 1).cast("bigint").alias("n"))
+    # a set without rows has no group: one aggregated row holds a number for each
+    wide = one.agg(*[F.coalesce(F.sum(F.when(F.col("__set") == code, F.col("n"))), F.lit(0)).cast("bigint").alias(f"n{i}") for i, code in enumerate(ids)])
+    cells = [F.struct(F.lit(name).alias("subset"), F.col(f"n{i}").alias("duplicates")) for i, names in enumerate(ids.values()) for name in names]
+    return wide.select(F.explode(F.array(*cells)).alias("e")).select("e.subset", "e.duplicates")
+
+
 def class_counts(df: DataFrame, label: str = S.LABEL) -> DataFrame:
     """Value counts per class."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

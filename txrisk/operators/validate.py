@@ -118,19 +118,26 @@ def count_violations(df: DataFrame, rules: list[Rule], with_rows: bool = True,
 
     ``extra`` maps names to further aggregate columns computed in the same job.
     """
-    aggs = [F.count(F.lit(1)).alias("__rows")] if with_rows else []
-    aggs += [F.count_if(r.bad).alias(f"__r{i}") for i, r in enumerate(rules)]
     extra = extra or {}
-    aggs += [a.alias(f"__x{i}") for i, a in enumerate(extra.values())]
+    aggs = violation_columns(rules, with_rows) + [a.alias(f"__x{i}") for i, a in enumerate(extra.values())]
     row = df.agg(*aggs).first()
-    out = {"rows": row["__rows"]} if with_rows else {}
-    for i, r in enumerate(rules):
-        out[(r.name, r.column)] = int(row[f"__r{i}"])
+    out = read_counts(row.asDict(), rules)
     for i, name in enumerate(extra):
         out[name] = row[f"__x{i}"]
     return out
 
 
+def violation_columns(rules: list[Rule], with_rows: bool = True) -> list[Column]:
+    """Aggregate columns that count the rows and the failing rows of each rule (for an aggregation or an observation)."""
+    return ([F.count(F.lit(1)).alias("__rows")] if with_rows else []) + [F.count_if(r.bad).alias(f"__r{i}") for i, r in enumerate(rules)]
+
+
+def read_counts(row: dict, rules: list[Rule]) -> dict:
+    """The values of :func:`violation_columns` by (rule, column), with 'rows'."""
+    out = {"rows": row["__rows"]} if "__rows" in row else {}
+    return out | {(r.name, r.column): int(row[f"__r{i}"]) for i, r in enumerate(rules)}
+
+
 def violation_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """V0 as a DataFrame: (rule, column, violations), still one aggregate job."""
     aggs = [F.count_if(r.bad).cast("bigint").alias(f"__r{i}") for i, r in enumerate(rules)]

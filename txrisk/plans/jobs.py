@@ -20,7 +20,8 @@ from ..operators.preprocess import Preprocessor
 from ..operators.profile import null_counts, preview
 from ..operators.split import SPLIT_COL, StratifiedSplitter
 from ..session import ensure_checkpoint_dir
-from ..sources.io import load_transactions, raise_if_type_failure, read_split, write_importance_csv, write_split, write_table
+from ..sources.io import (is_type_failure, load_transactions, read_split, remove_table, write_importance_csv, write_split, write_split_sides,
+                          write_table)
 from .chain import FeatureChain
 
 log = logging.getLogger(__name__)
@@ -34,9 +35,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
                       test_size: float = S.TEST_SIZE, seed: int = S.RANDOM_STATE,
                       fit_scope: str = "all", quantile: float = S.DEFAULT_QUANTILE,
-                      chain_kwargs: dict | None = None) -> dict:
+                      chain_kwargs: dict | None = None, formats: tuple[str, ...] = ("parquet",),
+                      sides: bool = False, combined: bool = False) -> dict:
     """Load -> clean -> write -> fit + 58 features -> write -> stratified split -> write.
 
+    With ``formats`` of ``"csv"`` the cleaned and engineered tables are also written as CSV. ``sides`` writes the split as
+    ``X_*`` and ``y_*`` tables in those formats, ``combined`` also as whole ``train`` and ``test`` tables.
+
     ``fit_scope="all"`` fits the thresholds on all cleaned rows before the
     split (as the original pipeline does); ``"train"`` fits on the train
     side only.
@@ -47,13 +52,17 @@ def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
     raw = load_transactions(spark, source, check_types="inline") if isinstance(source, str) else source
     pre = Preprocessor(salt=salt)
     try:
-        write_table(pre.process(raw, checks="inline"), f"{out_dir}/cleaned")
-    except Exception as exc:  # noqa: BLE001  (re-raised, mapped when it is a guard)
-        raise_if_type_failure(exc)
-        pre.raise_inline_failure(exc)
+        write_table(pre.process(raw, checks="observed"), f"{out_dir}/cleaned")
+    except E.DataPersistenceError as exc:
+        if isinstance(source, str) and is_type_failure(exc):
+            load_transactions(spark, source)  # counts all columns and raises with all bad ones
+        raise
+    try:
+        pre.raise_observed()
+    except E.TxRiskError:
+        remove_table(spark, f"{out_dir}/cleaned")
+        raise
     clean = spark.read.parquet(f"{out_dir}/cleaned")
-    if clean.isEmpty():
-        raise E.SchemaValidationError("Input dataframe is empty (after dropping missing values).")
     splitter = StratifiedSplitter(test_size=test_size, random_state=seed)
     chain = FeatureChain(**(chain_kwargs or {}))
     if fit_scope == "train":
@@ -68,9 +77,15 @@ def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
     eng = spark.read.parquet(f"{out_dir}/engineered")
     assigned = eng if SPLIT_COL in eng.columns else splitter.assign(eng)
     write_split(assigned, f"{out_dir}/split")
-    return {"cleaned": f"{out_dir}/cleaned", "engineered": f"{out_dir}/engineered",
-            "split": f"{out_dir}/split", "feature_params": chain.get_params(),
-            "test_quotas": splitter.quotas}
+    out = {"cleaned": f"{out_dir}/cleaned", "engineered": f"{out_dir}/engineered",
+           "split": f"{out_dir}/split", "feature_params": chain.get_params(),
+           "test_quotas": splitter.quotas}
+    if "csv" in formats:
+        for name, table in (("cleaned", clean), ("engineered", eng)):
+            out[f"{name}.csv"] = write_table(table, f"{out_dir}/{name}.csv", "csv")
+    if sides or combined:
+        out |= write_split_sides(spark, f"{out_dir}/split", out_dir, formats, combined)
+    return out
 
 
 def run_training(spark: SparkSession, split_dir: str, out_dir: str, model_type: str = "xgboost",

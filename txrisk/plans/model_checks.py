@@ -185,7 +185,94 @@ def top_risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_features(one.select(F.explode(cells).alias("e")).select("e.*"), 5)
 
 
+@query("behavior_batches", with_features("SELECT row_id, " + ", ".join(S.BEHAVIOR_FEATURES) + " FROM scored"))
+def behavior_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 on a stream, W1-W12: tx cut into three batches of steps, each with the account history of those before; equals one batch."""
+    from ..operators.behavior import BehaviorFeatures, account_history, merge_histories
+
+    tx = transactions(spark, sf_dir)
+    out, history = None, None
+    for where in ("step < 200", "step between 200 and 499", "step >= 500"):
+        batch = tx.where(where)
+        stage = BehaviorFeatures("window")
+        stage.history = history
+        part = stage.transform(batch).select(S.ROW_ID, *S.BEHAVIOR_FEATURES)
+        out = part if out is None else out.unionByName(part)
+        own = account_history(batch)
+        history = own if history is None else merge_histories(history.unionByName(own))
+    return out
+
+
+# ------------------------------------------------------ failing inputs ---
+_PLANTED = {
+    "amount": "CASE WHEN row_id % 50 = 7 THEN -1.0 ELSE amount END",
+    "oldbalanceDest": "CASE WHEN row_id % 70 = 3 THEN -2.5 ELSE oldbalanceDest END",
+    "type": "CASE WHEN type = 'PAYMENT' AND step % 40 = 0 THEN 'REFUND_' || CAST(step AS STRING) ELSE type END",
+}
+
+
+def _planted_sql(*columns: str) -> str:
+    cells = ["row_id", *_SRC_NO_ID]
+    return "SELECT " + ", ".join(f"{_PLANTED[c]} AS {c}" if c in columns else c for c in cells) + " FROM tx"
+
+
+def _integrity_sql() -> str:
+    names = "[' || string_agg(chr(39) || c || chr(39), ', ' ORDER BY i) || ']"
+    bad = "\nUNION ALL\n".join(f"SELECT {i} AS i, '{c}' AS c FROM neg WHERE {c} < 0 GROUP BY 1, 2" for i, c in enumerate(S.NON_NEGATIVE_COLUMNS))
+    return oracle_with_tx(f"""
+, neg AS ({_planted_sql("amount", "oldbalanceDest")})
+, odd AS ({_planted_sql("type").replace("STRING", "VARCHAR")})
+, kinds AS (SELECT type, row_number() OVER (ORDER BY type) AS k, count(*) OVER () AS m FROM odd WHERE type LIKE 'REFUND%' GROUP BY type)
+, texts AS (
+  SELECT 'negative' AS input, 'Negative values found in: {names}' AS message FROM ({bad})
+  UNION ALL
+  SELECT 'unknown type', 'Unknown transaction type(s): Invalid values in ''type'': [' || string_agg(chr(39) || type || chr(39), ', ' ORDER BY k) FILTER (WHERE k <= 20)
+    || ']' || CASE WHEN max(m) > 20 THEN ' and ' || (max(m) - 20) || ' more of ' || max(m) || ' (offending_table() lists all)' ELSE '' END FROM kinds)
+SELECT input, mode, 'DataIntegrityError' AS error, message FROM texts, (SELECT 'eager' AS mode UNION ALL SELECT 'job')
+""")
+
+
+@query("integrity_errors", _integrity_sql())
+def integrity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of tx with planted rows, by the eager check and by the data job (counted inside its write): the same text,
+    with every failing column or value."""
+    from .. import errors as E
+    from ..operators.preprocess import Preprocessor
+    from .jobs import run_data_pipeline, scratch_dir
+
+    transactions(spark, sf_dir)
+    rows = []
+    for name, columns in (("negative", ("amount", "oldbalanceDest")), ("unknown type", ("type",))):
+        bad = spark.sql(_planted_sql(*columns))
+        for mode, run in (("eager", lambda d: Preprocessor(salt="").process(d)), ("job", lambda d: run_data_pipeline(spark, d, scratch_dir(spark, "bad")))):
+            try:
+                run(bad)
+            except E.TxRiskError as exc:
+                rows.append((name, mode, type(exc).__name__, str(exc)))
+    return spark.createDataFrame(rows, "input string, mode string, error string, message string")
+
+
 # -------------------------------------------------- tables and reports ---
+@query("ingest_row_ids", oracle_with_tx("""
+SELECT f.fmt, t.row_number AS row_id, t.step, t.nameOrig FROM (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_number, step, nameOrig FROM tx) t,
+  (SELECT 'csv' AS fmt UNION ALL SELECT 'parquet') f
+"""))
+def ingest_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tx written to several ordered files as CSV and as Parquet, then loaded: row ids are dense and in file order."""
+    from ..sources.io import load_transactions, write_table
+    from .jobs import scratch_dir
+
+    folder = scratch_dir(spark, "ingest")
+    tx = transactions(spark, sf_dir)
+    ordered = tx.repartitionByRange(5, S.ROW_ID).sortWithinPartitions(S.ROW_ID).select(*_SRC_NO_ID)
+    out = None
+    for fmt in ("csv", "parquet"):
+        loaded = load_transactions(spark, write_table(ordered, f"{folder}/tx.{fmt}", fmt))
+        part = loaded.select(F.lit(fmt).alias("fmt"), S.ROW_ID, S.STEP, S.NAME_ORIG)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _MANY_SQL = """
 SELECT row_id, CASE WHEN type = 'PAYMENT' THEN 'REFUND_' || CAST(step AS STRING) ELSE type END AS type,
   CASE WHEN type = 'DEBIT' THEN step ELSE isFraud END AS isFraud FROM tx
@@ -240,3 +327,23 @@ def pipeline_written_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_data_pipeline(spark, transactions(spark, sf_dir), scratch_dir(spark, "pipeline"))
     sides = [read_split(spark, out["split"], s).select(*_WRITTEN) for s in ("train", "test")]
     return sides[0].unionByName(sides[1])
+
+
+_X_COLUMNS = [S.ROW_ID, S.STEP, S.AMOUNT, "sender_balance_delta", "receiver_txn_count", "day_of_week", "risk_score"]
+
+
+@query("split_side_tables", oracle_with_tx(
+    _CLEAN_SQL + _SPLIT_SQL.replace("FROM tx", "FROM clean") + FEATURE_CTES.replace("FROM tx", "FROM clean").replace("tx.*", "clean.*")
+    + f"SELECT a.split AS side, {', '.join('s.' + c for c in _X_COLUMNS)}, s.isFraud FROM scored s JOIN assigned a ON a.row_id = s.row_id"))
+def split_side_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X from the Parquet outputs and y from the CSV outputs of the data job, put together again by row id."""
+    from .jobs import run_data_pipeline, scratch_dir
+
+    out = run_data_pipeline(spark, transactions(spark, sf_dir), scratch_dir(spark, "sides"), formats=("parquet", "csv"), sides=True)
+    found = None
+    for side in ("train", "test"):
+        x = spark.read.parquet(out[f"X_{side}"])
+        y = spark.read.schema(f"{S.ROW_ID} bigint, {S.LABEL} int").option("header", True).csv(out[f"y_{side}.csv"])
+        both = x.join(y, S.ROW_ID).select(F.lit(side).alias("side"), *_X_COLUMNS, S.LABEL)
+        found = both if found is None else found.unionByName(both)
+    return found

@@ -276,12 +276,9 @@ FROM (SELECT count(*) AS c FROM dirty GROUP BY nameOrig, step) b
 """))
 def profile_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate-row counts over all source columns and over (nameOrig, step)."""
-    from ..operators.profile import duplicate_count
+    from ..operators.profile import duplicate_counts
 
-    df = _dirty(spark, sf_dir)
-    full = duplicate_count(df).select(F.lit("all_columns").alias("subset"), "duplicates")
-    sub = duplicate_count(df, [S.NAME_ORIG, S.STEP]).select(F.lit("nameOrig,step").alias("subset"), "duplicates")
-    return full.unionByName(sub)
+    return duplicate_counts(_dirty(spark, sf_dir), {"all_columns": None, "nameOrig,step": [S.NAME_ORIG, S.STEP]})
 
 
 @query("class_counts", _oracle_tx("SELECT isFraud, count(*) AS n FROM tx GROUP BY isFraud"))
@@ -515,6 +512,43 @@ def pr_auc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(None if v is None else round(v, 9),)], "pr_auc double")
 
 
+def _evaluation_sql() -> str:
+    """The flat evaluation: the metric, confusion, report and area queries side by side."""
+    report = _report_sql()[len(_SCORED_SQL):]
+    report = report[:report.index("SELECT label, round(precision, 9)")].replace(", d AS", ", dd AS").replace("FROM d", "FROM dd")
+    lines = " UNION ALL ".join(f"SELECT label || ' {c}' AS metric, CAST({c} AS DOUBLE) AS value FROM rep" for c in ("precision", "recall", "f1_score", "support"))
+    return _TABLE_SQL + """
+, e AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tn AS DOUBLE) AS tn FROM cm)
+, up AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM t)
+, down AS (SELECT pos, CAST(sum(pos) OVER w AS DOUBLE) AS a, CAST(sum(neg) OVER w AS DOUBLE) AS b, CAST(sum(pos) OVER w - pos AS DOUBLE) AS a0,
+    CAST(sum(neg) OVER w - neg AS DOUBLE) AS b0 FROM t WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+""" + report + f""", flat AS (
+SELECT 'accuracy' AS metric, (tp + tn) / (tp + fp + fn + tn) AS value FROM e
+UNION ALL SELECT 'balanced_accuracy', (CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END + CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END)
+  / ((CASE WHEN tp + fn = 0 THEN 0 ELSE 1 END) + (CASE WHEN tn + fp = 0 THEN 0 ELSE 1 END)) FROM e
+UNION ALL SELECT 'precision', CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END FROM e
+UNION ALL SELECT 'recall', CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END FROM e
+UNION ALL SELECT 'f1_score', CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END FROM e
+UNION ALL SELECT 'mcc', CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0
+  ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END FROM e
+UNION ALL SELECT 'confusion_00', tn FROM e UNION ALL SELECT 'confusion_01', fp FROM e
+UNION ALL SELECT 'confusion_10', fn FROM e UNION ALL SELECT 'confusion_11', tp FROM e
+UNION ALL SELECT 'roc_auc', CAST(sum(CAST(pos AS HUGEINT) * (2 * (below - neg) + neg)) AS DOUBLE) / (CAST(2 AS DOUBLE) * (SELECT P FROM tot) * (SELECT N FROM tot)) FROM up
+UNION ALL SELECT 'pr_auc', sum(pos * (a / (a + b) + CASE WHEN a0 + b0 = 0 THEN CAST(1 AS DOUBLE) ELSE a0 / (a0 + b0) END)) / (CAST(2 AS DOUBLE) * (SELECT P FROM tot)) FROM down
+UNION ALL {lines})
+SELECT metric, round(value, 9) AS value FROM flat
+"""
+
+
+@query("evaluation_report", with_features(_evaluation_sql()))
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E9 of the rule-based score: every metric, the confusion cells, both areas and the report by class, from one pass over the rows."""
+    from ..operators.metrics import evaluate_scores, flat_report
+
+    rows = flat_report(evaluate_scores(_scored(spark, sf_dir), threshold=0.5))
+    return spark.createDataFrame(rows, "metric string, value double").select("metric", F.round("value", 9).alias("value"))
+
+
 @query("class_weights", _oracle_tx("""
 SELECT isFraud, count(*) AS n,
   round((SELECT count(*) FROM tx) / (CAST(2 AS DOUBLE) * count(*)), 9) AS weight

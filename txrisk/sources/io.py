@@ -46,22 +46,27 @@ def with_row_id(df: DataFrame, column: str = S.ROW_ID) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(column), "*")
 
 
-def with_file_order_id(scan: DataFrame, column: str = S.ROW_ID) -> DataFrame:
+#: Pieces of files whose offsets are shipped to the tasks (about 200 bytes each); more of them are joined.
+MOST_PIECES = 100_000
+
+
+def with_file_order_id(scan: DataFrame, column: str = S.ROW_ID, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Dense ``bigint`` id in the order of file path, then of rows in the file, for a plain file scan.
 
-    Spark packs pieces of files into tasks by size, so task order is not file
-    order. One narrow extra pass counts the rows of each piece; the totals of
-    the files (one row a file) are summed in one window, those of the pieces
-    of a file in a window by file, and each row adds its place in its piece.
-    A table without rows keeps the column.
+    Spark packs pieces of files into tasks by size, so task order is not file order. Files that number their rows (Parquet)
+    need the rows before each file only: a count by file. Others are counted piece by piece (file and first byte), and a
+    row adds its place in its piece to the rows before the piece. Up to ``most_pieces`` offsets are shipped to the tasks, so the
+    rows are not shuffled; more are joined. A table without rows keeps the column.
     """
     if column in scan.columns:
         return scan
-    if len(scan.inputFiles()) < 2:  # pieces of one file are scheduled in file order
-        return with_row_id(scan, column)
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
-             F.monotonically_increasing_id().alias("_seq")]
-    pieces = scan.select(*place).groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    spark = scan.sparkSession
+    file, at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")
+    if "row_index" in scan.select("_metadata").schema["_metadata"].dataType.fieldNames():  # the place of a row in its file
+        place, at = F.col("_metadata.row_index").alias("_seq"), F.lit(0).cast("long").alias("_at")
+    else:
+        place = F.monotonically_increasing_id().alias("_seq")
+    pieces = scan.select(file, at, place).groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     files = pieces.groupBy(F.col("_file").alias("_f")).agg(F.sum("_n").alias("_rows"))
     earlier = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = files.select("_f", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
@@ -69,7 +74,10 @@ def with_file_order_id(scan: DataFrame, column: str = S.ROW_ID) -> DataFrame:
     pieces = pieces.select("*", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inner"))
     starts = pieces.join(files, F.col("_file") == F.col("_f")).select(
         F.col("_file").alias("_pf"), F.col("_at").alias("_pa"), (F.col("_base") + F.col("_inner") - F.col("_first")).alias("_shift"))
-    rows = scan.select(*place, *[F.col(f"`{c}`") for c in scan.columns])
+    found = starts.limit(most_pieces + 1).collect()
+    if len(found) <= most_pieces:
+        starts = F.broadcast(spark.createDataFrame(found, "_pf string, _pa bigint, _shift bigint"))
+    rows = scan.select(file, at, place, *[F.col(f"`{c}`") for c in scan.columns])
     joined = rows.join(starts, (F.col("_file") == F.col("_pf")) & (F.col("_at") == F.col("_pa")))
     return joined.select((F.col("_seq") + F.col("_shift")).alias(column), *[F.col(f"`{c}`") for c in scan.columns])
 
@@ -145,6 +153,11 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
     return df
 
 
+def is_type_failure(exc: Exception) -> bool:
+    """Whether ``exc`` is a job failure from ``check_types="inline"``."""
+    return f"[{TYPE_GUARD_TAG}:" in str(exc)
+
+
 def raise_if_type_failure(exc: Exception) -> None:
     """Raise InvalidDataTypeError if ``exc`` is a job failure from ``check_types="inline"``."""
     import re
@@ -190,6 +203,37 @@ def features_and_label(df: DataFrame, label: str = S.LABEL) -> tuple[DataFrame,
     return x, y
 
 
+def write_split_sides(spark: SparkSession, split_dir: str, out_dir: str, formats: tuple[str, ...] = ("parquet",), combined: bool = False,
+                      label: str = S.LABEL) -> dict[str, str]:
+    """``X_train``, ``X_test``, ``y_train``, ``y_test`` (and, ``combined``, ``train`` and ``test``) from the written split.
+
+    The split was computed once; each side is a pruned read of it. X and y both keep the row id, by which they belong
+    together. CSV outputs get the suffix ``.csv``. Returns the path of each output.
+    """
+    unknown = set(formats) - {"parquet", "csv"}
+    if unknown or not formats:
+        raise E.DataPersistenceError(f"outputs can be written as parquet and csv, not {sorted(unknown)}")
+    out = {}
+    for side in ("train", "test"):
+        rows = read_split(spark, split_dir, side)
+        x, y = features_and_label(rows, label)
+        ids = [S.ROW_ID] if S.ROW_ID in rows.columns else []
+        frames = {f"X_{side}": rows.select(*ids, *[c for c in x.columns if c not in ids]), f"y_{side}": y}
+        if combined:
+            frames[side] = rows
+        for name, frame in frames.items():
+            for fmt in formats:
+                suffix = ".csv" if fmt == "csv" else ""
+                out[name + suffix] = write_table(frame, f"{out_dir}/{name}{suffix}", fmt)
+    return out
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Take back a table that a job wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_importance_csv(importance: DataFrame, path: str) -> str:
     """Importance table as CSV; requires ``feature`` and ``importance``."""
     missing = {"feature", "importance"} - set(importance.columns)
