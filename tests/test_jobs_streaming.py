@@ -205,7 +205,7 @@ def test_data_pipeline_rejects_bad_rows_inside_the_write(spark, tmp_path):
     bad = tx.withColumn("amount", F.when(F.col("row_id") == 3, F.lit(-1.0)).otherwise(F.col("amount")))
     with pytest.raises(E.DataIntegrityError, match="amount"):
         jobs.run_data_pipeline(spark, bad, str(tmp_path / "bad"), salt="")
-    assert not os.path.exists(tmp_path / "bad" / "cleaned")
+    assert not os.path.exists(tmp_path / "bad" / "cleaned" / "_SUCCESS")
     with pytest.raises(E.SchemaValidationError, match="empty"):
         jobs.run_data_pipeline(spark, tx.where("false"), str(tmp_path / "empty"), salt="")
     worse = bad.withColumn("oldbalanceOrg", F.lit(-1.0))

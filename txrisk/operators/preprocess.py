@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors as E
@@ -88,14 +88,11 @@ class Preprocessor:
         failure with :func:`validate.raise_from_guard` and checks emptiness
         on the written table. Error messages then name the column but not the
         offending values.
-
-        ``checks="observed"`` counts the failing rows of every rule in the
-        job that consumes the result, by an ``Observation`` on the cleaned rows.
-        After that job :meth:`raise_observed` raises exactly what the eager mode
-        raises; a table written by the job must then be taken back.
+        :meth:`raise_as_eager` counts all rules after such a failure instead, and
+        raises exactly what the eager mode raises.
         """
-        if checks not in ("eager", "inline", "observed"):
-            raise ValueError("checks must be 'eager', 'inline' or 'observed'")
+        if checks not in ("eager", "inline"):
+            raise ValueError("checks must be 'eager' or 'inline'")
         self.checks(df)
         if strict:
             V.validate_duplicate_columns(df)
@@ -106,11 +103,6 @@ class Preprocessor:
         if checks == "inline":
             out = encode_transaction_type(remove_duplicates(V.guard_columns(clean, integrity + labels)))
             return self._finish(out, pseudonymize_pii, report)
-        if checks == "observed":
-            observation = Observation()
-            self._observed = (observation, clean, integrity, labels)
-            seen = clean.observe(observation, *V.violation_columns(integrity + labels))
-            return self._finish(encode_transaction_type(remove_duplicates(seen)), pseudonymize_pii, report)
         self._enforce(clean, integrity, labels, V.count_violations(clean, integrity + labels))  # one job for all rules
         return self._finish(encode_transaction_type(remove_duplicates(clean)), pseudonymize_pii, report)
 
@@ -124,10 +116,11 @@ class Preprocessor:
             raise E.DataIntegrityError(f"Unknown transaction type(s): {exc}") from exc
         V.enforce(clean, labels, counts)
 
-    def raise_observed(self) -> None:
-        """After the job over a frame of ``checks="observed"``: the eager mode's errors, from that job's own counts."""
-        observation, clean, integrity, labels = self._observed
-        self._enforce(clean, integrity, labels, V.read_counts(observation.get, integrity + labels))
+    def raise_as_eager(self, exc: Exception, df: DataFrame, strict: bool = False) -> None:
+        """After a job over ``process(df, checks="inline")`` failed with ``exc``: the eager mode's error if a guard did it, else ``exc``."""
+        if V.is_guard_failure(exc):
+            self.process(df, pseudonymize_pii=False, strict=strict)
+        raise exc
 
     @staticmethod
     def raise_inline_failure(exc: Exception, strict: bool = False) -> None:

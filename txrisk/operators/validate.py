@@ -199,6 +199,11 @@ def guard_columns(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.select(*cols)
 
 
+def is_guard_failure(exc: Exception) -> bool:
+    """Whether a job failed by a :func:`guard_columns` guard."""
+    return f"[{GUARD_TAG}:" in str(exc)
+
+
 def raise_from_guard(exc: Exception, rules: list[Rule]) -> None:
     """Re-raise a job failure caused by :func:`guard_columns` as the rule's error."""
     text = str(exc)

@@ -20,8 +20,7 @@ from ..operators.preprocess import Preprocessor
 from ..operators.profile import null_counts, preview
 from ..operators.split import SPLIT_COL, StratifiedSplitter
 from ..session import ensure_checkpoint_dir
-from ..sources.io import (is_type_failure, load_transactions, read_split, remove_table, write_importance_csv, write_split, write_split_sides,
-                          write_table)
+from ..sources.io import is_type_failure, load_transactions, read_split, write_importance_csv, write_split, write_split_sides, write_table
 from .chain import FeatureChain
 
 log = logging.getLogger(__name__)
@@ -52,17 +51,14 @@ def run_data_pipeline(spark: SparkSession, source, out_dir: str, salt: str = "",
     raw = load_transactions(spark, source, check_types="inline") if isinstance(source, str) else source
     pre = Preprocessor(salt=salt)
     try:
-        write_table(pre.process(raw, checks="observed"), f"{out_dir}/cleaned")
-    except E.DataPersistenceError as exc:
+        write_table(pre.process(raw, checks="inline"), f"{out_dir}/cleaned")
+    except E.DataPersistenceError as exc:  # nothing is committed; what failed is counted now, so that the error names all of it
         if isinstance(source, str) and is_type_failure(exc):
-            load_transactions(spark, source)  # counts all columns and raises with all bad ones
-        raise
-    try:
-        pre.raise_observed()
-    except E.TxRiskError:
-        remove_table(spark, f"{out_dir}/cleaned")
-        raise
+            load_transactions(spark, source)
+        pre.raise_as_eager(exc, raw)
     clean = spark.read.parquet(f"{out_dir}/cleaned")
+    if clean.isEmpty():
+        raise E.SchemaValidationError("Input dataframe is empty (after dropping missing values).")
     splitter = StratifiedSplitter(test_size=test_size, random_state=seed)
     chain = FeatureChain(**(chain_kwargs or {}))
     if fit_scope == "train":

@@ -234,7 +234,7 @@ SELECT input, mode, 'DataIntegrityError' AS error, message FROM texts, (SELECT '
 
 @query("integrity_errors", _integrity_sql())
 def integrity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The error of tx with planted rows, by the eager check and by the data job (counted inside its write): the same text,
+    """The error of tx with planted rows, by the eager check and by the data job (found inside its write): the same text,
     with every failing column or value."""
     from .. import errors as E
     from ..operators.preprocess import Preprocessor
