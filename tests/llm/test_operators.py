@@ -110,6 +110,22 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=byte_bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
+def test_byte_bpe_long_pieces(reference_encoding):
+    """Pieces without a split, encoded in blocks, equal the library's; time grows with the piece."""
+    coder = byte_bpe.Codec(byte_bpe.load_ranks(byte_bpe.default_path()), byte_bpe.default_pattern())
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 20_000, "".join(rng.choice(letters) for _ in range(20_000)), "abcabcd" * 2000, "".join(rng.choice("aab") for _ in range(9000)),
+             base64.b64encode(rng.randbytes(9000)).decode(), "".join(rng.choice(["the", "ing", "er", "stand"]) for _ in range(3000)),
+             "".join(rng.choice("中文字符測試漢") for _ in range(3000)), "-" * 20_000, "=-" * 6000, " " * 9000 + "x", "x" + "\n" * 9000]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == reference_encoding.encode_ordinary(text)
+    # blocks too short to agree are cut anew, up to the whole piece
+    raw = texts[1][:3000].encode()
+    assert coder._blocks(raw, 8, 1) is None or coder._blocks(raw, 8, 1) == coder.merge([raw])[0]
+    assert coder.encode_long(raw) == coder.merge([raw])[0]
+
+
 def test_byte_bpe(spark, corpus, reference_encoding):
     rows = [*corpus, (96, "<|endoftext|> héllo 𝄞 \x00 'll " + "a" * 700), (96, "tie")]
     coded = byte_bpe.encode(spark.createDataFrame(rows, DOCS), check=True)

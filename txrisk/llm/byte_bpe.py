@@ -6,9 +6,15 @@ joins these rows to the merge table on (token, next token), takes for each word
 of least rank, contracts it, and goes on until no word has a pair left. Decoding joins the ids to the
 vocabulary and concatenates the tokens' bytes by an aggregate ordered by position.
 
-Texts never meet, so nothing is shuffled. A worker remembers at most ``2 * MEMORY`` pieces. A query
-does at most ``STEPS`` contractions a word and is then called again on the words not yet done, so
-its rows are bounded by ``STEPS`` times those of the words; time is square in the length of one piece.
+Texts never meet, so nothing is shuffled. A worker remembers at most ``2 * MEMORY`` pieces of at most ``LONG``
+bytes. A query keeps the rows of all its steps, so it does as many contractions a word as keep these under ``ROWS``, and
+is then called again on the words not yet done.
+
+A piece over ``LONG`` bytes is encoded in overlapping blocks, each a word of its own, and the blocks are joined at a token
+that both neighbours hold at the same place. That is the encoding of the whole: a list of tokens is the
+encoding of its bytes exactly if every two neighbours are the encoding of theirs, and each two neighbours here stand
+together in the encoding of a block. Blocks without a common token are cut anew, twice as long. Time
+and memory grow with the piece, not with its square.
 
 Cases. Null or empty text: no ids, decoded to no bytes. Special tokens are ordinary text. Repeated
 rows are encoded alike; other columns pass through. An id outside the vocabulary is an error.
@@ -35,8 +41,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MEMORY = 300_000
 #: Contractions of a word in one recursive query.
 STEPS = 64
-#: Bytes of pieces in one recursive query.
+#: Bytes of pieces in one recursive query, and rows of all its steps.
 QUERY_BYTES = 200_000
+ROWS = 4_000_000
+#: Pieces over LONG bytes are encoded in blocks of BLOCK bytes and MARGIN more on either side.
+LONG, BLOCK, MARGIN = 1024, 256, 64
 #: Rank files beyond this size are refused: the file is shipped to every task.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -105,6 +114,9 @@ class Codec:
         self._table("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
                                        "s": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
         self.size = max(self.ranks.values(), default=-1) + 1
+        self.length = np.zeros(self.size, np.int64)
+        for token, rank in self.ranks.items():
+            self.length[rank] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -125,7 +137,8 @@ class Codec:
                 "w": pa.array(np.repeat(number, size)), "t": pa.array(token),
                 "p": pa.array((np.arange(len(token)) - np.repeat(start, size)).astype(np.int32))})
             self.db.register("start_rows", data)
-            got = self.db.execute(_MERGE.format(steps=steps)).fetchnumpy()
+            now = max(1, min(steps, ROWS // len(token)))
+            got = self.db.execute(_MERGE.format(steps=now)).fetchnumpy()
             self.db.unregister("start_rows")
             w, n, token = (np.asarray(got[c]) for c in ("w", "n", "t"))
             head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
@@ -133,11 +146,47 @@ class Codec:
             flat = token.astype("<u4").tobytes()
             for i, a, z in zip(w[head].tolist(), (4 * head).tolist(), (4 * end).tolist(), strict=True):
                 out[i] = flat[a:z]
-            again = n[head] >= steps  # these may have pairs left
+            again = n[head] >= now  # these may have pairs left
             number, size = w[head][again].astype(np.int32), (end - head)[again]
             token = token[np.repeat(again, end - head)].astype(np.int32)
         return out
 
+    def _blocks(self, raw: bytes, block: int, margin: int) -> bytes | None:
+        """Ids of a long piece from overlapping blocks; None where two neighbours have no token in common."""
+        n = len(raw)
+        cuts = list(range(0, n, block))
+        starts = [max(0, c - margin) for c in cuts]
+        words = [raw[a : min(n, c + block + margin)] for a, c in zip(starts, cuts, strict=True)]
+        per_query = max(1, QUERY_BYTES // (block + 2 * margin))
+        coded = [i for at in range(0, len(words), per_query) for i in self.merge(words[at : at + per_query])]
+        out: list[np.ndarray] = []
+        begin = 0  # where the tokens already taken end
+        ids = np.frombuffer(coded[0], "<u4")
+        end = starts[0] + np.cumsum(self.length[ids])
+        for k in range(1, len(words)):
+            next_ids = np.frombuffer(coded[k], "<u4")
+            next_end = starts[k] + np.cumsum(self.length[next_ids])
+            # tokens are known by where they end and how long they are
+            same = np.intersect1d(end * (n + 1) + self.length[ids], next_end * (n + 1) + self.length[next_ids]) // (n + 1)
+            same = same[same > begin]
+            if not len(same):
+                return None
+            seam = int(same[np.argmin(np.abs(same - cuts[k]))])
+            out.append(ids[(end > begin) & (end <= seam)])
+            begin, ids, end = seam, next_ids, next_end
+        out.append(ids[end > begin])
+        return np.concatenate(out).astype("<u4").tobytes()
+
+    def encode_long(self, raw: bytes) -> bytes:
+        """Ids of a piece of any length."""
+        block, margin = BLOCK, MARGIN
+        while block < len(raw):
+            found = self._blocks(raw, block, margin)
+            if found is not None:
+                return found
+            block, margin = 2 * block, 2 * margin
+        return self.merge([raw])[0]
+
     def _learn(self, pieces: list[str]) -> None:
         batch: list[str] = []
         coded: list[bytes] = []
@@ -169,6 +218,8 @@ class Codec:
             self.old, self.young = self.young, {}
         new = []
         for p in set().union(*cut) - self.young.keys():
+            if len(p) > LONG:  # not remembered
+                continue
             have = self.old.get(p)
             if have is None:
                 new.append(p)
@@ -176,7 +227,7 @@ class Codec:
                 self.young[p] = have
         self._learn(new)
         get = self.young.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [b"".join([get(p) if len(p) <= LONG else self.encode_long(p.encode()) for p in c]) for c in cut]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids, by an ordered aggregate."""
