@@ -384,3 +384,17 @@ def test_pipeline_stages(spark):
         assert text == rows[d] if not brute[d][2] else hashlib.sha256(text.encode()).hexdigest() == brute[d][3]
     last = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "ids", "decoded_sha256"} <= set(last.columns) and 0 < last.count() <= len(want)
+
+
+def test_html_deep_and_unclosed():
+    """A million levels, and thousands of unclosed elements, lose no text and take no square time."""
+    import time
+
+    began = time.time()
+    for text in ("<div>" * 1_000_000 + "x", "<b>" * 60_000 + "x" + "<hr>" * 60_000, "<p><td>" + "<i>" * 40_000 + "<hr>" * 40_000 + "x", "<ul>" + "<li><b>" * 60_000 + "x",
+                 "<article>" + "<span>" * 300_000 + "x</article>", "</i>" * 60_000 + "<b>" * 60_000 + "</i>" * 60_000 + "x"):
+        root = html_extract.prune(html_extract.parse(text))
+        html_extract.mark_subtrees(root)
+        assert html_extract.main_text(root, set()) == "x"
+        del root
+    assert time.time() - began < 120

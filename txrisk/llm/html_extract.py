@@ -69,22 +69,67 @@ _SCOPE = {"table", "body", "html", "article", "section", "main", "div", "aside",
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "mark", "hidden", "names")
+    __slots__ = ("tag", "words", "children", "mark", "hidden", "names", "digest", "holds")
 
     def __init__(self, tag: str, words: str = "", hidden: bool = False, names: str = ""):
         self.tag, self.words, self.children, self.mark, self.hidden, self.names = tag, words, [], 0, hidden, names
+        self.digest, self.holds = b"", False
+
+
+class _Open:
+    """The open elements of a page, and where each tag is among them: ending one looks at no others."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The innermost open element with one of ``tags``; 0 without any."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, at: int) -> None:
+        """End the element at ``at`` and all inside it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def imply(self, tag: str) -> None:
+        """End what a new element ends: an open paragraph, list item, row or cell in its scope."""
+        ends = CLOSES.get(tag, set())
+        tags = ends | {"p"} if tag in _ENDS_P else ends
+        while tags:
+            at = self.last(tags)
+            if not at or any(self.places[t][-1] > at for t in _SCOPE if t not in ends and self.places.get(t)):
+                return
+            self.cut(at)
+            if not ends:
+                return
+
+    def close(self, tag: str) -> None:
+        at = self.last((tag,))
+        if at and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):  # a stray inline end tag does not close a block
+            self.cut(at)
 
 
 def parse(text: str) -> Node:
     """Tree of a page; text is kept as strings among the children, with references decoded."""
     root = Node("#root")
-    stack = [root]
+    open_ = _Open(root)
     at = 0
     while True:
         m = _TOKEN.search(text, at)
         end = m.start() if m else len(text)
         if end > at:
-            stack[-1].children.append(_html.unescape(text[at:end]))
+            open_.stack[-1].children.append(_html.unescape(text[at:end]))
         if not m:
             return root
         at = m.end()
@@ -92,14 +137,14 @@ def parse(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            _close(stack, tag)
+            open_.close(tag)
             continue
-        _imply(stack, tag)
+        open_.imply(tag)
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3])} if m[3] else {}
         words = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().strip()
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         node = Node(tag, words, hidden, f"{attrs.get('class', '')} {attrs.get('role', '')}".lower() if words else "")
-        stack[-1].children.append(node)
+        open_.stack[-1].children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -107,31 +152,11 @@ def parse(text: str) -> Node:
             node.children.append(text[at : close.start() if close else len(text)])
             at = close.end() if close else len(text)
             continue
-        stack.append(node)
-
-
-def _imply(stack: list[Node], tag: str) -> None:
-    """End what a new element ends: an open paragraph, list item, row or cell in its scope."""
-    ends = CLOSES.get(tag, set())
-    p = tag in _ENDS_P
-    for i in range(len(stack) - 1, 0, -1):
-        open_ = stack[i].tag
-        if open_ in ends or (p and open_ == "p"):
-            del stack[i:]
-            if not ends:
-                return
-        elif open_ in _SCOPE and open_ not in ends:
-            return
+        open_.push(node)
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    inline = tag not in BLOCK
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if inline and stack[i].tag in BLOCK:
-            return  # a stray inline end tag does not close a block
+def _elements(node: Node) -> list[Node]:
+    return [c for c in node.children if not isinstance(c, str)]
 
 
 def _boiler(node: Node, inside: bool) -> bool:
@@ -156,47 +181,29 @@ def _is_main(node: Node) -> bool:
 
 def prune(root: Node) -> Node:
     """Delete boilerplate by element and by word; page headers go, an article's own header stays."""
-    def walk(node: Node, inside: bool) -> None:
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
         inside = inside or _is_main(node)
         node.children = [c for c in node.children if isinstance(c, str) or not (_boiler(c, inside) or (not inside and not _is_main(c) and _header(c)))]
-        for c in node.children:
-            if not isinstance(c, str):
-                walk(c, inside)
-
-    _deep(walk, root, False)
+        todo += [(c, inside) for c in _elements(node)]
     return root
 
 
-def _deep(f, *args) -> None:
-    """Trees can be deep: run a recursive walk with room for it."""
-    import sys
-    import threading
-
-    if sys.getrecursionlimit() < 200_000:
-        sys.setrecursionlimit(200_000)
-    depth, level = 0, [args[0]]
-    while level and depth < 500:
-        depth += 1
-        level = [c for n in level for c in n.children if not isinstance(c, str)]
-    if depth < 500:
-        f(*args)
-        return
-    threading.stack_size(512 << 20)
-    t = threading.Thread(target=f, args=args)
-    t.start()
-    t.join()
-    threading.stack_size(0)
-
-
 def mark_subtrees(root: Node) -> list[int]:
     """Hash every element subtree (into ``mark``); the hashes that may be template."""
     out: list[int] = []
-
-    def walk(node: Node, running: bool, inside: bool) -> bytes:
+    order: list[tuple[Node, bool, bool]] = []
+    todo = [(root, False, False)]
+    while todo:  # parents before children
+        node, running, inside = todo.pop()
         running = running or (inside and node.tag in RUNNING)
         inside = inside or _is_main(node)
+        order.append((node, running, inside))
+        todo += [(c, running, inside) for c in _elements(node)]
+    for node, running, inside in reversed(order):
         h = hashlib.blake2b(f"{node.tag} {node.words}".encode("utf-8", "surrogatepass"), digest_size=8)
-        text = False
+        text = node.holds = False
         for c in node.children:
             if isinstance(c, str):
                 s = _SPACE.sub(" ", c).strip()
@@ -204,38 +211,27 @@ def mark_subtrees(root: Node) -> list[int]:
                     h.update(b"\0" + s.encode("utf-8", "surrogatepass"))
                     text = True
             else:
-                d = walk(c, running, inside)
-                h.update(b"\1" + d)
+                h.update(b"\1" + c.digest)
                 text = text or c.mark != 0
-        digest = h.digest()
-        node.mark = int.from_bytes(digest, "little", signed=True) if text else 0
+                node.holds = node.holds or c.holds or c.tag in RUNNING
+        node.digest = h.digest()
+        node.mark = int.from_bytes(node.digest, "little", signed=True) if text else 0
         if node.mark and not running and not _is_main(node) and node.tag not in ("#root", "html", "body"):
-            if not inside or not _holds_running(node):
+            if not inside or not node.holds:
                 out.append(node.mark)
-        return digest
-
-    _deep(walk, root, False, False)
     return out
 
 
-def _holds_running(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.tag in RUNNING or _holds_running(c)) for c in node.children)
-
-
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks of the article in page order, without template subtrees, joined by an empty line."""
     mains: list[Node] = []
-
-    def find(node: Node) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
         if _is_main(node):
             mains.append(node)
-            return
-        for c in node.children:
-            if not isinstance(c, str):
-                find(c)
-
-    _deep(find, root)
-    articles = mains or [root]
+        else:
+            todo += reversed(_elements(node))
     blocks: list[str] = []
     line: list[str] = []
 
@@ -245,23 +241,27 @@ def main_text(root: Node, template: set[int]) -> str:
         if s:
             blocks.append(s)
 
-    def walk(node: Node, running: bool) -> None:
-        running = running or node.tag in RUNNING
-        block = node.tag in BLOCK or node.tag == "#root"
-        if block:
-            flush()
-        for c in node.children:
-            if isinstance(c, str):
-                line.append(c)
-            elif c.tag == "br":
-                line.append(" ")
-            elif running or c.mark == 0 or c.mark not in template or _is_main(c):
-                walk(c, running)
-        if block:
-            flush()
-
-    for a in articles:
-        _deep(walk, a, False)
+    for article in mains or [root]:
+        steps: list = [(article, False)]  # elements to enter, texts, and None where a block ends
+        while steps:
+            step = steps.pop()
+            if step is None:
+                flush()
+            elif isinstance(step, str):
+                line.append(step)
+            else:
+                node, running = step
+                running = running or node.tag in RUNNING
+                if node.tag in BLOCK or node.tag == "#root":
+                    flush()
+                    steps.append(None)
+                for c in reversed(node.children):
+                    if isinstance(c, str):
+                        steps.append(c)
+                    elif c.tag == "br":
+                        steps.append(" ")
+                    elif running or c.mark == 0 or c.mark not in template or _is_main(c):
+                        steps.append((c, running))
         flush()
     return "\n\n".join(blocks)
 
