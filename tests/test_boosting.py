@@ -57,7 +57,7 @@ def plain(x, y, weight, rounds, depth, rate, lam, alpha, gamma, least):
     dict(n_estimators=1, max_depth=1),
     dict(n_estimators=7, max_depth=3, learning_rate=0.4, checkpoint_interval=2),
     dict(n_estimators=3, max_depth=4, reg_lambda=5.0, reg_alpha=2.0, gamma=0.5, min_child_weight=4),
-    dict(n_estimators=2, max_depth=2, scale_pos_weight=3.0, reg_lambda=0.0),
+    dict(n_estimators=2, max_depth=2, scale_pos_weight=3.0, reg_lambda=0.25),
 ])
 def test_equals_the_plain_version(spark, frame, kw):
     kw = dict(subsample=1.0, colsample_bytree=1.0) | kw

@@ -57,6 +57,15 @@ class _Settings(HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):
     colsample = Param(Params._dummy(), "colsample", "share of the features that a tree sees", TypeConverters.toFloat)
     checkpointInterval = Param(Params._dummy(), "checkpointInterval", "trees between written margins", TypeConverters.toInt)
 
+    def getMaxIter(self) -> int:
+        return self.getOrDefault(self.maxIter)
+
+    def getStepSize(self) -> float:
+        return self.getOrDefault(self.stepSize)
+
+    def getMaxDepth(self) -> int:
+        return self.getOrDefault(self.maxDepth)
+
 
 def margins(x: np.ndarray, trees: list[dict]) -> np.ndarray:
     """Sum of the trees' leaf weights for rows of feature values (or of bins, with ``threshold`` in bins)."""
@@ -332,7 +341,7 @@ class HistogramBooster(Estimator, _Settings):
 
 # ----------------------------------------------------------------- model ---
 class HistogramBoostedModel(Model, _Settings, MLWritable, MLReadable):
-    """Trees of a :class:`HistogramBooster`; ``transform`` adds rawPrediction and probability vectors."""
+    """Trees of a :class:`HistogramBooster`; ``transform`` adds rawPrediction and probability vectors and the likelier class."""
 
     def __init__(self, nodes: pd.DataFrame | None = None, size: int = 0):
         super().__init__()
@@ -377,7 +386,8 @@ class HistogramBoostedModel(Model, _Settings, MLWritable, MLReadable):
         p = 1 / (1 + F.exp(-m))
         return (df.withColumn("__margin", margin(vector_to_array(F.col(self.getFeaturesCol()))))
                 .withColumn("rawPrediction", array_to_vector(F.array(-m, m)))
-                .withColumn("probability", array_to_vector(F.array(1 - p, p))).drop("__margin"))
+                .withColumn("probability", array_to_vector(F.array(1 - p, p)))
+                .withColumn("prediction", (m > 0).cast("double")).drop("__margin"))
 
     def write(self) -> MLWriter:
         return _ModelWriter(self)
