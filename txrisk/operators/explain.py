@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .. import errors as E
 from .. import schema as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from .boosting import HistogramBoostedModel
 
 BASE = "base_value"
@@ -226,6 +226,7 @@ class TreeExplainer:
         """
         if validate:
             self._validate(df)
+        ship_package(df.sparkSession)
         feats = self.features
         keys = [key] if key in df.columns else []
         groups = self.tables.groups
