@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted, and adjacent turns of one role merged into
-one block. The template of a block is
+Windows over a conversation's turns find where the role changes and add up lengths; the turns, as structs with
+their place, are collected and sorted, adjacent ones of one role being one block. The template of a block is
 
     <|im_start|>ROLE newline TEXT [<|im_sep|>TEXT ...]<|im_end|> newline
 
@@ -10,7 +10,8 @@ and texts a backslash is doubled and ``<|`` becomes ``<\\|`` (in roles a newline
 no control string can come from a text, and :func:`read_back` undoes it exactly. The loss mask is an
 array of [start, stop) spans over the code points of the result, one for each assistant text.
 
-One conversation is one result row, so its turns meet in one place; conversations do not.
+One conversation is one result row, so its turns meet in one place; conversations do not. Time grows in
+proportion to the characters and turns of a conversation.
 
 Cases. Null text or role: empty. Turns are ordered by (turn, role, text), nulls first; repeated
 rows stay as turns of their own. Rows with a null conv_id form one conversation. Other columns are
@@ -19,13 +20,15 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import column, read
 
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 LOSS_ROLE = "assistant"
+#: Characters of a run in which a text is read back.
+CHUNK = 1024
 
 
 def _escape(c: Column, role: bool = False) -> Column:
@@ -42,34 +45,25 @@ def format_chat(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFra
     """One row a conversation: conv_id, ``formatted``, ``loss_mask`` (array of start, stop)."""
     turns = conversations.select(
         column(conversations, "conv_id", "long").alias("conv_id"),
-        F.struct(column(conversations, "turn", "long").alias("turn"),
-                 F.coalesce(column(conversations, "role", "string"), F.lit("")).alias("role"),
-                 F.coalesce(column(conversations, "text", "string"), F.lit("")).alias("text")).alias("t"))
-    sorted_ = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    at = F.sequence(F.lit(1), F.size("turns"))
-    starts = F.filter(at, lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
-    begun = sorted_.withColumn("starts", starts)
-    stops = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns") + 1))
-    blocks = F.transform(F.arrays_zip(F.col("starts").alias("a"), stops.alias("z")),
-                         lambda b: F.slice("turns", b["a"], b["z"] - b["a"]))
-    # pieces of the result in order: what stands before a text, and the text
-    pieces = F.flatten(F.transform(blocks, lambda block: F.transform(block, lambda t, i: F.struct(
-        F.when(i == 0, F.concat(F.lit(START), _escape(t["role"], role=True), F.lit("\n"))).otherwise(F.lit(SEP)).alias("before"),
-        _escape(t["text"]).alias("text"),
-        F.when(i == F.size(block) - 1, F.lit(END + "\n")).otherwise(F.lit("")).alias("after"),
-        (t["role"] == loss_role).alias("loss")))))
-    cut = begun.select("conv_id", pieces.alias("pieces"))
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "")
-    none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-    spans = F.aggregate(
-        "pieces", F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + F.length(p["before"])).alias("start"),
-                (acc["at"] + F.length(p["before"]) + F.length(p["text"])).alias("stop"))))).otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
-    return cut.select("conv_id", text.alias("formatted"), spans.alias("loss_mask"))
+        column(conversations, "turn", "long").alias("turn"),
+        F.coalesce(column(conversations, "role", "string"), F.lit("")).alias("role"),
+        F.coalesce(column(conversations, "text", "string"), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    first = ~F.lag("role").over(order).eqNullSafe(F.col("role"))
+    last = ~F.lead("role").over(order).eqNullSafe(F.col("role"))
+    # what stands before a text, and after it
+    before = F.when(first, F.concat(F.lit(START), _escape(F.col("role"), role=True), F.lit("\n"))).otherwise(F.lit(SEP))
+    placed = turns.select("conv_id", F.row_number().over(order).alias("i"), "role", before.alias("before"), _escape(F.col("text")).alias("said"),
+                          F.when(last, F.lit(END + "\n")).otherwise(F.lit("")).alias("after"))
+    piece = placed.select("conv_id", "i", (F.col("role") == loss_role).alias("loss"), F.length("before").alias("skip"), F.length("said").alias("chars"),
+                          F.concat("before", "said", "after").alias("piece"))
+    # sums up to each turn, so that no turn walks over those before it
+    end = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = (end - F.length("piece") + F.col("skip")).cast("int")
+    cells = piece.select("conv_id", F.struct("i", "loss", start.alias("start"), (start + F.col("chars")).alias("stop"), "piece").alias("t"))
+    whole = cells.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    mask = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop")))
+    return whole.select("conv_id", F.array_join("turns.piece", "").alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -79,8 +73,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
     turns = F.flatten(F.transform(bare, lambda b: F.transform(
         F.split(F.substring(b, F.locate("\n", b) + 1, F.length(b)), r"<\|im_sep\|>", -1),
         lambda t: F.struct(_unescape(F.substring_index(b, "\n", 1)).alias("role"), _unescape(t).alias("text")))))
-    loss = F.array_join(F.transform("loss_mask", lambda s: _unescape(
-        F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "")
+    # the text in runs of CHUNK characters: a span is read from the runs it touches, not from the start of the text
+    def said(runs: Column, s: Column) -> Column:
+        run = F.floor(s["start"] / CHUNK).cast("int")
+        near = F.slice(runs, run + 1, F.floor(s["stop"] / CHUNK).cast("int") - run + 1)
+        return F.substring(F.array_join(near, ""), s["start"] - run * CHUNK + 1, s["stop"] - s["start"])
+
+    # a lambda's variable holds the runs, which are then made once and not once for each span
+    held = F.array(F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    loss = F.transform(held, lambda runs: F.array_join(F.transform("loss_mask", lambda s: _unescape(said(runs, s))), ""))[0]
     return formatted.withColumns({"turns": turns, "loss_text": loss})
 
 
