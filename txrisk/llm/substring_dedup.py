@@ -319,8 +319,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     anchors = placed.select(doc.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(
         lambda b: _anchor_rows(b, window, prefix), "key long, doc long, spot long")
     again = repeated(anchors, "key", ["doc", "spot"], most_suffixes)
+    # sets: rows equal in id and text have the same anchors and spans, which must not be listed once for each of them
     by_doc = again.groupBy("doc", F.shiftright("spot", 31).alias("sum")).agg(
-        F.collect_list(F.struct("spot", "part", "split")).alias("anchors"))
+        F.collect_set(F.struct("spot", "part", "split")).alias("anchors"))
     # both uses of the texts take all columns, so that Spark shares one exchange between them
     placed = placed.withColumns({"doc": F.coalesce(doc.cast("long"), F.lit(_LAST)), "sum": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
     at = int(cells["text"][1:])
@@ -331,7 +332,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     order = F.when(F.col("open"), F.col("node")).otherwise(F.xxhash64("doc", "sum"))
     copies = trees.repartition(order).sortWithinPartitions("open", "node", "node2", "doc", "sum", "lo").mapInArrow(
         _between_parts, "doc long, sum long, lo long, hi long")
-    spans = copies.groupBy("doc", "sum").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = copies.groupBy("doc", "sum").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     joined = placed.join(spans, ["doc", "sum"], "left")
     kept = own.toDF(*[f"c{i}" for i in range(len(names))]).schema.fields
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
