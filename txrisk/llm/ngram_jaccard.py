@@ -378,6 +378,18 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], names=["a", "b"])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, cls) without the repeats that rows equal in id and text make."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(n).to_numpy() for n in ("block", "cls")])
+        new = np.r_[last is None or bool((key[:, 0] != last).any()), (key[:, 1:] != key[:, :-1]).any(axis=0)]
+        last = key[:, -1]
+        yield b if new.all() else b.filter(pa.array(new))
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in W.slices(b):
@@ -405,7 +417,9 @@ def linked_rows(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denomin
     frequent = ids.sparkSession.sparkContext.broadcast(_frequent(ids, n, sample_rows, FREQUENT))
     rows = keep(hashed.mapInArrow(lambda b: _class_rows(b, frequent.value, n, num, den),
                                   "doc long, text_hash long, n long, cls long, keys binary, point binary"), "sets")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"),
+        # the text of one row stands for the class: the same row as ``doc``, any where all ids are null
+        F.coalesce(F.min_by("text_hash", "doc"), F.min("text_hash")).alias("hash"))
     reps = rows.where("n > 0").groupBy("cls").agg(F.first("keys").alias("keys"))
     postings = reps.mapInArrow(_postings, "key long, cls long")
     again = keep(repeated(postings, "key", ["cls"], most), "postings")
@@ -418,16 +432,16 @@ def linked_rows(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denomin
         lambda b: _tree_edges(b, num, den), "a long, b long")
     maybe = keep(components(edges), "maybe")
     # whole sets of one document for each class in a component
-    members = maybe.join(classes, maybe["node"] == classes["cls"]).select("cls", "doc", "n", F.col("label").alias("comp"))
+    members = maybe.join(classes, maybe["node"] == classes["cls"]).select("cls", "doc", "hash", "n", F.col("label").alias("comp"))
     weight = members.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("long").alias("blocks"))
-    wanted = members.join(weight, "comp").select("cls", "doc", "comp", "blocks")
-    texts = ids.join(wanted, ids["doc_id"].eqNullSafe(wanted["doc"])).select("cls", "comp", "blocks", "text")
+    wanted = members.join(weight, "comp").select("cls", "doc", "hash", "comp", "blocks")
+    texts = hashed.join(wanted, (hashed["text_hash"] == wanted["hash"]) & hashed["doc_id"].eqNullSafe(wanted["doc"])).select("cls", "comp", "blocks", "text")
     sets = texts.mapInArrow(lambda b: _set_rows(b, n), "cls long, comp long, blocks long, shingles binary")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     block = F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other"))
-    links = dealt.select(block.alias("block"), "cls", "shingles").repartition("block").sortWithinPartitions("block").mapInArrow(
-        lambda b: _verify(b, num, den), "a long, b long")
+    links = dealt.select(block.alias("block"), "cls", "shingles").repartition("block").sortWithinPartitions("block", "cls").mapInArrow(
+        lambda b: _verify(_once(b), num, den), "a long, b long")
     final = keep(components(links), "final")
     named = classes.join(final, classes["cls"] == final["node"], "left").select(
         "cls", "doc", F.coalesce("label", "cls").alias("label"))
