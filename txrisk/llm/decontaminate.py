@@ -172,8 +172,9 @@ def _count_seeds(docs: DataFrame, seeds: Seeds, n_docs: int) -> None:
         df[own["seed"].to_numpy()] = own["c"].to_numpy()
         key_of = np.repeat(np.arange(len(s["keys"])), np.diff(s["start"]))
         rare = np.zeros(len(s["keys"]), bool)
-        for k in np.unique(s["item"]):
-            keys = key_of[s["item"] == k]
+        order = np.argsort(s["item"], kind="stable")
+        cuts = np.flatnonzero(np.diff(s["item"][order])) + 1
+        for keys in np.split(key_of[order], cuts) if len(order) else ():
             rare[keys[df[keys] <= max(least, RARE_FACTOR * np.quantile(df[keys], 0.75))]] = True
         s["rare"] = rare
     shipped.unpersist()
