@@ -143,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, pairs_eac
     texts = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("__text"))
     picked = texts.join(F.broadcast(own), "doc_id").select("doc_id", "label", "__text")
     schema = T.StructType([*picked.drop("__text").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
-    rows = _with_features(picked, schema, lambda x: [pa.array(list(x), pa.list_(pa.float64()))]).toPandas()
+    found = _with_features(picked, schema, lambda x: [pa.array(list(x), pa.list_(pa.float64()))])
+    # repeated ids count once, so no more rows come back than ids
+    rows = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 16))
     return bradley_terry(x, rows["label"].to_numpy(), pairs_each)
