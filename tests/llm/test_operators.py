@@ -398,3 +398,50 @@ def test_html_deep_and_unclosed():
         assert html_extract.main_text(root, set()) == "x"
         del root
     assert time.time() - began < 120
+
+
+def test_chat_format_long_conversation(spark):
+    """One conversation of many turns, characters outside the basic plane, runs of one role: in proportion to the turns."""
+    rng = random.Random(3)
+    rows = [(1, i, rng.choice(["user", "assistant"]), "\U0001F600é<| " * rng.randrange(120)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat_format.read_back(chat_format.format_chat(df)).collect()
+    assert [tuple(t) for t in r.turns] == [(x[2], x[3]) for x in rows]
+    assert r.loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert chat_format.format_chat(df.limit(0)).count() == 0
+    clash = df.limit(5).selectExpr("*", "1 as i", "2 as piece", "3 as turns", "4 as formatted", "5 as loss_mask")
+    assert chat_format.format_chat(clash).columns == ["conv_id", "formatted", "loss_mask"] and chat_format.format_chat(clash).count() == 1
+
+
+def test_repeated_rows_count_once(spark):
+    """Thousands of rows equal in id and text, ids null too: shingle components, repeated windows, fitted labels."""
+    rng = random.Random(9)
+    base = words(rng, 40)
+    near = [*base[:-1], "other"]
+    rows = [(None, " ".join(base))] * 1500 + [(None, " ".join(near))] * 1500
+    # near copies in pairs without an id
+    for i in range(300):
+        w = words(rng, 30, 10**6)
+        rows += [(None, " ".join(w)), (None, " ".join([*w[:-1], "end"]))]
+    out = ngram_jaccard.linked_rows(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == len(rows) and len({r.label for r in out}) == 301
+    same = [(7, " ".join(base))] * 1500 + [(8, " ".join(base))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(same, DOCS)).collect()
+    assert sorted({(r.doc_id, r.n_words, r.n_removed) for r in got}) == [(7, 40, 0), (8, 40, 40)] and len(got) == 1501
+    docs = spark.createDataFrame([(1, "good text " * 9), (2, "## bad ##")] * 700, DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0)] * 50, "doc_id long, quality int")
+    once = quality_classifier.fit(docs.dropDuplicates(), labels)
+    assert np.allclose(quality_classifier.fit(docs, labels).weight, once.weight)
+
+
+def test_align_is_smith_waterman():
+    """The row-wise alignment against the plain recurrence."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        a, b = rng.integers(0, 5, rng.integers(1, 25)), rng.integers(0, 5, rng.integers(0, 40))
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                step = decontaminate.MATCH if a[i - 1] == b[j - 1] else decontaminate.MISMATCH
+                h[i, j] = max(0, h[i - 1, j - 1] + step, h[i - 1, j] + decontaminate.GAP, h[i, j - 1] + decontaminate.GAP)
+        assert decontaminate.align(a, b) == h.max()
