@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from txrisk.llm import (byte_bpe, chat_format, decontaminate, graph, html_extract, language_id, ngram_jaccard, quality_classifier, quality_rules,
@@ -316,16 +317,41 @@ def test_language_id_small_languages(spark):
     rows += [(9000 + i, "same text of one language", "xx", "s") for i in range(3)]
     out = language_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), most=200).collect()
     assert len(out) == len(rows) and [r.doc_id for r in out if r.language != r.lang or not r.kept] == []
-    with pytest.raises(ValueError, match="declared languages"):
-        language_id.MAX_LANGUAGES, most = 100, language_id.MAX_LANGUAGES
-        try:
-            language_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-        finally:
-            language_id.MAX_LANGUAGES = most
+    # the same rows with most tables sparse: the same numbers
+    frame = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "key long, text string, declared string")
+    dense = language_id.fit_text(frame, most=1)
+    wide, language_id.WIDE = language_id.WIDE, 3
+    try:
+        sparse = language_id.fit_text(frame, most=1)
+    finally:
+        language_id.WIDE = wide
+    texts = pa.array([r[1] for r in rows] + ["", "no such text"])
+    assert len(sparse.wide) == 3 and len(sparse.lang) and np.allclose(sparse.text(texts), dense.text(texts), atol=1e-3)
+
+
+def test_language_id_junk_codes(spark):
+    """1,100 junk codes, each on one new text of a real language, beside those languages: no error, and they keep their texts.
+
+    (A junk code on an exact copy of a text learns that text, and may take it.)
+    """
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    known = {}
+    for r in docs.where("lang is not null and text is not null").collect():
+        known.setdefault(r.lang, []).extend(r.text.split())
+    pools = [p for p in known.values() if len(p) > 5000]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    codes = [a + b + c for a in "qx" for b in letters for c in letters][:1100]
+    junk = spark.createDataFrame([(10**6 + i, " ".join(rng.choices(rng.choice(pools), k=60)), c, "junk") for i, c in enumerate(codes)], docs.schema)
+    alone = {r.doc_id: r.language for r in language_id.identify_documents(docs).collect()}
+    out = language_id.identify_documents(docs.union(junk)).collect()
+    assert len(out) == len(alone) + 1100
+    same = [alone[r.doc_id] == r.language for r in out if r.doc_id < 10**6]
+    assert sum(same) >= 0.98 * len(same)
 
 
 def test_language_id_evidence_of_all_rows(spark):
-    """Rows of unsure text count by their posterior, and rare values share one likelihood."""
+    """Rows of unsure text count by their posterior."""
     rows = [("k", "the words of one language", "aa", f"h{i}", f"h{i}", "aa") for i in range(20)]
     rows += [("k", "ein paar andere worte hier", "bb", f"g{i}", f"g{i}", f"s{i}") for i in range(20)] + [("k", "", None, "blank", "blank", None)] * 3
     frame = spark.createDataFrame(rows, "key string, text string, declared string, host string, domain string, suffix string")
@@ -334,11 +360,7 @@ def test_language_id_evidence_of_all_rows(spark):
     assert abs(got["host", "blank blank", 0] - 1.47) < 1e-3 and abs(got["host", "blank blank", 1] - 1.47) < 1e-3
     assert abs(sum(n for (kind, *_), n in got.items() if kind == "all") - 43) < 1
     docs = spark.createDataFrame([(i, r[1], r[2], r[3]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
-    most, language_id.FREQUENT = language_id.FREQUENT, 1
-    try:
-        found = language_id.identify_documents(docs).where("lang is not null").collect()
-    finally:
-        language_id.FREQUENT = most
+    found = language_id.identify_documents(docs).where("lang is not null").collect()
     assert len(found) == 40 and all(r.language == r.lang and r.kept for r in found)
 
 

@@ -9,14 +9,14 @@ Method. For each language the posterior is the product of
 ``und`` (undetermined) competes under a flat trigram model. A row is kept when its best language is not
 ``und`` and has a posterior of at least ``MIN_POSTERIOR``.
 
-The trigram tables are learnt from a sample by declared language: about ``LABELLED_ROWS`` rows shared out evenly, at
-least ``LANGUAGE_ROWS`` for each language, those with fewer rows whole. Every declared language gets a table; more than
-``MAX_LANGUAGES`` of them are an error, none is left out. All counts
+The trigram tables are learnt from a sample by declared language: of the ``WIDE`` most frequent ones about
+``LABELLED_ROWS`` rows shared out evenly, at least ``LANGUAGE_ROWS`` each, of every other one ``RARE_ROWS``; those with fewer
+rows whole. Every declared code gets a table, whatever their number (codes have two or three letters: 18,252 at most). The
+``WIDE`` tables are dense, the others hold only the cells that occur; both give the same numbers. All counts
 for the other evidence cover all rows: each row's posterior by text, with the declared languages' shares as
 prior, is added up by declared language, suffix, domain and host (in units of 1 / ``SHARE``, so the sums are exact)
-with partial sums, so a host with a third of the rows is no hot task. Declared languages and suffixes after the
-``FREQUENT`` most frequent share one value.
-Host priors meet the rows by a join, broadcast only when their number is at most ``BROADCAST_HOSTS``.
+with partial sums, so a host with a third of the rows is no hot task. Counts of declared languages, suffixes and hosts
+meet the rows by joins, broadcast only where they are at most ``BROADCAST_KEYS`` keys with ``BROADCAST_CELLS`` counts.
 
 Cases. Null or blank text: flat text likelihood, so the other evidence decides. Null declared language,
 url or host: that evidence is left out. Without any row with a declared language nothing is known and
@@ -49,13 +49,13 @@ FLAT = -10.5
 TEMPER = 0.3
 MIN_POSTERIOR = 0.5
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 100.0
-BROADCAST_HOSTS = 50_000
+BROADCAST_KEYS, BROADCAST_CELLS = 50_000, 1_000_000
 #: Part of a row that is ``und`` beforehand, and units that one row is counted in.
 UND_SHARE, SHARE = 0.02, 1 << 20
-#: Values of declared language, and of suffix, that have likelihoods of their own.
-FREQUENT = 2_000
-#: Tables of 256 KB each that go to every task.
-MAX_LANGUAGES = 1000
+#: Languages with dense tables (256 KB each), and rows in the sample of each other one.
+WIDE, RARE_ROWS = 256, 30
+#: Numbers (rows by languages, or hits of sparse tables) worked on at once.
+AT_ONCE = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -89,34 +89,69 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages in order, ``und`` last; log probabilities (cells, languages); log likelihoods of the other evidence."""
+    """Languages in order, ``und`` last, and their log probabilities of trigram cells.
+
+    ``base`` is that of a cell a language has not seen. Languages ``wide`` have a column of ``table`` (cells, wide); what the
+    others' cells have above ``base`` is ``gain``, with ``lang``, from ``start[cell]`` on.
+    """
 
     languages: list[str]
+    base: np.ndarray
+    wide: np.ndarray
     table: np.ndarray
-    declared: dict[str, np.ndarray] | None = None
-    suffix: dict[str, np.ndarray] | None = None
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
     prior: np.ndarray | None = None
+    #: For declared languages and suffixes: rows by language, and the number of values.
+    totals: dict[str, tuple[np.ndarray, int]] | None = None
 
     def text(self, texts: pa.Array) -> np.ndarray:
         """Tempered log likelihood of each text under each language."""
         cell, bounds = trigrams(texts)
-        out = np.zeros((len(bounds) - 1, len(self.languages)))
-        for j in range(len(self.languages)):
+        long = np.diff(bounds)
+        width = len(self.languages)
+        out = long[:, None] * self.base
+        for j, at in enumerate(self.wide.tolist()):
             total = np.r_[0.0, np.cumsum(self.table[:, j][cell], dtype=np.float64)]
-            out[:, j] = total[bounds[1:]] - total[bounds[:-1]]
+            out[:, at] = total[bounds[1:]] - total[bounds[:-1]]
+        if len(self.lang):
+            row = np.repeat(np.arange(len(long)), long)
+            hits = self.start[cell + 1] - self.start[cell]
+            total = np.r_[0, np.cumsum(hits)]
+            a = 0
+            while a < len(cell):
+                z = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, side="right")) - 1)
+                spread = np.arange(total[a], total[z]) + np.repeat(self.start[cell[a:z]] - total[a:z], hits[a:z])
+                place = np.repeat(row[a:z] * width, hits[a:z]) + self.lang[spread]
+                out += np.bincount(place, self.gain[spread], minlength=out.size).reshape(out.shape)
+                a = z
         return TEMPER * out
 
 
+def _parts(b: pa.RecordBatch, text: str, width: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with texts and with rows x ``width`` numbers of bounded size."""
+    step = max(1, AT_ONCE // width)
+    for part in W.slices(b, text):
+        for at in range(0, part.num_rows, step):
+            yield part.slice(at, step)
+
+
+def _widest(rows: np.ndarray) -> set[int]:
+    """Places of the ``WIDE`` languages with most rows."""
+    return set(np.argsort(-rows, kind="stable")[:WIDE].tolist())
+
+
 def _sample(rows: DataFrame, most: int) -> tuple[DataFrame, dict[str, int]]:
     """Rows (text, at) of the sample, ``at`` the place of the declared language; the rows of each language in order."""
     place = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
     # codes of two or three letters: at most 18,252 rows come back
     strata = sorted(tuple(r) for r in rows.groupBy("declared").agg(F.count("*"), F.min(place)).collect())
-    if len(strata) > MAX_LANGUAGES:
-        raise ValueError(f"{len(strata)} declared languages, tables of at most {MAX_LANGUAGES} fit a task")
-    each = max(LANGUAGE_ROWS, most // max(1, len(strata)))
+    each = max(LANGUAGE_ROWS, most // max(1, min(WIDE, len(strata))))
+    wide = _widest(np.array([n for _, n, _ in strata], np.int64))
     # the first row by hash is always taken, so equal rows cannot leave a language without any
-    ends = [(name, i, max(first + 1, (1 << 30) * each // max(n, each))) for i, (name, n, first) in enumerate(strata)]
+    ends = [(name, i, max(first + 1, (1 << 30) * (each if i in wide else RARE_ROWS) // max(n, each if i in wide else RARE_ROWS)))
+            for i, (name, n, first) in enumerate(strata)]
     ends = rows.sparkSession.createDataFrame(ends, "declared string, at int, end long")
     return rows.join(F.broadcast(ends), "declared").where(place < F.col("end")).select("text", "at"), {name: n for name, n, _ in strata}
 
@@ -146,17 +181,24 @@ def fit_text(rows: DataFrame, most: int = LABELLED_ROWS) -> Model:
         counts.clear()
 
     counted = labelled.mapInArrow(run, "at int, cell int, n long").groupBy("at", "cell").agg(F.sum("n").alias("n"))
-    # at most MAX_LANGUAGES tables of CELLS numbers come back
+    # the sample bounds what comes back
     got = counted.toArrow() if strata else None
-    n = np.zeros((CELLS, len(strata)), np.float32)
-    if got is not None:
-        n[got["cell"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
-    table = np.full((CELLS, len(strata) + 1), FLAT, np.float32)
-    for j in range(len(strata)):
-        own = n[:, j].astype(np.float64)
-        table[:, j] = np.log((own + 0.05) / (own.sum() + 0.05 * CELLS))
-    share = np.array(list(strata.values()), float)
-    return Model([*strata, UNDETERMINED], table, prior=share / share.sum())
+    at, cell, n = (got[c].to_numpy() if got is not None else np.zeros(0, np.int64) for c in ("at", "cell", "n"))
+    rows_of = np.array(list(strata.values()), np.int64)
+    size = np.bincount(at, n, minlength=len(strata)) + 0.05 * CELLS
+    base = np.r_[np.log(0.05 / size), FLAT]
+    logs = np.log((n + 0.05) / size[at])
+    wide = np.array(sorted(_widest(rows_of)), np.int64)
+    column_of = np.full(len(base), -1)
+    column_of[wide] = np.arange(len(wide))
+    table = np.tile(base[wide].astype(np.float32), (CELLS, 1))
+    dense = column_of[at] >= 0
+    table[cell[dense], column_of[at[dense]]] = logs[dense]
+    order = np.flatnonzero(~dense)
+    order = order[np.argsort(cell[order], kind="stable")]
+    start = np.searchsorted(cell[order], np.arange(CELLS + 1))
+    return Model([*strata, UNDETERMINED], base, wide, table, start, at[order].astype(np.int32), (logs[order] - base[at[order]]).astype(np.float32),
+                 prior=rows_of / rows_of.sum() if len(rows_of) else np.zeros(0))
 
 
 def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
@@ -177,7 +219,7 @@ def _evidence_counts(rows: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             if not known:
                 return
-            for part in W.slices(b):
+            for part in _parts(b, "text", known + 1):
                 score = own.text(part.column("text")) + _with_und(own.prior[None, :])
                 share = np.exp(score - score.max(axis=1, keepdims=True))
                 share = np.rint(share / share.sum(axis=1, keepdims=True) * SHARE).astype(np.int64)[:, :-1]
@@ -206,26 +248,27 @@ def _with_und(prior: np.ndarray) -> np.ndarray:
     return np.log(np.concatenate([prior * (1 - UND_SHARE), np.full((len(prior), 1), UND_SHARE)], axis=1))
 
 
-def _likelihood(counts: list, kind: str, languages: list[str]) -> dict[str, np.ndarray]:
-    """log P(value | language) from counts (kind, key, lang, n), and under "" that of all other values, which have a null key."""
-    values: dict[str | None, np.ndarray] = {None: np.zeros(len(languages))}
-    for r in counts:
-        if r["kind"] == kind:
-            values.setdefault(r["key"], np.zeros(len(languages)))[r["lang"]] += r["n"] / SHARE
-    table = np.stack(list(values.values())) + 1.0
-    table[:, -1] = table[:, :-1].mean(axis=1) if len(languages) > 1 else 1.0  # nothing is known of ``und``
-    logs = np.log(table / table.sum(axis=0))
-    return {"" if k is None else k: v for k, v in zip(values, logs, strict=True)}
+def _lists(counts: DataFrame, kind: str, lang: str, n: str) -> DataFrame:
+    """Rows (key, lang, n): languages and their counts of each value of one kind of evidence."""
+    own = counts.where(F.col("kind") == kind).groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("c"))
+    return own.select("key", F.col("c.lang").alias(lang), F.col("c.n").alias(n))
 
 
 def _priors(counts: DataFrame) -> DataFrame:
-    """Rows (host, hl, hn, dl, dn): languages and their counts of each host and of its domain."""
-    def lists(kind: str, lang: str, n: str) -> DataFrame:
-        own = counts.where(F.col("kind") == kind).groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("c"))
-        return own.select("key", F.col("c.lang").alias(lang), F.col("c.n").alias(n))
+    """Rows (key, hl, hn, dl, dn): languages and their counts of each host and of its domain."""
+    host = _lists(counts, "host", "hl", "hn").select(F.substring_index("key", " ", 1).alias("host"), F.substring_index("key", " ", -1).alias("domain"), "hl", "hn")
+    both = host.join(_lists(counts, "domain", "dl", "dn").withColumnRenamed("key", "domain"), "domain", "left").drop("domain")
+    return both.dropDuplicates(["host"]).withColumnRenamed("host", "key")
+
 
-    host = lists("host", "hl", "hn").select(F.substring_index("key", " ", 1).alias("host"), F.substring_index("key", " ", -1).alias("domain"), "hl", "hn")
-    return host.join(lists("domain", "dl", "dn").withColumnRenamed("key", "domain"), "domain", "left").drop("domain").dropDuplicates(["host"])
+def _meet(rows: DataFrame, of: str, lists: DataFrame) -> DataFrame:
+    """``rows`` with the lists of their value ``of``, named ``__`` and the list's name."""
+    names = lists.columns[1:]
+    lists = keep(lists, "evidence-of")
+    size = lists.agg(F.count("*"), F.sum(sum((F.coalesce(F.size(F.coalesce(c, F.array())), F.lit(0)) for c in names), F.lit(0)))).first()
+    small = size[0] <= BROADCAST_KEYS and (size[1] or 0) <= 2 * BROADCAST_CELLS
+    side = lists.select(F.col("key").alias("__of"), *(F.col(c).alias(f"__{c}") for c in names))
+    return rows.join(F.broadcast(side) if small else side, F.col(of) == F.col("__of"), "left").drop("__of")
 
 
 def _counted(part: pa.RecordBatch, lang: str, n: str, size: int) -> np.ndarray:
@@ -258,27 +301,25 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url:
     bare = own.select((F.lit(None).cast("string") if key is None else key).alias("key"), *(c.alias(k) for k, c in evidence.items()))
     model = fit_text(bare, most)
     counts = keep(_evidence_counts(bare, model), "evidence")
-    # the frequent values come to the driver, and the sum of the others
-    few = []
-    for kind in ("declared", "suffix"):
-        of = counts.where(F.col("kind") == kind)
-        small = F.broadcast(of.groupBy("key").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "key").limit(FREQUENT).select(F.col("key").alias("own")))
-        named = of.join(small, F.col("key") == F.col("own"), "left").groupBy("kind", F.col("own").alias("key"), "lang")
-        few += named.agg(F.sum("n").alias("n")).collect()
     every = {r["lang"]: r["n"] / SHARE for r in counts.where("kind = 'all'").collect()}
     share = np.array([every.get(i, 0) + 1.0 for i in range(len(model.languages) - 1)] or [1.0])
     overall = share / share.sum()
-    model.declared = _likelihood(few, "declared", model.languages)
-    model.suffix = _likelihood(few, "suffix", model.languages)
+    known = len(model.languages) - 1
+    model.totals = {}
+    for kind in ("declared", "suffix"):
+        own_kind = counts.where(F.col("kind") == kind)
+        total = np.zeros(known)
+        for r in own_kind.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+            total[r["lang"]] = r["n"] / SHARE
+        model.totals[kind] = (total, own_kind.select("key").distinct().count())
     model.prior = overall
     names = {k: f"__{k}" for k in ("text", "declared", "suffix", "host")}
     framed = own.withColumns({v: evidence[k] for k, v in names.items()})
-    lists = ["__hl", "__hn", "__dl", "__dn"]
-    if len(model.languages) > 1:
-        priors = keep(_priors(counts), "priors")
-        priors = F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors
-        priors = priors.select(F.col("host").alias("__of"), *(F.col(c[2:]).alias(c) for c in lists))
-        framed = framed.join(priors, F.col("__host") == F.col("__of"), "left").drop("__of")
+    lists = [f"__{c}" for c in ("vl", "vn", "sl", "sn", "hl", "hn", "dl", "dn")]
+    if known:
+        framed = _meet(framed, "__declared", _lists(counts, "declared", "vl", "vn"))
+        framed = _meet(framed, "__suffix", _lists(counts, "suffix", "sl", "sn"))
+        framed = _meet(framed, "__host", _priors(counts))
     else:
         framed = framed.withColumns({c: F.lit(None).cast("array<long>") for c in lists})
     drop_kept(counts)
@@ -290,12 +331,12 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, url:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
-            for part in W.slices(b, "__text"):
+            for part in _parts(b, "__text", len(m.languages)):
                 score = _fused(m, part)
                 best = score.argmax(axis=1)
                 top = score.max(axis=1)
                 posterior = 1 / np.exp(score - top[:, None]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-7], pa.array([m.languages[i] for i in best.tolist()], pa.string()), pa.array(posterior)],
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3 - len(lists)], pa.array([m.languages[i] for i in best.tolist()], pa.string()), pa.array(posterior)],
                                                  names=out_names)
 
     keep_ = (F.col("language") != UNDETERMINED) & (F.col("posterior") >= min_posterior)
@@ -307,9 +348,13 @@ def _fused(m: Model, part: pa.RecordBatch) -> np.ndarray:
     score = m.text(part.column("__text"))
     if len(m.languages) == 1:
         return score
-    for table, name in ((m.declared, "__declared"), (m.suffix, "__suffix")):
-        values = part.column(name).to_pylist()
-        score += np.stack([np.zeros(score.shape[1]) if v is None else table.get(v, table[""]) for v in values])
+    for kind, c in (("declared", "v"), ("suffix", "s")):
+        total, values = m.totals[kind]
+        # log P(value | language), one row added to each value and to all others together; nothing is known of ``und``
+        of = _counted(part, f"__{c}l", f"__{c}n", len(total)) / SHARE + 1
+        whole = total + values + 1
+        logs = np.log(np.c_[of, of.mean(axis=1)] / np.r_[whole, whole.mean()])
+        score += np.where(part.column(f"__{kind}").is_valid().to_numpy(zero_copy_only=False)[:, None], logs, 0)
     # the host's share is smoothed towards its domain's, and that towards the corpus
     host, domain = (_counted(part, f"__{c}l", f"__{c}n", len(m.prior)) / SHARE for c in "hd")
     domain = (domain + DOMAIN_WEIGHT * m.prior) / (domain.sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
