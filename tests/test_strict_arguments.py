@@ -8,7 +8,7 @@ from txrisk.functions.columns import clip_probability
 from txrisk.operators import metrics, models, validate
 
 
-@pytest.mark.parametrize("kw", [{"max_depth": 31}, {"warm_start": True}, {"class_weight": "balanced_subsample"}, {"oob_score": True}, {"nothing": 1}])
+@pytest.mark.parametrize("kw", [{"max_depth": 31}, {"warm_start": True}, {"class_weight": "balanced_subsample"}, {"oob_score": "yes"}, {"nothing": 1}])
 def test_forest_refuses(kw):
     with pytest.raises(E.ModelFactoryError, match=next(iter(kw))):
         models.build_random_forest(**kw)

@@ -343,6 +343,9 @@ class HistogramBooster(Estimator, _Settings):
 class HistogramBoostedModel(Model, _Settings, MLWritable, MLReadable):
     """Trees of a :class:`HistogramBooster`; ``transform`` adds rawPrediction and probability vectors and the likelier class."""
 
+    #: Attributes kept with a saved model.
+    SAVED = ("size",)
+
     def __init__(self, nodes: pd.DataFrame | None = None, size: int = 0):
         super().__init__()
         self.nodes, self.size = nodes, size
@@ -404,7 +407,7 @@ class _ModelWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         spark = self.sparkSession
-        DefaultParamsWriter.saveMetadata(self.model, path, spark, extraMetadata={"size": self.model.size})
+        DefaultParamsWriter.saveMetadata(self.model, path, spark, extraMetadata={c: getattr(self.model, c) for c in self.model.SAVED})
         spark.createDataFrame(pa.Table.from_pandas(self.model.nodes, preserve_index=False), _NODE_SCHEMA).repartition("tree").sortWithinPartitions(
             "tree", "id").write.parquet(f"{path}/data")
 
@@ -418,7 +421,9 @@ class _ModelReader(MLReader):
         spark = self.sparkSession
         metadata = DefaultParamsReader.loadMetadata(path, spark)
         nodes = spark.read.parquet(f"{path}/data").orderBy("tree", "id").toArrow().to_pandas()
-        model = HistogramBoostedModel(nodes, metadata["size"])
+        model = self.cls(nodes)
+        for c in model.SAVED:
+            setattr(model, c, metadata[c])
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
         return model

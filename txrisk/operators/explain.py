@@ -36,6 +36,7 @@ from .. import errors as E
 from .. import schema as S
 from ..session import ensure_checkpoint_dir, ship_package
 from .boosting import HistogramBoostedModel
+from .forest import HistogramForestModel
 
 BASE = "base_value"
 OUTPUT = "model_output"
@@ -192,7 +193,8 @@ class TreeExplainer:
             self.scales = [2.0 * w for w in clf.treeWeights]
         elif isinstance(clf, HistogramBoostedModel):
             self.kind = "boosted"
-            self.scales = [1.0] * clf.getNumTrees
+            n = clf.getNumTrees
+            self.scales = [1.0 / n if isinstance(clf, HistogramForestModel) else 1.0] * n
         else:
             raise E.ExplainerError(f"{type(clf).__name__} is not a forest or boosted trees")
         self.features = list(model.stages[0].getInputCols())

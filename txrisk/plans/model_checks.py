@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators.forest import MIX, POISSON_LIMITS, TREE_STEP
 from ..sources.adapter import oracle_with_tx, transactions
 from .oracle_sql import FEATURE_CTES, with_features
 from .queries import _SPLIT_SQL, _SRC_NO_ID, engineered, query, trained
@@ -74,6 +75,58 @@ def stump_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_importance(_stump(spark, sf_dir)[0])
 
 
+BAGS = 7
+
+
+def _out_of_bag_sql() -> str:
+    """Bags by the hash of (row, tree), the best stump of each bag, and the mean of those trees that did not draw a row."""
+    sides = "\nUNION ALL\n".join(
+        f"SELECT t, {i} AS i, sum(w * k * isFraud) FILTER (WHERE {c} = 1) AS p1, sum(w * k) FILTER (WHERE {c} = 1) AS n1, "
+        f"sum(w * k * isFraud) FILTER (WHERE {c} = 0) AS p0, sum(w * k) FILTER (WHERE {c} = 0) AS n0, "
+        f"count(*) AS seen, count(*) FILTER (WHERE {c} = 1) AS seen1 FROM bag WHERE k > 0 GROUP BY t" for i, c in enumerate(STUMP_INPUTS))
+    low = f"((CAST(row_id % 4294967296 AS UBIGINT) + CAST((42 + (t + 1) * {TREE_STEP}) % 4294967296 AS UBIGINT)) % 4294967296)"
+    steps = [f"h0 AS (SELECT tr.*, t, {low} AS x FROM tr, range({BAGS}) AS trees(t))"]
+    for n, (shift, factor) in enumerate(MIX * 2):
+        if n == len(MIX):
+            steps.append("h_high AS (SELECT * REPLACE (xor(x, CAST(row_id >> 32 AS UBIGINT)) AS x) FROM h3)")
+        source = "h_high" if n == len(MIX) else f"h{n}"
+        steps.append(f"h{n + 1} AS (SELECT * REPLACE ((xor(x, x >> {shift}) * {factor}) % 4294967296 AS x) FROM {source})")
+    drawn = " + ".join(f"CAST(x >= {limit} AS INT)" for limit in POISSON_LIMITS)
+    return oracle_with_tx(_SPLIT_SQL + FEATURE_CTES + f"""
+, side AS (SELECT s.*, a.split FROM scored s JOIN assigned a ON a.row_id = s.row_id)
+, tr AS (SELECT *, CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY isFraud)) AS w
+         FROM side WHERE split = 'train')
+, {", ".join(steps)}
+, bag AS (SELECT *, {drawn} AS k FROM h{2 * len(MIX)})
+, g AS ({sides})
+, gain AS (SELECT *, n1 / (n1 + n0) * 2 * (p1 / n1) * (1 - p1 / n1) + n0 / (n1 + n0) * 2 * (p0 / n0) * (1 - p0 / n0) AS rest
+           FROM g WHERE seen1 >= 40 AND seen - seen1 >= 40)
+, best AS (SELECT * FROM gain QUALIFY row_number() OVER (PARTITION BY t ORDER BY round(rest, 12), i) = 1)
+, vote AS (SELECT bag.row_id, CASE CASE best.i {" ".join(f"WHEN {i} THEN bag.{c}" for i, c in enumerate(STUMP_INPUTS))} END
+  WHEN 1 THEN p1 / n1 ELSE p0 / n0 END AS p FROM bag JOIN best ON best.t = bag.t WHERE k = 0)
+, votes AS (SELECT row_id, count(*) AS n, avg(p) AS p FROM vote GROUP BY row_id)
+, score AS (SELECT avg(CAST((v.p > 0.5) = (tr.isFraud = 1) AS DOUBLE)) AS s FROM votes v JOIN tr ON tr.row_id = v.row_id)
+SELECT tr.row_id, CAST(coalesce(v.n, 0) AS INT) AS oob_trees, round(v.p, 9) AS oob_score, round((SELECT s FROM score), 9) AS forest_oob_score
+FROM tr LEFT JOIN votes v ON v.row_id = tr.row_id
+""")
+
+
+@query("forest_out_of_bag", _out_of_bag_sql())
+def forest_out_of_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 with ``oob_score`` and least sizes: a balanced forest of stumps on bags drawn by hash; the out-of-bag score of every
+    training row, and the forest's (the share of rows with one that are classed right)."""
+    from ..operators.models import ModelTrainer, build_random_forest
+    from ..operators.split import SPLIT_COL, StratifiedSplitter
+
+    df = StratifiedSplitter(test_size=0.2, random_state=42).assign(engineered(spark, sf_dir))
+    train = df.where(F.col(SPLIT_COL) == "train")
+    spec = build_random_forest(n_estimators=BAGS, max_depth=1, max_features=None, oob_score=True, min_samples_split=50, min_samples_leaf=40)
+    model = ModelTrainer(spec).train(train, list(STUMP_INPUTS))
+    rows = model.stages[-1].out_of_bag(model.stages[0].transform(train), S.ROW_ID)
+    return rows.select(S.ROW_ID, "oob_trees", F.round("oob_score", 9).alias("oob_score"),
+                       F.round(F.lit(model.stages[-1].oob_score), 9).alias("forest_oob_score"))
+
+
 def _boosted_stump_sql(lam: float, alpha: float, least: float) -> str:
     """One round from margin 0: g is 0.5 - y and h is 0.25 for every row; the best gain splits."""
     sides = "\nUNION ALL\n".join(
