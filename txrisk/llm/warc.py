@@ -11,9 +11,14 @@ stays a ``response``; the others become ``revisit`` records that name it and hol
 settled on (digest, page id) rows alone; payloads are not shuffled by digest, so a payload that
 a third of all pages share is no hot key.
 
-Archives are written by Spark's text writer (gzip; ``\\r\\n\\r\\n`` ends a record, as WARC asks) into the
-shared folder, at most ``per_file`` records a file, and read with Spark's binaryFile source, so any
-store that Spark reaches will do.
+Records are parsed from their ARC files once and kept in the shared folder; digests and revisits come from
+columns of that table without the payloads.
+
+Each record is a gzip member of its own, as WARC asks. A task gathers members to files of at most ``FILE_BYTES``
+of raw records (a longer record has a file to itself) or ``per_file`` records, and hands each file as one row to Spark's text
+writer, one row a file. That writer ends a row with a separator: here the zero byte that ends every gzip member of less
+than 16 MB (the top byte of its length; an empty member follows a longer one). Files are read with Spark's binaryFile
+source, record after record, so a task holds one compressed file and some MB of records. Any store that Spark reaches will do.
 
 Cases. Null html: empty payload, type response. Null url: ``urn:null``; blanks and control
 characters in a url are percent-encoded in header lines. Null page_id: no revisit names it, and it
@@ -26,18 +31,22 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import column, read, ready, shared_path
+from .tables import column, drop_kept, keep, read, ready, shared_path
 
 MIN_REVISIT = 1000
 PER_FILE = 5_000
+#: Bytes of raw records in a file.
+FILE_BYTES = 32 << 20
 _NAMESPACE = uuid.UUID("5e2b5c0a-7d2e-4c8e-9d64-3f0a1c7b9e11")
 _FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -117,7 +126,8 @@ def convert_arc(archives: DataFrame) -> DataFrame:
 
 def with_revisits(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``records`` with ``refers_to``: the page id of the response that a record revisits, else null."""
-    narrow = records.where(F.length("payload") >= min_revisit).select("payload_digest", "page_id", F.length("payload").alias("n"))
+    size = F.col("payload_bytes") if "payload_bytes" in records.columns else F.length("payload")
+    narrow = records.where(size >= min_revisit).select("payload_digest", "page_id", size.alias("n"))
     last = narrow.groupBy("payload_digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
     last = last.where("copies > 1").drop("copies")
     # page_id -> response, for revisiting rows only; a page id may occur with several payloads
@@ -154,37 +164,66 @@ def warc_record(page_id: int | None, uri: str, ip: str, date: str, http: bytes,
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
+def member(record: bytes) -> bytes:
+    """``record`` as a gzip member; its last byte is zero."""
+    packed = gzip.compress(record, 6, mtime=0)
+    return packed if packed[-1] == 0 else packed + gzip.compress(b"", mtime=0)
+
+
+def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write records (columns of ``RECORD`` and ``refers_to``) as gzipped WARC files under ``path``."""
     cols = ["page_id", "uri", "ip", "date", "http", "payload", "payload_digest", "refers_to"]
 
+    def file(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["value"])  # the writer adds the zero
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        weight = 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                made = [warc_record(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+            for row in zip(*b.columns, strict=True):
+                record = warc_record(*(cell.as_py() for cell in row)) + b"\r\n\r\n"
+                if members and (weight + len(record) > file_bytes or len(members) >= per_file):
+                    yield file(members)
+                    members, weight = [], 0
+                members.append(member(record))
+                weight += len(record)
+        if members:
+            yield file(members)
 
     ready(records.sparkSession)
-    lines = records.select(*cols).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    files = records.select(*cols).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(content: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of one WARC file."""
+    """Header fields (lower-case names) and block of each record of one WARC file, gzipped or not."""
+    raw = io.BytesIO(content)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if content[:2] == b"\x1f\x8b" else raw
     at = 0
-    while at < len(content):
-        stop = content.find(b"\r\n\r\n", at)
-        lines = content[at:stop].decode("utf-8", "surrogateescape").split("\r\n")
-        if stop < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"{name}: no record header at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(head["content-length"])
-        block = content[stop + 4 : stop + 4 + size]
-        if len(block) < size or content[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"{name}: the record at byte {at} does not end where it says")
-        yield head, block
-        at = stop + 8 + size
+    try:
+        while line := stream.readline():
+            start = at
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"{name}: no record header at byte {start}")
+            head: dict[str, str] = {}
+            while True:
+                at += len(line)
+                line = stream.readline()
+                if not line.endswith(b"\n"):
+                    raise ValueError(f"{name}: the header at byte {start} has no end")
+                if line == b"\r\n":
+                    break
+                key, _, value = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(": ")
+                head[key.lower()] = value
+            size = int(head["content-length"])
+            block = stream.read(size)
+            if len(block) < size or stream.read(4) != b"\r\n\r\n":
+                raise ValueError(f"{name}: the record at byte {start} does not end where it says")
+            at += 2 + size + 4
+            yield head, block
+    except (EOFError, zlib.error, gzip.BadGzipFile) as exc:
+        raise ValueError(f"{name}: not a whole gzip file: {exc}") from exc
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -207,7 +246,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 rows: list[tuple] = []
                 weight = 0
-                for head, block in parse_warc(gzip.decompress(content.as_py()) if name.endswith(".gz") else content.as_py(), name):
+                for head, block in parse_warc(content.as_py(), name):
                     rows.append(row(head, block))
                     weight += len(block)
                     if weight > 4 << 20:
@@ -271,9 +310,11 @@ def arc_archives(pages: DataFrame) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an ARC file into a WARC file, and what the WARC files then hold."""
-    records = convert_arc(arc_archives(read(spark, sf_dir, "pages")))
+    converted = convert_arc(arc_archives(read(spark, sf_dir, "pages")))
+    records = keep(converted.withColumn("payload_bytes", F.length("payload")), "records")
     path = shared_path(spark, "warc")
     write_warc(with_revisits(records), path)
+    drop_kept(records)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
