@@ -311,7 +311,7 @@ def arc_archives(pages: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an ARC file into a WARC file, and what the WARC files then hold."""
     converted = convert_arc(arc_archives(read(spark, sf_dir, "pages")))
-    records = keep(converted.withColumn("payload_bytes", F.length("payload")), "records")
+    records = keep(converted.withColumn("payload_bytes", F.length("payload")), "records", "zstd")
     path = shared_path(spark, "warc")
     write_warc(with_revisits(records), path)
     drop_kept(records)
