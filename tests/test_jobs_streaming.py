@@ -236,3 +236,18 @@ def test_csv_inline_type_check_fails_the_data_job(spark, tmp_path):
     io.load_transactions(spark, str(bad), check_types="inline")          # no job: no error yet
     with pytest.raises(E.InvalidDataTypeError, match="amount.*newbalanceOrig"):  # all bad columns
         jobs.run_data_pipeline(spark, str(bad), str(tmp_path / "out"), salt="")
+
+
+def test_csv_outputs_are_packed(spark, tmp_path):
+    """The CSV outputs of the data job take less than half of their text, and hold the rows of the Parquet outputs."""
+    import glob
+    import gzip
+
+    res = jobs.run_data_pipeline(spark, transactions(spark, SF), str(tmp_path), formats=("parquet", "csv"), sides=True)
+    for name in ("cleaned", "engineered", "X_train", "X_test", "y_train", "y_test"):
+        files = glob.glob(f"{res[name + '.csv']}/part-*")
+        text = sum(len(gzip.open(f).read()) for f in files if f.endswith(".csv.gz"))
+        assert 0 < 2 * sum(os.path.getsize(f) for f in files) < text
+        table = spark.read.parquet(res[name])
+        back = spark.read.schema(table.schema).option("header", True).csv(res[name + ".csv"])
+        assert back.exceptAll(table).isEmpty() and table.exceptAll(back).isEmpty()
